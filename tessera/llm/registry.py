@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "token_files")
+MODULES = ("piece_codec", "packing", "webp_media", "topk_search", "token_files", "simhash_pivots")
 
 
 def _merged(name: str) -> dict:
