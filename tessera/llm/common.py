@@ -71,17 +71,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remember_table(spark: SparkSession, name: str) -> None:
+    """A scratch table of the catalog (in the warehouse, which the cluster shares)."""
+    _scratch.append((spark, name))
+
+
 def drop_scratch(spark: SparkSession | None = None) -> None:
     """Delete the scratch tables made so far (of one session, or of all)."""
     for s, path in list(_scratch):
         if spark is None or s is spark:
             try:
+                if "/" not in path:
+                    s.sql(f"DROP TABLE IF EXISTS {path}")
+                    continue
                 jvm, conf = s._jvm, s._jsc.hadoopConfiguration()
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)
             except Exception:  # the session has ended; its owner cleans the folder
                 pass
-            _scratch.remove((s, path))
+            finally:
+                _scratch.remove((s, path))
 
 
 def scale_partitions(spark: SparkSession, least: int = 1) -> int:
@@ -98,3 +107,6 @@ def prefix_offsets(totals: DataFrame, key: str, total: str, offset: str) -> Data
     """
     w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(key, F.coalesce(F.sum(total).over(w), F.lit(0)).cast("long").alias(offset))
+
+
+atexit.register(drop_scratch)

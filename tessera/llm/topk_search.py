@@ -118,7 +118,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE) -> Dat
     x = rows.withColumn("xb", spread(x_blocks, 1)).withColumn("qb", grid(q_blocks))
     q = rows.where(is_query).withColumn("qb", spread(q_blocks, 2)).withColumn("xb", grid(x_blocks))
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(key, left, right):
         got = []
         if left.num_rows and right.num_rows:
             both = left["v"].to_pylist() + right["v"].to_pylist()
