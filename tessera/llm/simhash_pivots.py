@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -55,15 +55,16 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint ``fp`` (the 64 bits as a signed long)."""
+    """doc_id, a key of doc_id and text, and fingerprint ``fp`` (the 64 bits as a signed long)."""
     common.ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "doc_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc_key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, doc_key long, fp long")
 
 
 def pivot_table(fps: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
@@ -152,13 +153,23 @@ def fingerprint_links(distinct_fps: DataFrame, radius: int = RADIUS, pivots: int
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id that links reach, for every row."""
+    """doc_id, doc_key, fp, component and component_id, the smallest doc_id that links reach, for every row."""
     found = common.materialize(fingerprints(docs, words), "fingerprints")
     distinct = found.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     classes = components(fingerprint_links(distinct.select("fp"), radius), "a", "b")
     classes = distinct.join(classes, distinct.fp == classes.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     least = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return found.join(classes.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return found.join(classes.join(least, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "doc_key", "fp", "component", "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each component, the one of the smallest doc_id; columns as they were."""
+    found = near_duplicates(docs, words, radius)
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "doc_key")).alias("best")).select(F.col("best.doc_key").alias("__key"))
+    rows = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(best, "__key", "left_semi")
+    # rows that repeat doc_id and text share a key
+    once = Window.partitionBy("__key").orderBy("__key")
+    return rows.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
 
 
 def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

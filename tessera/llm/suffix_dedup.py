@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
@@ -175,42 +176,55 @@ def _rank(keys: DataFrame, which_pass: int) -> DataFrame:
     return keys.groupBy("bucket").applyInArrow(run, "part long, pass int, bucket int, flags binary")
 
 
-def lay_out(docs: DataFrame) -> DataFrame:
-    """Write the texts in parts, bucketed by part, so that later passes need not move them."""
+def lay_out(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """Write the texts in parts, bucketed by part, so that later passes need not move them.
+
+    Each ``carry`` column goes along as an array, named ``c0``, ``c1``, ...
+    """
     spark = docs.sparkSession
+    kinds = [docs.schema[c].dataType for c in carry]
+    lists = [pa.list_(to_arrow_type(k)) for k in kinds]
+    names = ["part", "sizes", "n_bytes", "blob", *(f"c{i}" for i in range(len(carry)))]
 
     def parts(batches):
         from pyspark import TaskContext
 
-        first, k, keys, texts, size = TaskContext.get().partitionId() << 32, 0, [], [], 0
+        first, k, held, texts, size = TaskContext.get().partitionId() << 32, 0, [], [], 0
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([keys], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([b"".join(texts)], pa.binary())], names=["part", "doc_ids", "sizes", "n_bytes", "blob"])
+            cols = [pa.array([first + k]), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([b"".join(texts)], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols + [pa.array([list(v)], t) for v, t in zip(zip(*held), lists)], names=names)
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            rest = zip(*(c.to_pylist() for c in batch.columns[1:]))
+            for text, others in zip(batch.column(0).cast(pa.binary()).to_pylist(), rest):
                 if texts and size + len(text) > PART_BYTES:
                     yield row()
-                    k, keys, texts, size = k + 1, [], [], 0
-                keys.append(key)
+                    k, held, texts, size = k + 1, [], [], 0
+                held.append(others)
                 texts.append(text)
                 size += len(text)
-        if keys:
+        if texts:
             yield row()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("__text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
     buckets = min(100_000, max(common.scale_partitions(spark), 2 * rows.rdd.getNumPartitions()))
     name = f"suffix_parts_{uuid.uuid4().hex}"
     # a task's parts fall into few of the buckets, so it writes few files, and no text is shuffled
-    rows.mapInArrow(parts, "part long, doc_ids array<bigint>, sizes array<bigint>, n_bytes long, blob binary").write.option("compression", "zstd").bucketBy(buckets, "part").saveAsTable(name)
+    schema = "part long, sizes array<bigint>, n_bytes long, blob binary" + "".join(f", c{i} array<{k.simpleString()}>" for i, k in enumerate(kinds))
+    rows.mapInArrow(parts, schema).write.option("compression", "zstd").bucketBy(buckets, "part").saveAsTable(name)
     common.remember_table(spark, name)
     return spark.table(name)
 
 
-def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes)."""
+def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, carry: tuple[str, ...] = ("doc_id",), with_kept: str | None = None) -> DataFrame:
+    """The ``carry`` columns, n_bytes, n_removed, n_spans, kept_sha256 (and kept: the remaining bytes as ``binary``, or as a ``string`` without torn characters)."""
     common.ship(docs.sparkSession)
-    laid = lay_out(docs)
+    carry = list(carry)
+    laid = lay_out(docs, carry)
+    carried = [f"c{i}" for i in range(len(carry))]
+    kinds = [docs.schema[c].dataType for c in carry]
+    arrow = [to_arrow_type(k) for k in kinds]
     total = laid.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
 
@@ -232,7 +246,7 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, with_text: bool = Fa
         return pa.concat_tables(out) if out else pa.table({"bucket": pa.array([], pa.int32()), "part": pa.array([], pa.int64()), "keys": pa.array([], pa.binary())})
 
     def cut(key, left, flags):
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        names = [*carried, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         cols = {n: [] for n in names}
         for row in left.to_pylist():
             p, starts = candidates(row, flags)
@@ -242,14 +256,14 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, with_text: bool = Fa
             edge[starts] = 1
             seen = np.cumsum(edge)
             covered = seen[: len(p.data)] > np.concatenate([np.zeros(min(min_len, len(p.data)), np.int32), seen[: max(0, len(p.data) - min_len)]])
-            for doc, s, e in zip(row["doc_ids"], p.starts.tolist(), p.ends.tolist()):
+            for others, s, e in zip(zip(*(row[c] for c in carried)), p.starts.tolist(), p.ends.tolist()):
                 gone = covered[s:e]
                 n = int(np.count_nonzero(gone))
                 kept = p.data[s:e][~gone].tobytes() if n else row["blob"][s:e]
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0]) if n else 0
-                for name, value in zip(names, (doc, e - s, n, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None)):
+                for name, value in zip(names, (*others, e - s, n, spans, hashlib.sha256(kept).hexdigest(), (kept.decode(errors="ignore") if with_kept == "string" else kept) if with_kept else None)):
                     cols[name].append(value)
-        types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+        types = arrow + [pa.int64()] * 3 + [pa.string(), pa.string() if with_kept == "string" else pa.binary()]
         return pa.table({n: pa.array(cols[n], t) for n, t in zip(names, types)})
 
     sampled = laid.select("part", "sizes", "blob").mapInArrow(sample_keys, "bucket int, part long, keys binary")
@@ -257,8 +271,20 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, with_text: bool = Fa
     texts = laid.select("part", "sizes", "blob").groupBy("part")
     strings = texts.cogroup(flags.groupBy("part")).applyInArrow(string_keys, "bucket int, part long, keys binary")
     flags = flags.unionAll(common.materialize(_rank(strings, 2), "suffix-strings"))
-    out = laid.select("part", "doc_ids", "sizes", "blob").groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out if with_text else out.drop("kept")
+    schema = "".join(f"{c} {k.simpleString()}, " for c, k in zip(carried, kinds)) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept " + (with_kept or "binary")
+    out = laid.select("part", "sizes", "blob", *carried).groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(cut, schema)
+    measures = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_kept else [])]
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), *measures)
+
+
+def without_repeats(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
+    """``docs`` with the repeated strings cut out of ``text``; columns as they were, null texts empty.
+
+    A cut may fall inside a character; the bytes of such a torn character go too.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    kept = remove_repeats(docs, min_len, tuple(rest), with_kept="string")
+    return kept.withColumn("text", F.col("kept")).select(*docs.columns)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
