@@ -93,7 +93,7 @@ def sign_extend(v: Column, bits: int) -> Column:
 
 def magnitude_extend(v: Column, bits: Column) -> Column:
     """Magnitude category and its bits to a signed difference, as in lossless JPEG."""
-    full = F.shiftleft(F.lit(1).cast("long"), bits)
+    full = F.pow(F.lit(2), bits).cast("long")
     return F.when(v >= full / 2, v).otherwise(v - full + 1)
 
 
