@@ -72,7 +72,7 @@ class Additive:
     """Logistic regression over one-hot decile bins of each feature."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
+        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) if len(c) else np.zeros(0) for c in x.T]
         rate = (y.sum() + 1) / (len(y) + 2)
         self.base = math.log(rate / (1 - rate))
         self.weights = np.zeros(1 + sum(len(c) + 1 for c in self.cuts))
