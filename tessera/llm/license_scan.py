@@ -30,6 +30,8 @@ WINDOW, STRIDE = 64, 32
 MISS = 1e-6
 #: Templates are broadcast; more shingles than this are refused.
 MOST_TEMPLATE_SHINGLES = 2_000_000
+#: Up to so many bands, texts that have none of them are left out before they are cut in windows.
+MOST_LITERAL_BANDS = 10_000
 
 #: Short public notices; a caller may pass any table of templates.
 TEMPLATES = (
@@ -97,12 +99,16 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float
     rows = words.withColumn("h", h).withColumn("hashes", shingles(F.col("h")))
     per = WINDOW - SHINGLE + 1
     windows = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("hashes") - per) / STRIDE)).cast("int"))
-    rows = rows.select("doc_id", "words", "hashes", F.explode(windows).alias("window"))
-    rows = rows.select("doc_id", "window", "words", F.sort_array(F.slice("hashes", F.col("window") * STRIDE + 1, F.lit(per))).alias("sorted"))
+    if n <= MOST_LITERAL_BANDS:  # a window's sketch is part of its text's hashes: texts without any band need no windows
+        any_band = F.array(*(F.lit(r["band"]) for r in bands.select("band").distinct().collect()))
+        windows = F.when(F.arrays_overlap("hashes", any_band), windows)
+    # a window takes along its own words only; the outer form keeps the optimizer from computing the windows twice
+    cut = F.transform(windows, lambda w: F.struct(w.alias("window"), F.slice("words", w * STRIDE + 1, F.lit(WINDOW)).alias("words"), F.sort_array(F.slice("hashes", w * STRIDE + 1, F.lit(per))).alias("sorted")))
+    rows = rows.select("doc_id", F.explode_outer(cut).alias("w")).where("w IS NOT NULL").select("doc_id", "w.window", "w.words", "w.sorted")
     bin_of = lambda x: F.shiftrightunsigned(x, shift)
     sketch = F.filter("sorted", lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get("sorted", i - 1))))
-    rows = rows.select("doc_id", "window", "words", F.explode(sketch).alias("band"))
-    hits = rows.join(F.broadcast(bands), "band").select("doc_id", "window", F.slice("words", F.col("window") * STRIDE + 1, F.lit(WINDOW)).alias("words"), "license_id", "section", "n_shingles", "wanted")
+    rows = rows.select("doc_id", "window", "words", F.explode_outer(sketch).alias("band"))
+    hits = rows.join(F.broadcast(bands), "band").select("doc_id", "window", "words", "license_id", "section", "n_shingles", "wanted")
     found = hits.groupBy("doc_id", "window", "license_id", "section", "n_shingles").agg(F.first("words").alias("words"), F.first("wanted").alias("wanted"))
     found = found.select("doc_id", "license_id", "n_shingles", F.explode(F.array_intersect("wanted", _shingle_strings(F.col("words")))).alias("shingle")).distinct()
     out = found.groupBy("doc_id", "license_id", "n_shingles").agg(F.count("*").cast("int").alias("n_found"))
