@@ -33,6 +33,11 @@ class Unsupported(ValueError):
     """A layout that is refused rather than guessed."""
 
 
+def _names(ddl: str) -> list[str]:
+    """Column names of a flat schema; workers have no session to parse it with."""
+    return [c.split()[0] for c in ddl.split(", ")]
+
+
 def _numbers(entry: dict, order: str) -> list[int]:
     size = cursor.TIFF_WIDTH.get(entry["type"], 1)
     v = entry["value"]
@@ -58,7 +63,7 @@ def tiff_frame(data: bytes) -> tuple[dict, list[dict]]:
     black = get(raw, BLACK)
     if len(black) > 1 and len(black) != dim[0] * dim[1]:
         black = black[:1]
-    frame = dict(zip(StructType.fromDDL(FRAME).names, (model, width, height, bits, get(raw, PATTERN), dim[0], dim[1], black, (get(raw, WHITE) or [0])[0], *crop_at, *crop)))
+    frame = dict(zip(_names(FRAME), (model, width, height, bits, get(raw, PATTERN), dim[0], dim[1], black, (get(raw, WHITE) or [0])[0], *crop_at, *crop)))
     piece = lambda a, n: data[a : a + n] if a > 0 and a + n <= len(data) else _past(a, n)
     if tiles := get(raw, TILES):
         sizes, tw, th = get(raw, TILE_BYTES), get(raw, TILE_W)[0], get(raw, TILE_H)[0]
@@ -87,7 +92,7 @@ def _past(at: int, n: int):
 
 
 def _unit(*values) -> dict:
-    return dict(zip(StructType.fromDDL(UNIT).names, values))
+    return dict(zip(_names(UNIT), values))
 
 
 RAF_MAGIC, RAF_MODEL, RAF_OFFSETS = b"FUJIFILMCCD-RAW ", 28, 84
@@ -120,7 +125,7 @@ def raf_frame(data: bytes) -> tuple[dict, list[dict]]:
     if not bits or strip_at <= 0 or strip_at + size > len(block):
         raise cursor.Short("no depth or no strip")
     strip = block[strip_at : strip_at + size]
-    frame = dict(zip(StructType.fromDDL(FRAME).names, (data[RAF_MODEL : RAF_MODEL + 32].split(b"\0")[0].decode("latin-1"), width, height, bits, pattern, 6, 6, black if len(black) == 36 else black[:1], (1 << bits) - 1, *crop_at, *crop)))
+    frame = dict(zip(_names(FRAME), (data[RAF_MODEL : RAF_MODEL + 32].split(b"\0")[0].decode("latin-1"), width, height, bits, pattern, 6, 6, black if len(black) == 36 else black[:1], (1 << bits) - 1, *crop_at, *crop)))
     if strip[:2] == b"IS":
         raise Unsupported("block-compressed strip")
     if len(strip) != 2 * width * height:
@@ -208,7 +213,7 @@ def unpack_arw2(strip: bytes, width: int, height: int, knots: list[int]) -> np.n
         bit = 30 + 7 * taken
         inner = np.where(bit < 64, low >> np.minimum(bit, 63).astype(np.uint64), 0)
         cross = np.where((bit > 57) & (bit < 64), high << (64 - np.minimum(bit, 64)).astype(np.uint64) % np.uint64(64), 0)
-        outer = np.where(bit >= 64, high >> np.maximum(bit - 64, 0).astype(np.uint64) % np.uint64(64), 0)
+        outer = np.where((bit >= 64) & (bit < 128), high >> np.maximum(bit - 64, 0).astype(np.uint64) % np.uint64(64), 0)
         v = ((inner | cross | outer) & 0x7F).astype(np.int64)
         plain = (k != at_most) & (k != at_least)
         out[:, k] = np.where(k == at_most, most, np.where(k == at_least, least, np.minimum(0x7FF, (v << shift) + least)))
@@ -284,7 +289,7 @@ def decode_tiles(units: DataFrame, key: str = "path", partitions: int | None = N
 
     good = units.where("error IS NULL")
     dealt = good.repartition(partitions, key, "unit") if partitions else good.repartition(key, "unit")
-    columns = [key, "width", "height", *StructType.fromDDL(UNIT).names]
+    columns = [key, "width", "height", *_names(UNIT)]
     return _rows(dealt, columns, [key], "unit int, x0 int, y0 int, w int, h int, samples binary", each)
 
 

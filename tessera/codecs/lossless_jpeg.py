@@ -141,12 +141,13 @@ def decode(scan: Scan, general: bool = False) -> np.ndarray:
     shared = {t: code_table(*scan.tables[t]) for t in set(scan.used)}
     tables = [shared[t] for t in scan.used]
     start = 1 << (scan.precision - scan.shift - 1)
+    wrap = 0xFFFF if scan.precision - scan.shift == 16 else -1  # sums are modulo 2**16
     parts = unstuff(scan.data)
     if scan.predictor == 1 and not scan.restart and not general:
         d = differences(parts[0], tables, n * h * w).reshape(h, w, n)
         d[0, 0] += start
         d[:, 0] = np.cumsum(d[:, 0], axis=0)
-        out = np.cumsum(d, axis=1)
+        out = np.cumsum(d, axis=1) & wrap
     else:
         out = np.zeros((h, w, n), np.int64)
         per = scan.restart or h * w
@@ -164,7 +165,7 @@ def decode(scan: Scan, general: bool = False) -> np.ndarray:
                         p = predict(scan.predictor, int(out[y, x - 1, c]), int(out[y - 1, x, c]), int(out[y - 1, x - 1, c]))
                     else:
                         p = out[y, x - 1, c] if x else out[y - 1, x, c]
-                    out[y, x, c] = p + d[j, c]
+                    out[y, x, c] = (p + d[j, c]) & wrap
     if out.min() < 0 or out.max() >= 1 << (scan.precision - scan.shift):
         raise Malformed("a sample leaves the range, so the stream is out of step")
     return (out << scan.shift).astype(np.uint16)
@@ -203,7 +204,7 @@ def encode(samples: np.ndarray, precision: int, predictor: int = 1, restart: int
                 p = predict(predictor, s[y, x - 1, c], s[y - 1, x, c], s[y - 1, x - 1, c])
             else:
                 p = s[y, x - 1, c] if x else s[y - 1, x, c]
-            d = int(s[y, x, c] - p)
+            d = int(s[y, x, c] - p + 32768) % 65536 - 32768  # modulo 2**16
             size = 16 if d == -32768 else abs(d).bit_length()
             bits.append(f"{size:05b}")
             if 0 < size < 16:
