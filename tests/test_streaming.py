@@ -48,6 +48,15 @@ def test_presence(spark, tmp_path):
 
 
 def test_settled(spark, tmp_path):
+    # processing-time timeouts ask for batches without data forever, which processAllAvailable would wait for
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        settled(spark, tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+def settled(spark, tmp_path):
     got = run(spark, tmp_path, "stream_id string, seq long, n int", [[("s", 0, 1), ("s", 1, 5)], [("s", 2, 5), ("t", 3, 5)]], lambda d: S.settled(d, F.col("n") == 5, 60_000))
     assert sorted((x.stream_id, x.seq, x.timed_out) for x in got) == [("s", 1, False), ("t", 3, False)]
 
