@@ -1,14 +1,20 @@
 """Operator 6: line dedup with a log-template tree, in DataFrame operations.
 
 A line becomes words, with words that hold a digit or an ``@`` masked.  Its leaf in the
-tree of fixed depth is its number of words and its first ``depth`` masked words.  Each
-leaf has one template: at every place the word that more than half of the leaf's
-distinct texts have there, else a variable field.  A line belongs to the template if the
-two agree at 0.8 or more of its places, a field agreeing with anything, and a template
-needs constant words at as many places.  A template that lines of ``least`` or more
-distinct texts belong to recurs: its lines are dropped from every document but the first
-(the smallest ``doc_id``), so what is copied as a whole stays in the corpus once.  Equal
-texts count as one text, so exact copies alone make no template.
+tree of fixed depth is its number of words and its first ``depth`` masked words.  A leaf
+has a main template: at every place the word that more than half of the leaf's distinct
+texts have there, else a variable field.  A line belongs to
+it if the two agree at 0.8 or more of its places, a field agreeing with anything; the
+template must be known at as many places.  Of the lines left, each masked line of that many words that
+``least`` or more distinct texts have is a template of its own, however small its share of
+the leaf, and the others belong to the one they share most places with, 0.8 at least
+(masked words as they are).  Lines that vary in unmasked words, of which none recurs
+as a whole, are found by the main template only.
+
+A template that lines of ``least`` or more distinct texts belong to recurs: its lines are
+dropped from every document but the first (the smallest ``doc_id``), so what is copied as
+a whole stays in the corpus once.  Equal texts count as one text, so exact copies alone
+make no template.
 
 Only leaves with enough distinct texts are looked into word by word, and all counts are
 aggregations with map-side combine, so a line that a third of all documents have is no
@@ -29,16 +35,46 @@ from . import common
 
 DEPTH, LEAST, SIMILAR, MAJORITY = 3, 10, 0.8, 0.5
 MASK = r"[^ \t\n\r]*[0-9@][^ \t\n\r]*"
+#: What a masked word becomes.
+FIELD = "<*>"
 
 
 def lines_of(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_key, doc_id, text_key, place, leaf and masked words of every line that has words."""
-    masked = F.regexp_replace("text", MASK, "<*>")
+    masked = F.regexp_replace("text", MASK, FIELD)
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), F.xxhash64("text").alias("text_key"), F.posexplode(F.split(masked, "\n")).alias("place", "line"))
     rows = rows.withColumn("words", F.filter(F.split("line", r"[ \t\r]+"), lambda w: w != "")).where(F.size("words") > 0)
     return rows.select("doc_id", "doc_key", "text_key", "place", "words", F.xxhash64(F.size("words"), F.slice("words", 1, depth)).alias("leaf"))
 
 
+def _real(words):
+    """Whether more than half of the places hold words that are not masked."""
+    return F.size(F.filter(words, lambda w: w != FIELD)) > MAJORITY * F.size(words)
+
+
+def _blocks(depth: int, similar: float):
+    """Keys of the blocks of a line's places behind ``depth``: similar lines of a leaf have one in common."""
+    rest = F.size("words") - depth
+    n = F.floor(F.size("words") * (1 - similar) + 1e-9).cast("int") + 1
+    edge = lambda k: F.floor(rest * k / n).cast("int")
+    return F.when(rest <= 0, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.xxhash64(k, F.slice("words", edge(k) + depth + 1, edge(k + 1) - edge(k)))))
+
+
+def _other_templates(rest: DataFrame, depth: int, least: int, similar: float) -> DataFrame:
+    """``rest`` with the recurring masked line of its leaf that each of them is, or is most similar to, as ``template``."""
+    rest = rest.withColumn("line", F.xxhash64("words")).where(_real("words"))
+    counts = rest.groupBy("leaf", "line", "text_key").agg(F.lit(1).alias("one")).groupBy("leaf", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    counts = common.materialize(counts, "recurring-lines")
+    some = rest.join(counts.select("leaf").distinct(), "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("words").alias("words"))
+    some = common.materialize(some, "rest-lines")
+    templates = some.join(counts, ["leaf", "line"]).select("leaf", F.col("line").alias("template"), F.col("words").alias("constant"), "n", F.explode(_blocks(depth, similar)).alias("block"))
+    others = some.join(counts, ["leaf", "line"], "left_anti").select("leaf", "line", "words", F.explode(_blocks(depth, similar)).alias("block"))
+    same = F.size(F.filter(F.zip_with("words", "constant", lambda x, y: x == y), lambda x: x))
+    near = others.join(templates, ["leaf", "block"]).withColumn("same", same).where(F.col("same") >= similar * F.size("words"))
+    near = near.groupBy("leaf", "line").agg(F.max(F.struct("same", "n", "template")).alias("best")).select("leaf", "line", "best.template")
+    return rest.join(counts.select("leaf", "line", F.col("line").alias("template")).unionAll(near), ["leaf", "line"])
+
+
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
     """(doc_key, place) of every line to drop."""
     lines = lines_of(docs, depth)
@@ -52,12 +88,16 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, sim
     constant = constant.groupBy("leaf", "at").agg(F.max(F.struct("n", "word")).alias("best"))
     template = constant.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "best.word"))).alias("constant"))
     size = F.size("words")
-    fits = F.size(F.filter(F.map_entries("constant"), lambda e: F.get("words", e["key"]) != e["value"]))
-    member = lines.join(template, "leaf").where((F.size("constant") >= similar * size) & (size - fits >= similar * size))
-    member = common.materialize(member.select("leaf", "doc_id", "doc_key", "text_key", "place"), "template-lines")
-    recurs = member.groupBy("leaf", "text_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "doc_key")).alias("first"))
-    recurs = recurs.groupBy("leaf").agg(F.count("*").alias("texts"), F.min("first").alias("first")).where(F.col("texts") >= least)
-    return member.join(recurs, "leaf").where(F.col("doc_key") != F.col("first.doc_key")).select("doc_key", "place")
+    fits = F.size(F.filter(F.map_entries("constant"), lambda e: (F.get("words", e["key"]) != e["value"])))
+    belongs = (F.size("constant") >= similar * size) & (size - fits >= similar * size)
+    marked = lines.join(template, "leaf", "left").withColumn("belongs", F.coalesce(belongs, F.lit(False)))
+    columns = ["leaf", "template", "doc_id", "doc_key", "text_key", "place"]
+    main = marked.where("belongs").withColumn("template", F.lit(0).cast("long")).select(*columns)
+    other = _other_templates(marked.where("NOT belongs").drop("constant"), depth, least, similar).select(*columns)
+    member = common.materialize(main.unionAll(other), "template-lines")
+    recurs = member.groupBy("leaf", "template", "text_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "doc_key")).alias("first"))
+    recurs = recurs.groupBy("leaf", "template").agg(F.count("*").alias("texts"), F.min("first").alias("first")).where(F.col("texts") >= least)
+    return member.join(recurs, ["leaf", "template"]).where(F.col("doc_key") != F.col("first.doc_key")).select("doc_key", "place")
 
 
 def drop_recurring(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, similar: float = SIMILAR, with_counts: bool = False) -> DataFrame:
