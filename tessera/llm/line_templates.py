@@ -3,9 +3,10 @@
 A line becomes words, with words that hold a digit or an ``@`` masked.  Its leaf in the
 tree of fixed depth is its number of words and its first ``depth`` masked words.  A leaf
 has a main template: at every place the word that more than half of the leaf's distinct
-texts have there, else a variable field.  A line belongs to
+texts have there, else a variable field; a masked place is a field too.  A line belongs to
 it if the two agree at 0.8 or more of its places, a field agreeing with anything; the
-template must be known at as many places.  Of the lines left, each masked line of that many words that
+template must be known at as many places and have words at more than half of them, so
+rows of numbers have none.  Of the lines left, each masked line of that many words that
 ``least`` or more distinct texts have is a template of its own, however small its share of
 the leaf, and the others belong to the one they share most places with, 0.8 at least
 (masked words as they are).  Lines that vary in unmasked words, of which none recurs
@@ -88,8 +89,9 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, sim
     constant = constant.groupBy("leaf", "at").agg(F.max(F.struct("n", "word")).alias("best"))
     template = constant.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "best.word"))).alias("constant"))
     size = F.size("words")
-    fits = F.size(F.filter(F.map_entries("constant"), lambda e: (F.get("words", e["key"]) != e["value"])))
-    belongs = (F.size("constant") >= similar * size) & (size - fits >= similar * size)
+    real = F.size(F.filter(F.map_values("constant"), lambda w: w != FIELD))
+    fits = F.size(F.filter(F.map_entries("constant"), lambda e: (e["value"] != FIELD) & (F.get("words", e["key"]) != e["value"])))
+    belongs = (F.size("constant") >= similar * size) & (real > MAJORITY * size) & (size - fits >= similar * size)
     marked = lines.join(template, "leaf", "left").withColumn("belongs", F.coalesce(belongs, F.lit(False)))
     columns = ["leaf", "template", "doc_id", "doc_key", "text_key", "place"]
     main = marked.where("belongs").withColumn("template", F.lit(0).cast("long")).select(*columns)

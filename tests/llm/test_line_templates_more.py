@@ -1,4 +1,4 @@
-"""Several templates a leaf."""
+"""Several templates a leaf, and lines made of masked words."""
 
 from tessera.llm import line_templates
 
@@ -20,3 +20,8 @@ def test_several_templates_in_a_leaf(spark):
     for k in range(83):
         assert ("This site" in got[k]) == (k < 2), k
     assert all(got[k] == texts[k] for k in range(83, 283))
+
+
+def test_rows_of_numbers_stay(spark):
+    texts = [f"12 {k}.5 2024-01-{k:02}\nTotal {k} {k * k}\ncell{k} 1,{k} a@{k}\nown {'w' * k}" for k in range(30)]
+    assert kept(spark, texts) == dict(enumerate(texts))
