@@ -50,6 +50,8 @@ COVERS = {
     133: (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121),
 }
 BASE = 0x9E3779B97F4A7C15
+#: ASCII white space between words.
+SPACES = np.frombuffer(b" \t\n\x0b\f\r", np.uint8)
 
 
 def cover_for(min_len: int) -> tuple[int, tuple[int, ...]]:
@@ -72,19 +74,20 @@ class Fingerprints:
         return cls._up, cls._down
 
     @classmethod
-    def of(cls, data: np.ndarray, positions: np.ndarray, length: int) -> np.ndarray:
-        """``positions`` ascend; slices bound the memory."""
+    def of(cls, data: np.ndarray, positions: np.ndarray, length) -> np.ndarray:
+        """``positions`` ascend; slices bound the memory.  ``length`` is one number, or an array with that of each."""
         out = np.empty(len(positions), np.uint64)
-        up, down = cls.powers(SLICE + length + 1)
+        length = np.broadcast_to(np.asarray(length, np.int64), positions.shape)
+        up, down = cls.powers(SLICE + int(length.max(initial=0)) + 1)
         k = 0
         while k < len(positions):
             first = int(positions[k])
             e = int(np.searchsorted(positions, first + SLICE))
-            part = data[first : int(positions[e - 1]) + length]
+            part = data[first : int((positions[k:e] + length[k:e]).max())]
             sums = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(cls.values[part] * up[: len(part)], out=sums[1:])
             at = positions[k:e] - first
-            h = (sums[at + length] - sums[at]) * down[at]
+            h = (sums[at + length[k:e]] - sums[at]) * down[at]
             h ^= h >> np.uint64(31)
             h *= np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(29)
@@ -124,7 +127,21 @@ class Part:
         np.add.at(edge, high[keep] + 1, -1)
         return np.flatnonzero(np.cumsum(edge[:-1]))
 
-    def keys(self, positions: np.ndarray, length: int):
+    def windows(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths of the runs of so many words that are shorter than ``min_len`` bytes."""
+        space = np.isin(self.data, SPACES)
+        edge = np.zeros(len(self.data) + 1, bool)
+        edge[self.starts], edge[self.ends] = True, True
+        before, after = np.concatenate([[True], space]) | edge, np.concatenate([space, [True]]) | edge
+        first, end = np.flatnonzero(before[:-1] & ~space), np.flatnonzero(after[1:] & ~space) + 1
+        if len(first) < words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        first, length = first[: len(first) - words + 1], end[words - 1 :] - first[: len(first) - words + 1]
+        same = np.searchsorted(self.ends, first, side="right") == np.searchsorted(self.ends, first + length - 1, side="right")
+        keep = same & (length < self.min_len)
+        return first[keep], length[keep]
+
+    def keys(self, positions: np.ndarray, length):
         """The distinct fingerprints in order, which of them each position has, and which occur twice here."""
         h = Fingerprints.of(self.data, positions, length)
         distinct, which, n = np.unique(h, return_inverse=True, return_counts=True)
@@ -217,8 +234,11 @@ def lay_out(docs: DataFrame, carry: list[str]) -> DataFrame:
     return spark.table(name)
 
 
-def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, carry: tuple[str, ...] = ("doc_id",), with_kept: str | None = None) -> DataFrame:
-    """The ``carry`` columns, n_bytes, n_removed, n_spans, kept_sha256 (and kept: the remaining bytes as ``binary``, or as a ``string`` without torn characters)."""
+def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, carry: tuple[str, ...] = ("doc_id",), with_kept: str | None = None, words: int | None = None) -> DataFrame:
+    """The ``carry`` columns, n_bytes, n_removed, n_spans, kept_sha256 (and kept: the remaining bytes as ``binary``, or as a ``string`` without torn characters).
+
+    With ``words``, repeated runs of so many whole words go too where they have fewer than ``min_len`` bytes.
+    """
     common.ship(docs.sparkSession)
     carry = list(carry)
     laid = lay_out(docs, carry)
@@ -245,6 +265,12 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, carry: tuple[str, ..
         out = [_emit_keys(row["part"], (pc := candidates(row, flags))[0].keys(pc[1], min_len)[0], buckets) for row in left.to_pylist()]
         return pa.concat_tables(out) if out else pa.table({"bucket": pa.array([], pa.int32()), "part": pa.array([], pa.int64()), "keys": pa.array([], pa.binary())})
 
+    def window_keys(batches):
+        for batch in batches:
+            for part, sizes, blob in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                p = Part(blob, sizes, min_len)
+                yield from _emit_keys(part, p.keys(*p.windows(words))[0], buckets).to_batches()
+
     def cut(key, left, flags):
         names = [*carried, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         cols = {n: [] for n in names}
@@ -256,6 +282,14 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, carry: tuple[str, ..
             edge[starts] = 1
             seen = np.cumsum(edge)
             covered = seen[: len(p.data)] > np.concatenate([np.zeros(min(min_len, len(p.data)), np.int32), seen[: max(0, len(p.data) - min_len)]])
+            if words:
+                first, length = p.windows(words)
+                distinct, which, twice = p.keys(first, length)
+                again = (twice | _flags_of(flags, 3, distinct, buckets))[which]
+                edge = np.zeros(len(p.data) + 1, np.int32)
+                np.add.at(edge, first[again], 1)
+                np.add.at(edge, (first + length)[again], -1)
+                covered |= np.cumsum(edge[:-1]) > 0
             for others, s, e in zip(zip(*(row[c] for c in carried)), p.starts.tolist(), p.ends.tolist()):
                 gone = covered[s:e]
                 n = int(np.count_nonzero(gone))
@@ -271,19 +305,22 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, carry: tuple[str, ..
     texts = laid.select("part", "sizes", "blob").groupBy("part")
     strings = texts.cogroup(flags.groupBy("part")).applyInArrow(string_keys, "bucket int, part long, keys binary")
     flags = flags.unionAll(common.materialize(_rank(strings, 2), "suffix-strings"))
+    if words:
+        runs = laid.select("part", "sizes", "blob").mapInArrow(window_keys, "bucket int, part long, keys binary")
+        flags = flags.unionAll(common.materialize(_rank(runs, 3), "suffix-windows"))
     schema = "".join(f"{c} {k.simpleString()}, " for c, k in zip(carried, kinds)) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept " + (with_kept or "binary")
     out = laid.select("part", "sizes", "blob", *carried).groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(cut, schema)
     measures = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_kept else [])]
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), *measures)
 
 
-def without_repeats(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
+def without_repeats(docs: DataFrame, min_len: int = MIN_LEN, words: int | None = None) -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text``; columns as they were, null texts empty.
 
     A cut may fall inside a character; the bytes of such a torn character go too.
     """
     rest = [c for c in docs.columns if c != "text"]
-    kept = remove_repeats(docs, min_len, tuple(rest), with_kept="string")
+    kept = remove_repeats(docs, min_len, tuple(rest), with_kept="string", words=words)
     return kept.withColumn("text", F.col("kept")).select(*docs.columns)
 
 
