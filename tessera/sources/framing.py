@@ -10,6 +10,8 @@ HEADER, MOST = 12, 512 << 20
 COMMAND, DATA, RESPONSE, EVENT = 1, 2, 3, 4
 #: Late replies of earlier transactions that are skipped before giving up.
 MOST_STALE = 8
+#: Bytes of containers that a task gathers before it hands them on.
+HELD = 16 << 20
 CONTAINER = "seq long, length long, typ int, code int, tx_id long, body binary, error string"
 
 
@@ -51,23 +53,45 @@ class Framer:
 def containers(chunks: DataFrame) -> DataFrame:
     """``chunks(stream_id, seq, data)`` to containers; an incomplete last one is an error row.
 
-    The order within a stream matters, so a stream is one group; its rows are sorted by
-    ``seq`` before they are read.
+    The order within a stream matters, so a stream's rows go to one task in order of
+    ``seq``; Spark's sort spills, and the task keeps the residue of one stream and at most
+    ``HELD`` bytes of rows, however long the stream is.
     """
     kind = chunks.schema["stream_id"].dataType.simpleString()
-
-    def run(key, rows):
-        framer, out = Framer(), []
-        for chunk in rows.sort_by("seq")["data"].to_pylist():
-            out += framer.feed(chunk or b"")
-        if any(framer.residue):
-            out.append(framer._row(None, None, None, None, bytes(framer.residue), "truncated container"))
-        names = ["seq", "length", "typ", "code", "tx_id", "body", "error"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
-        ids = pa.array([key[0].as_py()] * len(out), rows.schema.field("stream_id").type)
-        return pa.table([ids] + [pa.array([r[n] for r in out], t) for n, t in zip(names, types)], names=["stream_id", *names])
-
-    return chunks.groupBy("stream_id").applyInArrow(run, f"stream_id {kind}, {CONTAINER}")
+    names = ["stream_id", "seq", "length", "typ", "code", "tx_id", "body", "error"]
+
+    def run(batches):
+        framer = key = None
+        out, held = [], 0
+
+        def rows(id_type):
+            types = [id_type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in zip(names, types)], names=names)
+
+        def rest():
+            return [framer._row(None, None, None, None, bytes(framer.residue), "truncated container")] if framer and any(framer.residue) else []
+
+        id_type = None
+        for batch in batches:
+            id_type = batch.column(0).type
+            for now, chunk in zip(batch.column(0), batch.column(1)):
+                now = now.as_py()
+                new = []
+                if framer is None or now != key:
+                    new += [r | {"stream_id": key} for r in rest()]
+                    framer, key = Framer(), now
+                new += [r | {"stream_id": key} for r in framer.feed(chunk.as_py() or b"")]
+                out += new
+                held += sum(len(r["body"] or b"") + 64 for r in new)
+                if held > HELD:
+                    yield rows(id_type)
+                    out, held = [], 0
+        out += [r | {"stream_id": key} for r in rest()]
+        if out:
+            yield rows(id_type)
+
+    dealt = chunks.select("stream_id", "seq", "data").repartition("stream_id").sortWithinPartitions("stream_id", F.col("seq").asc_nulls_last())
+    return dealt.select("stream_id", "data").mapInArrow(run, f"stream_id {kind}, {CONTAINER}")
 
 
 def transactions(found: DataFrame) -> DataFrame:
