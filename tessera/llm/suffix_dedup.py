@@ -325,7 +325,8 @@ def without_repeats(docs: DataFrame, min_len: int = MIN_LEN, words: int | None =
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(common.table(spark, sf_dir, "documents"))
+    """The digest columns, and what is left of each text (torn characters go)."""
+    return remove_repeats(common.table(spark, sf_dir, "documents"), with_kept="string").withColumnRenamed("kept", "text")
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
