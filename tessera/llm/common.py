@@ -98,6 +98,35 @@ def scale_partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(df: DataFrame, *labels: str) -> list[str]:
+    """Names like ``labels`` that are no columns of ``df``, whatever its columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in labels:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+#: A table of so many bytes may go to every executor.
+BROADCAST_BYTES = 32 << 20
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], spread: list[str], how: str = "inner", most: int = BROADCAST_BYTES, salts: int = 32) -> DataFrame:
+    """``big`` joined to a written table that is small as a rule, without gathering a hot key of ``big``.
+
+    The table's bytes are counted: up to ``most`` it is broadcast; beyond, every key is dealt
+    to ``salts`` tasks by the ``spread`` columns of ``big``, with a copy of the small side each.
+    """
+    size = small.agg(F.sum(64 + F.octet_length(F.to_json(F.struct(*small.columns))))).first()[0] or 0
+    if size <= most:
+        return big.join(F.broadcast(small), on, how)
+    (salt,) = fresh(big, "salt")
+    dealt = big.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    return dealt.join(small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, salt], how).drop(salt)
+
+
 def prefix_offsets(totals: DataFrame, key: str, total: str, offset: str) -> DataFrame:
     """Exclusive prefix sums of ``total`` in ``key`` order.
 
