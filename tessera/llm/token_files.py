@@ -3,7 +3,10 @@
 A file (one shard) is a run of blocks.  A block holds the ids of consecutive documents
 as one array of 2 or 4 byte little-endian integers, and where each document ends as an
 Elias-Fano sequence: the low bits packed, the high bits in unary, and a sampled select
-structure, about ``2 + log2(ids / documents)`` bits a document instead of 64.  Shards
+structure, about ``2 + log2(ids / documents)`` bits a document instead of 64.  The
+``doc_id`` values ascend, so their distances to the block's first are a second such
+sequence.  Readers get offsets and ids through select, of all documents of a block or,
+by binary search, of wanted ones (``fetch_documents``).  Shards
 are range partitions of ``doc_id``, so shard, block and position order is id order.
 Blocks are written through Spark's own committer (a Parquet row with binary columns a
 block), so any file system Spark knows will do and a lost executor leaves no half file.
@@ -16,6 +19,7 @@ gives no rows; columns other than ``doc_id`` and ``text`` are not read.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +28,14 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-#: A block is closed at this many ids (a longer document has a block of its own).
+#: A block is closed once it holds so many ids (the document that brings it there is its last, however long).
 BLOCK_IDS = 1 << 20
+#: A block's largest ``doc_id`` is less than this above its smallest.
+ID_SPAN = 1 << 62
 #: Every so many-th one bit has its place recorded.
 SELECT_STEP = 64
 
-FILE_SCHEMA = "shard int, block int, first_id long, n_ids long, width int, doc_ids array<bigint>, bounds binary, ids binary"
+FILE_SCHEMA = "shard int, block int, first_id long, n_ids long, width int, no_id int, first_doc long, last_doc long, docs binary, bounds binary, ids binary"
 
 
 class EliasFano:
@@ -80,11 +86,34 @@ class EliasFano:
             low |= (int(self.low[(bit + j) >> 3]) >> ((bit + j) & 7) & 1) << j
         return (place - k) << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        """Every value: select for all k at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
+    def select_all(self) -> np.ndarray:
+        """Select for every k at once: all start at their recorded one bits and step on byte by byte."""
+        k = np.arange(self.n)
+        at = self.samples[k // SELECT_STEP].astype(np.int64)
+        left, byte = k % SELECT_STEP, at >> 3
+        high = np.append(self.high, np.uint8(0))
+        word = high[byte] & (0xFF << (at & 7)).astype(np.uint8) if self.n else high[:0]
+        ones = np.bitwise_count(word).astype(np.int64)
+        on = np.flatnonzero(ones <= left)
+        while len(on):
+            left[on] -= ones[on]
+            byte[on] += 1
+            word[on] = high[byte[on]]
+            ones[on] = np.bitwise_count(word[on])
+            on = on[ones[on] <= left[on]]
+        bits = np.unpackbits(word[:, None], axis=1, bitorder="little")
+        place = byte * 8 + (np.cumsum(bits, axis=1) == (left + 1)[:, None]).argmax(axis=1)
         low = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-        return ((ones - np.arange(self.n)) << self.low_bits) | (low.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1, dtype=np.int64)
+        return ((place - k) << self.low_bits) | (low.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1, dtype=np.int64)
+
+    def places_of(self, value: int) -> range:
+        """Which k have this value: two binary searches by select."""
+        return range(bisect_left(range(self.n), value, key=self.select), bisect_right(range(self.n), value, key=self.select))
+
+
+def _block_docs(row: dict) -> list:
+    """The ``doc_id`` of each document of a block, null ones first."""
+    return [None] * row["no_id"] + ([] if row["first_doc"] is None else (EliasFano.from_bytes(row["docs"]).select_all() + row["first_doc"]).tolist())
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 0, shards: int | None = None) -> None:
@@ -98,14 +127,17 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
 
         shard, width = TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
-        block, first, ids, doc_ids, ends, size = 0, 0, [], [], [], 0
+        block, first, ids, doc_ids, ends, size, low = 0, 0, [], [], [], 0, None
 
         def close():
             flat = np.frombuffer(b"".join(ids), "<u4")
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([size], pa.int64()), pa.array([width], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())),
-                 pa.array([EliasFano.of(ends).to_bytes()], pa.binary()), pa.array([(flat.astype("<u2") if width == 2 else flat).tobytes()], pa.binary())],
-                names=["shard", "block", "first_id", "n_ids", "width", "doc_ids", "bounds", "ids"])
+            known = doc_ids[doc_ids.count(None) :]
+            low, high = (known[0], known[-1]) if known else (None, None)
+            docs = EliasFano.of([d - low for d in known]).to_bytes()
+            values = (shard, block, first, size, width, len(doc_ids) - len(known), low, high, docs, EliasFano.of(ends).to_bytes(), (flat.astype("<u2") if width == 2 else flat).tobytes())
+            small, wide, raw = pa.int32(), pa.int64(), pa.binary()
+            kinds = (small, small, wide, wide, small, small, wide, wide, raw, raw, raw)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=["shard", "block", "first_id", "n_ids", "width", "no_id", "first_doc", "last_doc", "docs", "bounds", "ids"])
 
         for batch in batches:
             enc = tokens.encoder(vocabulary)
@@ -113,18 +145,23 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in tokens.chunks(texts):
                 for key, got in zip(keys[part], enc.encode(texts[part])):
+                    if key is not None and low is not None and key - low >= ID_SPAN:
+                        yield close()
+                        block, first, ids, doc_ids, ends, size, low = block + 1, first + size, [], [], [], 0, None
+                    low = key if low is None else low
                     ids += [got, end]
                     size += len(got) // 4 + 1
                     doc_ids.append(key)
                     ends.append(size)
                     if size >= BLOCK_IDS:
                         yield close()
-                        block, first, ids, doc_ids, ends, size = block + 1, first + size, [], [], [], 0
+                        block, first, ids, doc_ids, ends, size, low = block + 1, first + size, [], [], [], 0, None
         if doc_ids:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(shards or common.scale_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # the beginning of the text splits the rows of a repeated id; range bounds stay short
+    dealt = rows.repartitionByRange(shards or common.scale_partitions(spark), "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(blocks, FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
@@ -138,7 +175,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
         for batch in batches:
             for row in batch.to_pylist():
                 raw, width = row["ids"], row["width"]
-                ends = EliasFano.from_bytes(row["bounds"]).all()
+                ends = EliasFano.from_bytes(row["bounds"]).select_all()
                 starts = np.concatenate([[0], ends[:-1]])
                 out, crc = [], []
                 for a, b in zip(starts.tolist(), ends.tolist()):
@@ -147,7 +184,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                     out.append(ids if with_ids else None)
                 n = len(ends)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["shard"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["first_id"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64()), pa.array(out, pa.binary())],
+                    [pa.array([row["shard"]] * n, pa.int32()), pa.array(_block_docs(row), pa.int64()), pa.array(starts + row["first_id"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64()), pa.array(out, pa.binary())],
                     names=["shard", "doc_id", "local", "n_tokens", "ids_crc32", "ids"])
 
     found = files.mapInArrow(documents, "shard int, doc_id long, local long, n_tokens long, ids_crc32 long, ids binary")
@@ -157,6 +194,25 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     return found.select("doc_id", (F.col("shard_first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *more)
 
 
+def fetch_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit) of the wanted documents: only blocks that may hold one are read, and offsets come by select."""
+    wanted = sorted(set(doc_ids))
+    some = F.lit(False)
+    for d in wanted:
+        some = some | ((F.col("first_doc") <= d) & (F.col("last_doc") >= d))
+
+    def pick(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                docs, bounds = EliasFano.from_bytes(row["docs"]), EliasFano.from_bytes(row["bounds"])
+                got = [(d, row["no_id"] + k) for d in wanted if row["first_doc"] <= d <= row["last_doc"] for k in docs.places_of(d - row["first_doc"])]
+                spans = [(bounds.select(k - 1) if k else 0, bounds.select(k)) for _, k in got]
+                ids = [np.frombuffer(row["ids"], f"<u{row['width']}", b - a, a * row["width"]).astype("<u4").tobytes() for a, b in spans]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return spark.read.schema(FILE_SCHEMA).parquet(path).where(some).mapInArrow(pick, "doc_id long, ids binary")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch_path(spark, "token-files")
     write_token_files(common.table(spark, sf_dir, "documents"), path)

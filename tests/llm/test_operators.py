@@ -168,7 +168,8 @@ def test_token_files(spark, docs, odd_docs, no_docs, tmp_path):
 def test_elias_fano(values):
     values = sorted(values)
     code = token_files.EliasFano.from_bytes(token_files.EliasFano.of(values).to_bytes())
-    assert code.all().tolist() == values
+    assert code.select_all().tolist() == values
+    assert all(values[k] == v for v in values[:5] for k in code.places_of(v)) and all(len(code.places_of(v)) == values.count(v) for v in values[:5])
     assert [code.select(k) for k in range(len(values))] == values
 
 
