@@ -10,7 +10,7 @@ import uuid
 import weakref
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _scratch: list[tuple] = []
@@ -68,7 +68,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the written table of a :func:`materialize` that nothing reads any more."""
+    _delete(df.sparkSession, df.scratch)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        if "/" not in path:
+            spark.sql(f"DROP TABLE IF EXISTS {path}")
+        else:
+            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+    except Exception:  # the session has ended; its owner cleans the folder
+        pass
+    finally:
+        _scratch.remove((spark, path))
 
 
 def remember_table(spark: SparkSession, name: str) -> None:
@@ -80,17 +101,7 @@ def drop_scratch(spark: SparkSession | None = None) -> None:
     """Delete the scratch tables made so far (of one session, or of all)."""
     for s, path in list(_scratch):
         if spark is None or s is spark:
-            try:
-                if "/" not in path:
-                    s.sql(f"DROP TABLE IF EXISTS {path}")
-                    continue
-                jvm, conf = s._jvm, s._jsc.hadoopConfiguration()
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
-            except Exception:  # the session has ended; its owner cleans the folder
-                pass
-            finally:
-                _scratch.remove((s, path))
+            _delete(s, path)
 
 
 def scale_partitions(spark: SparkSession, least: int = 1) -> int:
@@ -109,6 +120,27 @@ def fresh(df: DataFrame, *labels: str) -> list[str]:
     return out
 
 
+def match_rows(docs: DataFrame, keys: DataFrame, how: str, **more: Column) -> DataFrame:
+    """The rows of ``docs`` that ``keys(doc_id, text_key, ...)`` name (``left_semi``) or do not (``left_anti``).
+
+    ``text_key`` is the 64-bit hash of the text; ``more`` gives what other columns of ``keys`` equal.
+    """
+    names = ["doc_id", "text_key", *more]
+    new = fresh(docs, *(f"key_{n}" for n in names))
+    same = F.col("doc_id").eqNullSafe(F.col(new[0])) & (F.xxhash64("text") == F.col(new[1]))
+    for name, value in zip(new[2:], more.values()):
+        same = same & value.eqNullSafe(F.col(name))
+    return docs.join(keys.select(*(F.col(n).alias(a) for n, a in zip(names, new))), same, how)
+
+
+def once(docs: DataFrame) -> DataFrame:
+    """One of the rows that repeat ``doc_id`` and text."""
+    key, n = fresh(docs, "row_key", "row_number")
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    first = F.row_number().over(Window.partitionBy("doc_id", key).orderBy(key))
+    return rows.withColumn(n, first).where(F.col(n) == 1).select(*docs.columns)
+
+
 #: A table of so many bytes may go to every executor.
 BROADCAST_BYTES = 32 << 20
 

@@ -36,7 +36,8 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         if seen == was or not seen[0]:
             break
         was = seen
-        now = common.materialize(_star(_star(now, True), False), "links")
+        before, now = now, common.materialize(_star(_star(now, True), False), "links")
+        common.release(before)
     else:
         raise RuntimeError("components: no fixed point was reached")
     # at the fixed point every link goes from a node to the root of its star

@@ -1,8 +1,8 @@
 """Operator 8: quality by a document classifier and hierarchical empirical Bayes.
 
 A small additive model (logistic regression over decile indicators of text statistics)
-gives each document's own evidence.  It is fitted on a bounded sample of labelled rows:
-the ``MOST_TRAINING`` rows of the smallest hash of their id.  Everything else covers all
+gives each document's own evidence.  It is fitted on a bounded sample of labelled documents:
+the ``MOST_TRAINING`` rows of the smallest hash of their id, the only cut.  Everything else covers all
 data: grouped sums of the evidence give each host a posterior shrunk towards the global
 rate, and each path of a host one shrunk towards its host; the prior's weight comes from
 the spread between groups (method of moments), so sparse sites stay close to their
@@ -13,6 +13,7 @@ Defined results: a null text is an empty one; null hosts and paths are groups of
 own; labels for unknown documents are ignored, repeated labels all count; without any
 usable label (or with one class only) every document gets the smoothed global rate;
 repeated rows are scored alike; an empty table gives no rows; other columns are kept.
+Rows are told apart by ``doc_id``, host, path and a 64-bit hash of the text.
 """
 
 from __future__ import annotations
@@ -55,17 +56,17 @@ def text_features(text: str) -> list[float]:
 
 
 def with_features(docs: DataFrame, host: Column, path: Column) -> DataFrame:
-    """doc_id, a key of the whole row, host, path and the feature vector."""
+    """doc_id, a key of the text, host, path and the feature vector."""
     common.ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             f = [text_features(t) for t in batch.column("text").to_pylist()]
-            cols = [batch.column(n) for n in ("doc_id", "doc_key", "host", "path")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(f, pa.list_(pa.float32()))], names=["doc_id", "doc_key", "host", "path", "features"])
+            cols = [batch.column(n) for n in ("doc_id", "text_key", "host", "path")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(f, pa.list_(pa.float32()))], names=["doc_id", "text_key", "host", "path", "features"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc_key"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, doc_key long, host string, path string, features array<float>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, host string, path string, features array<float>")
 
 
 class Additive:
@@ -104,9 +105,8 @@ class Additive:
 def fit(features: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> Additive:
     """Fit on the bounded sample of labelled documents."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    got = features.select("doc_id", "features").join(F.broadcast(sample), "doc_id").limit(4 * most).toPandas()  # the sample is bounded; so are its rows
-    got = got.sort_values(["doc_id", "y"], kind="stable")
+    labelled = features.select("doc_id", "features").join(known, "doc_id")
+    got = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "features").limit(most).toPandas()  # bounded
     x = np.array(got["features"].tolist(), dtype=np.float64).reshape(len(got), len(FEATURES))
     return Additive(x, got["y"].to_numpy(dtype=float))
 
@@ -121,8 +121,15 @@ def _weight(groups: DataFrame, rate: float) -> float:
     return float(min(1e6, max(1.0, spread / max(between, 1e-9) - 1)))
 
 
+def site_of(url: Column) -> tuple[Column, Column]:
+    """Host and first directory of an address, for tables that have one (null where there is none)."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*/)", 1)
+    return F.nullif(host, F.lit("")), F.when(F.nullif(host, F.lit("")).isNotNull(), F.when(path == "", "/").otherwise(path))
+
+
 def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, most: int = MOST_TRAINING) -> DataFrame:
-    """doc_id, doc_key, host, path, p_document, p_host, p_path and p_good of every row."""
+    """doc_id, text_key, host, path, p_document, p_host, p_path and p_good of every row."""
     host = host if host is not None else F.col("source")
     path = path if path is not None else F.col("lang")
     features = common.materialize(with_features(docs, host, path), "quality-features")
@@ -131,10 +138,10 @@ def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     def run(batches):
         for batch in batches:
             x = np.array(batch.column("features").to_pylist(), dtype=np.float64).reshape(batch.num_rows, len(FEATURES))
-            cols = [batch.column(n) for n in ("doc_id", "doc_key", "host", "path")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(model.log_odds(x))], names=["doc_id", "doc_key", "host", "path", "own"])
+            cols = [batch.column(n) for n in ("doc_id", "text_key", "host", "path")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(model.log_odds(x))], names=["doc_id", "text_key", "host", "path", "own"])
 
-    rows = features.mapInArrow(run, "doc_id long, doc_key long, host string, path string, own double")
+    rows = features.mapInArrow(run, "doc_id long, text_key long, host string, path string, own double")
     rows = common.materialize(rows.withColumn("p_document", 1 / (1 + F.exp(-F.col("own")))), "quality-evidence")
     paths = common.materialize(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_document").alias("s")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
@@ -149,13 +156,14 @@ def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     out = out.withColumn("p_path", (F.col("s_path") - F.col("p_document") + w_path * F.col("p_host")) / (F.col("n_path") - 1 + w_path))
     odds = F.col("own") + F.log(F.col("p_path") / (1 - F.col("p_path"))) - F.lit(math.log(rate / (1 - rate)))
     out = out.withColumn("p_good", 1 / (1 + F.exp(-odds)))
-    return out.select("doc_id", "doc_key", "host", "path", "p_document", "p_host", "p_path", "p_good")
+    return out.select("doc_id", "text_key", "host", "path", "p_document", "p_host", "p_path", "p_good")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rejected rows, columns as they were."""
-    bad = score(docs, labels, host, path).where(F.col("p_good") < threshold).select(F.col("doc_key").alias("__key")).distinct()
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(bad, "__key", "left_anti").select(*docs.columns)
+    host, path = host if host is not None else F.col("source"), path if path is not None else F.col("lang")
+    bad = score(docs, labels, host, path).where(F.col("p_good") < threshold).select("doc_id", "text_key", "host", "path").distinct()
+    return common.match_rows(docs, bad, "left_anti", host=host.cast("string"), path=path.cast("string"))
 
 
 def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,26 @@
 """Operator 10: SimHash near-duplicates with pivot distance tables.
 
 Fingerprints (64 bits over word shingles) link at ``radius`` or fewer differing bits.
-Distinct fingerprints only are compared.  The bits are cut into ``radius + 2`` blocks;
-a linked pair agrees on two of them at least, so it meets under one of the block pairs'
-keys, and no link is lost.  Under a key, each fingerprint carries its row of the pivot
-table, its Hamming distances to reference fingerprints: by the triangle inequality a
-pair whose rows differ by more than ``radius`` in any coordinate cannot link, so it is
+Distinct fingerprints only are compared.  The bits are cut into ``radius + t`` blocks;
+a linked pair agrees on t of them at least, so it meets under one of the keys made of t
+blocks, and no link is lost; t grows with the table, so that a key keeps few fingerprints.
+Under a key, each fingerprint carries its row of the pivot table, its Hamming distances
+to reference fingerprints: by the triangle inequality a pair whose rows differ by more
+than ``radius`` in any coordinate cannot link, so only those within ``radius`` of each
+other in the first coordinate are looked at and those that differ more in another are
 discarded; survivors are verified by counting differing bits.  A key with many
 fingerprints is cut into blocks and its pairs of blocks are dealt to different tasks.
+
+Pivot distances alone do not select enough: two random fingerprints are within 4 of each
+other's distance to a pivot with a chance of 0.52, so 2**-21, what the smallest keys
+leave, takes 22 pivots, and a grid over 22 coordinates would copy each row 2**22 times.
 A task emits a spanning forest of the links of its group, not all pairs; components
 then join the forests.
 
 Defined results: a null, empty or blank text has fingerprint zero and links like any
 other; rows with a null ``doc_id`` get the component of their fingerprint; repeated rows
-are kept; an empty table gives no rows; other columns are not read.
+are kept; an empty table gives no rows; other columns are not read.  Rows are told apart by
+``doc_id`` and a 64-bit hash of the text.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,6 +40,8 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 PIVOTS = 24
 #: Fingerprints of one key that a task compares; more are cut into blocks of this size.
 GROUP = 2048
+#: Random fingerprints that a key may hold on average before one more block has to agree.
+USUAL = 64
 
 
 def fingerprint(text: str | None, words: int = SHINGLE) -> int:
@@ -55,16 +64,16 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """doc_id, a key of doc_id and text, and fingerprint ``fp`` (the 64 bits as a signed long)."""
+    """doc_id, a key of the text, and fingerprint ``fp`` (the 64 bits as a signed long)."""
     common.ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "doc_key", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc_key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, doc_key long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def pivot_table(fps: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
@@ -133,14 +142,25 @@ def _link_groups(radius: int, pivots: int):
     return run
 
 
+def key_masks(agreeing: int, radius: int) -> list[int]:
+    """The bits of each key, as signed longs: every choice of so many of ``radius + agreeing`` blocks."""
+    blocks = radius + agreeing
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    of = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    return [m - (1 << 64) if m >> 63 else m for m in (sum(some) for some in combinations(of, agreeing))]
+
+
+def agreeing_blocks(n: int, radius: int) -> int:
+    """How many blocks make a key, so that n random fingerprints leave ``USUAL`` or fewer under it."""
+    for agreeing in range(2, 6):
+        if n <= USUAL << 64 * agreeing // (radius + agreeing):
+            break
+    return agreeing
+
+
 def fingerprint_links(distinct_fps: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS, group: int = GROUP) -> DataFrame:
     """Links (a, b) between distinct fingerprints that span every component at ``radius``."""
-    blocks = radius + 2
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    part = lambda k: F.shiftrightunsigned(F.col("fp"), edges[k]).bitwiseAND((1 << (edges[k + 1] - edges[k])) - 1)
-    keys = F.array(*(
-        (F.lit(t).cast("long") * (1 << 40)) + part(i) * (1 << 20) + part(j) for t, (i, j) in enumerate(combinations(range(blocks), 2))
-    ))
+    keys = F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(m)) for t, m in enumerate(key_masks(agreeing_blocks(distinct_fps.count(), radius), radius))))
     rows = distinct_fps.select("fp", F.explode(keys).alias("key"))
     counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(counts, "key").withColumn("cuts", F.ceil(F.col("n") / group).cast("int"))
@@ -153,23 +173,20 @@ def fingerprint_links(distinct_fps: DataFrame, radius: int = RADIUS, pivots: int
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, doc_key, fp, component and component_id, the smallest doc_id that links reach, for every row."""
+    """doc_id, text_key, fp, component and component_id, the smallest doc_id that links reach, for every row."""
     found = common.materialize(fingerprints(docs, words), "fingerprints")
     distinct = found.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     classes = components(fingerprint_links(distinct.select("fp"), radius), "a", "b")
     classes = distinct.join(classes, distinct.fp == classes.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     least = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return found.join(classes.join(least, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "doc_key", "fp", "component", "component_id")
+    return found.join(classes.join(least, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "text_key", "fp", "component", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component, the one of the smallest doc_id; columns as they were."""
     found = near_duplicates(docs, words, radius)
-    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "doc_key")).alias("best")).select(F.col("best.doc_key").alias("__key"))
-    rows = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(best, "__key", "left_semi")
-    # rows that repeat doc_id and text share a key
-    once = Window.partitionBy("__key").orderBy("__key")
-    return rows.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best")).select("best.doc_id", "best.text_key")
+    return common.once(common.match_rows(docs, best, "left_semi"))
 
 
 def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
