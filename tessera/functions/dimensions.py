@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 
 from .encodings import hex_label
 
-# Response codes from 0x2000 on.
-RESPONSES = """Undefined OK GeneralError SessionNotOpen InvalidTransactionID OperationNotSupported
-ParameterNotSupported IncompleteTransfer InvalidStorageID InvalidObjectHandle DevicePropNotSupported
-InvalidObjectFormat StoreFull ObjectWriteProtected StoreReadOnly AccessDenied NoThumbnailPresent
-SelfTestFailed PartialDeletion StoreNotAvailable SpecByFormatUnsupported NoValidObjectInfo
-InvalidCodeFormat UnknownVendorCode CaptureAlreadyTerminated DeviceBusy InvalidParentObject
-InvalidDevicePropFormat InvalidDevicePropValue InvalidParameter SessionAlreadyOpen
-TransactionCancelled SpecOfDestUnsupported""".split()
+# Response codes.
+RESPONSES = {
+    0x2000: "Undefined", 0x2001: "OK", 0x2002: "GeneralError", 0x2003: "SessionNotOpen", 0x2004: "InvalidTransactionID",
+    0x2005: "OperationNotSupported", 0x2006: "ParameterNotSupported", 0x2007: "IncompleteTransfer", 0x2008: "InvalidStorageID",
+    0x2009: "InvalidObjectHandle", 0x200A: "DevicePropNotSupported", 0x200B: "InvalidObjectFormat", 0x200C: "StoreFull",
+    0x200D: "ObjectWriteProtected", 0x200E: "StoreReadOnly", 0x200F: "AccessDenied", 0x2010: "NoThumbnailPresent", 0x2011: "SelfTestFailed",
+    0x2012: "PartialDeletion", 0x2013: "StoreNotAvailable", 0x2014: "SpecByFormatUnsupported", 0x2015: "NoValidObjectInfo",
+    0x2016: "InvalidCodeFormat", 0x2017: "UnknownVendorCode", 0x2018: "CaptureAlreadyTerminated", 0x2019: "DeviceBusy",
+    0x201A: "InvalidParentObject", 0x201B: "InvalidDevicePropFormat", 0x201C: "InvalidDevicePropValue", 0x201D: "InvalidParameter",
+    0x201E: "SessionAlreadyOpen", 0x201F: "TransactionCancelled", 0x2020: "SpecOfDestUnsupported",
+}
 
 # Operation codes.
 OPERATIONS = {
@@ -54,17 +57,20 @@ OBJECT_PROPERTIES = {
     0xDC48: "Description", 0xDC4B: "Copyright", 0xDC87: "Width", 0xDC88: "Height", 0xDC89: "Duration",
 }
 
-# Standard device properties from 0x5001 on, and the portable-device ones.
-PROPERTIES = dict(enumerate("""BatteryLevel FunctionalMode ImageSize CompressionSetting WhiteBalance RGBGain FNumber FocalLength
-FocusDistance FocusMode ExposureMeteringMode FlashMode ExposureTime ExposureProgramMode ExposureIndex ExposureBiasCompensation
-DateTime CaptureDelay StillCaptureMode Contrast Sharpness DigitalZoom EffectMode BurstNumber BurstInterval TimelapseNumber
-TimelapseInterval FocusMeteringMode UploadURL Artist CopyrightInfo""".split(), 0x5001)) | {
-    0xD401: "SynchronizationPartner", 0xD402: "DeviceFriendlyName", 0xD403: "Volume", 0xD405: "DeviceIcon",
+# Standard device properties, and the portable-device ones.
+PROPERTIES = {
+    0x5001: "BatteryLevel", 0x5002: "FunctionalMode", 0x5003: "ImageSize", 0x5004: "CompressionSetting", 0x5005: "WhiteBalance",
+    0x5006: "RGBGain", 0x5007: "FNumber", 0x5008: "FocalLength", 0x5009: "FocusDistance", 0x500A: "FocusMode",
+    0x500B: "ExposureMeteringMode", 0x500C: "FlashMode", 0x500D: "ExposureTime", 0x500E: "ExposureProgramMode", 0x500F: "ExposureIndex",
+    0x5010: "ExposureBiasCompensation", 0x5011: "DateTime", 0x5012: "CaptureDelay", 0x5013: "StillCaptureMode", 0x5014: "Contrast",
+    0x5015: "Sharpness", 0x5016: "DigitalZoom", 0x5017: "EffectMode", 0x5018: "BurstNumber", 0x5019: "BurstInterval",
+    0x501A: "TimelapseNumber", 0x501B: "TimelapseInterval", 0x501C: "FocusMeteringMode", 0x501D: "UploadURL", 0x501E: "Artist",
+    0x501F: "CopyrightInfo", 0xD401: "SynchronizationPartner", 0xD402: "DeviceFriendlyName", 0xD403: "Volume", 0xD405: "DeviceIcon",
     0xD406: "SessionInitiatorInfo", 0xD407: "PerceivedDeviceType",
 }
 
 TABLES = {
-    "response": dict(enumerate(RESPONSES, 0x2000)), "operation": OPERATIONS, "event": EVENTS, "format": FORMATS,
+    "response": RESPONSES, "operation": OPERATIONS, "event": EVENTS, "format": FORMATS,
     "object_property": OBJECT_PROPERTIES, "property": PROPERTIES,
 }
 

@@ -110,8 +110,9 @@ def quantise(d: Column, q1: int, q2: int, q3: int) -> Column:
 
 
 def code_width(total: Column, count: Column) -> Column:
-    """The least k for which count * 2**k reaches total."""
-    return F.when(total <= count, 0).otherwise(F.ceil(F.log2(total / count))).cast("int")
+    """The least k for which count * 2**k reaches total, 15 at most; 0 for counts of 0 and below.  Integers throughout."""
+    short = F.filter(F.array(*(F.shiftleft(count.cast("long"), k) for k in range(15))), lambda reached: reached < total)
+    return F.when((count > 0) & (count < total), F.size(short)).otherwise(0).cast("int")
 
 
 def tone_curve(v: Column, knots: list[int]) -> Column:

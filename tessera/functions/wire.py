@@ -14,7 +14,7 @@ def put_uint(v: Column, size: int) -> Column:
     return F.unhex(F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size)))))
 
 
-def get_uint(data: Column, offset: int, size: int) -> Column:
+def get_uint(data: Column, offset: int | Column, size: int) -> Column:
     """``size`` bytes at an offset as an unsigned integer; null where the bytes end before.
 
     Eight bytes give the raw bits in a long.
@@ -28,6 +28,23 @@ def get_int(data: Column, offset: int, size: int) -> Column:
     return sign_extend(get_uint(data, offset, size), 8 * size) if size < 8 else get_uint(data, offset, size)
 
 
+def event_packet(data: Column) -> Column:
+    """An event packet of fixed layout as (code, tx_id, params): 12 bytes of header, 32-bit parameters behind it."""
+    length = F.least(get_uint(data, 0, 4), F.octet_length(data).cast("long"))
+    params = F.transform(F.sequence(F.lit(0), F.floor((length - 12) / 4).cast("int") - 1), lambda k: get_uint(data, k * 4 + 12, 4))
+    params = F.when(length >= 16, params).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.octet_length(data) >= 12, F.struct(get_uint(data, 6, 2).cast("int").alias("code"), get_uint(data, 8, 4).alias("tx_id"), params.alias("params")))
+
+
+def scalar_entries(data: Column, size: int) -> Column:
+    """A property snapshot whose entries are all scalars of ``size`` bytes without a form: (code, type, getset, enabled, initial, current) of each."""
+    n, step = get_uint(data, 0, 4), 7 + 2 * size
+    field = lambda k, at, w: get_uint(data, k * step + (8 + at), w)
+    entry = lambda k: F.struct(field(k, 0, 2).cast("int").alias("code"), field(k, 2, 2).cast("int").alias("type"), field(k, 4, 1).cast("int").alias("getset"), field(k, 5, 1).cast("int").alias("enabled"), field(k, 6, size).alias("initial"), field(k, 6 + size, size).alias("current"))
+    whole = (n > 0) & (F.octet_length(data) >= 8 + n * step)
+    return F.when(whole, F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), entry)).otherwise(F.array())
+
+
 def put_string(s: Column) -> Column:
     """Counted UTF-16LE with a closing NUL; longer strings than the count can tell are refused by null."""
     units = F.octet_length(F.encode(s, "UTF-16LE")) / 2

@@ -14,10 +14,14 @@ def by_handle(eav: DataFrame, handle: str = "handle", prop: str = "prop", value:
     return one.groupBy(handle).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(prop).alias("key"), F.col("__v").alias("value"))))).alias("properties"))
 
 
-def pivot(eav: DataFrame, columns: dict[str, int], handle: str = "handle", prop: str = "prop", value: str | Column = "value", ordinal: str = "ordinal") -> DataFrame:
-    """Outer merge of property scans: listed properties as nullable columns, without a shuffle for each."""
-    v = F.col(value) if isinstance(value, str) else value
-    aggs = [F.max_by(v, F.when(F.col(prop) == c, F.col(ordinal))).alias(n) for n, c in columns.items()]
+def pivot(eav: DataFrame, columns: dict[str, int | tuple[int, str]], handle: str = "handle", prop: str = "prop", value: str | Column = "value", ordinal: str = "ordinal") -> DataFrame:
+    """Outer merge of property scans: listed properties as nullable columns, without a shuffle for each.
+
+    A property may be given with the column of its own value, so types can differ.
+    """
+    of = lambda v: F.col(v) if isinstance(v, str) else v
+    pairs = {n: c if isinstance(c, tuple) else (c, value) for n, c in columns.items()}
+    aggs = [F.max_by(of(v), F.when(F.col(prop) == c, F.col(ordinal))).alias(n) for n, (c, v) in pairs.items()]
     return eav.groupBy(handle).agg(*aggs)
 
 
@@ -62,4 +66,7 @@ def format_counts(objects: DataFrame, keys: Sequence[str], name: str, ordinal: s
 
 
 def byte_range(content: Column, offset: Column, length: Column) -> Column:
-    return F.substring(content, (offset + 1).cast("int"), length.cast("int"))
+    """``length`` bytes from ``offset`` on, as far as there are any; both may be 64-bit."""
+    size = F.octet_length(content).cast("long")
+    at, n = F.least(F.greatest(offset.cast("long"), F.lit(0)), size), F.greatest(length.cast("long"), F.lit(0))
+    return F.substring(content, (at + 1).cast("int"), F.least(n, size - at).cast("int"))

@@ -1,0 +1,192 @@
+"""Registered queries of further operators: projections, catalogues, transactions, codecs and feeds."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..codecs import lossless_jpeg
+from ..functions import dimensions as D
+from ..functions import encodings as E
+from ..functions import wire as W
+from ..operators import catalogue as C
+from ..operators import snapshot as P
+from ..operators import statistics as S
+from ..sources import records
+from ..streaming import events as feeds
+from .queries import query, t
+
+_TYPES = {"click": 1, "view": 2, "purchase": 3}
+_TYPE = "CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 ELSE 9 END"
+
+
+def _entries(spark, sf):
+    """Events as property entries of their user: code, ordinal and the current value."""
+    code = F.lit(9)
+    for name, k in _TYPES.items():
+        code = F.when(F.col("event_type") == name, k).otherwise(code)
+    return t(spark, sf, "events").select("user_id", code.alias("code"), F.col("event_id").alias("ordinal"), F.struct((F.col("event_id") % 1000 + 100).alias("num")).alias("current"))
+
+
+@query("""
+SELECT action, vendor_id, product_id, location, count(*) AS n FROM (
+  SELECT CASE WHEN event_id % 3 = 0 THEN 'remove' ELSE 'add' END AS action, CAST(user_id % 40 AS INTEGER) AS vendor_id, CAST(event_id % 50 AS INTEGER) AS product_id,
+    (user_id % 5) * 65536 + event_id % 8 AS location
+  FROM events WHERE event_id % 7 <> 0) GROUP BY ALL""")
+def hotplug_datagrams(spark, sf):
+    """Datagrams with a value that holds '=' and an ACTION key that contradicts the head."""
+    id_ = F.col("event_id")
+    head = F.concat(F.when(id_ % 3 == 0, "remove").otherwise("add"), F.lit("@/devices/usb1"))
+    product = F.concat(F.lit("PRODUCT="), F.lower(F.hex(F.col("user_id") % 40)), F.lit("/"), F.lower(F.hex(id_ % 50)), F.lit("/100"))
+    numbers = [F.concat(F.lit("BUSNUM="), (F.col("user_id") % 5).cast("string")), F.concat(F.lit("DEVNUM="), (id_ % 8).cast("string"))]
+    system = F.when(id_ % 7 == 0, "SUBSYSTEM=input").otherwise("SUBSYSTEM=usb")
+    gram = F.concat_ws("\0", head, F.lit("ACTION=change"), F.lit("NOTE=a=b"), system, F.lit("DEVTYPE=usb_device"), product, *numbers)
+    rows = records.datagram(t(spark, sf, "events").select(F.encode(gram, "UTF-8").alias("d")), "d")
+    return rows.groupBy("action", "vendor_id", "product_id", "location").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT width, count(*) AS n FROM (
+  SELECT CASE WHEN c <= 0 OR c >= s THEN 0 ELSE len(list_filter(range(15), lambda k: (c << k) < s)) END AS width
+  FROM (SELECT CAST(l_orderkey AS BIGINT) * l_partkey * (1 + l_linenumber % 3 * 1048576) AS s, CAST(l_suppkey % 20 AS BIGINT) AS c FROM lineitem)) GROUP BY width""")
+def code_width_wide(spark, sf):
+    """Over ratios from below one to beyond 2**31, and counts of zero."""
+    total = F.col("l_orderkey").cast("long") * F.col("l_partkey") * (F.col("l_linenumber") % 3 * 1048576 + 1)
+    rows = t(spark, sf, "lineitem").select(E.code_width(total, (F.col("l_suppkey") % 20).cast("long")).cast("long").alias("width"))
+    return rows.groupBy("width").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_id, event_id % 1000 + 100 AS v, {_TYPE} AS c FROM events),
+w AS (SELECT user_id, arg_max(v, event_id) FILTER (c = 1) AS a, arg_max(v, event_id) FILTER (c = 2) AS s, arg_max(v, event_id) FILTER (c = 3) AS i FROM e WHERE c <> 9 GROUP BY user_id)
+SELECT user_id, round(a / 100.0, 6) AS f_number, i % 16777216 AS iso FROM w""")
+def exposure_projection(spark, sf):
+    out = P.exposure(_entries(spark, sf), ["user_id"], 1, 2, 3)
+    return out.select("user_id", F.round("f_number", 6).alias("f_number"), F.col("iso.iso").cast("long").alias("iso"))
+
+
+@query(f"""
+SELECT user_id, arg_max(event_id % 1000 + 100, event_id) FILTER (c = 1) AS clicked, arg_max(event_id % 1000 + 100, event_id) FILTER (c = 3) AS bought
+FROM (SELECT *, {_TYPE} AS c FROM events) WHERE c IN (1, 3) GROUP BY user_id""")
+def property_projection(spark, sf):
+    return P.projection(_entries(spark, sf), ["user_id"], {"clicked": 1, "bought": 3})
+
+
+@query(f"""
+SELECT user_id, coalesce(bool_or(c = 1 AND event_id % 1000 = 7), FALSE) AS lucky, coalesce(bool_or(c = 3 AND event_id % 1000 = 3), FALSE) AS sold
+FROM (SELECT *, {_TYPE} AS c FROM events) GROUP BY user_id""")
+def property_flags(spark, sf):
+    return P.flags(_entries(spark, sf), ["user_id"], {"lucky": (1, 107), "sold": (3, 103)})
+
+
+@query("SELECT n_nationkey AS code, n_name, s_suppkey IS NULL AS absent, coalesce(s_suppkey, -1) AS s_suppkey FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) ON s_nationkey = n_nationkey")
+def required_properties(spark, sf):
+    have = t(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("code"), "s_suppkey")
+    return P.required(have, t(spark, sf, "nation").select(F.col("n_nationkey").alias("code"), "n_name"), "code").select("code", "n_name", "absent", F.coalesce("s_suppkey", F.lit(-1)).alias("s_suppkey"))
+
+
+@query("SELECT c_custkey, c_nationkey AS code, CASE WHEN n_regionkey < 3 THEN n_name END AS name, n_regionkey >= 3 AS unknown FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey % 2 = 0")
+def visible_properties(spark, sf):
+    nation = t(spark, sf, "nation")
+    names = nation.where("n_regionkey < 3").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"))
+    supported = nation.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("code"))
+    return P.visible(t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("code")), "code", supported, names)
+
+
+@query("SELECT user_id, event_id, 1 AS part FROM events WHERE event_id % 5 = 0 UNION ALL SELECT user_id, event_id, 2 FROM events WHERE event_id % 3 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 5 = 0 AND event_id < 600) AND event_id < 600 UNION ALL SELECT user_id, event_id, 3 FROM events WHERE FALSE")
+def append_unseen_handles(spark, sf):
+    events = t(spark, sf, "events").select("user_id", "event_id")
+    seen = events.where("event_id % 5 = 0").withColumn("part", F.lit(1))
+    early = events.where("event_id % 3 = 0 AND event_id < 600").withColumn("part", F.lit(2))
+    return C.append_unseen(seen.where("event_id < 600"), early, "user_id").unionByName(seen.where("event_id >= 600"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O' AND o_custkey % 10 = 3")
+def selected_objects(spark, sf):
+    rows = t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.col("o_orderstatus").alias("format"), (F.col("o_custkey") % 10).alias("parent"))
+    return C.select_objects(rows, fmt="O", parent=3).select("o_orderkey", "o_custkey", "o_orderpriority")
+
+
+@query("SELECT doc_id, hex(encode(text)[CAST(doc_id % 50 + 1 AS BIGINT) : CAST(least(strlen(text), doc_id % 50 + 12) AS BIGINT)]) AS part FROM documents WHERE text IS NOT NULL")
+def byte_ranges(spark, sf):
+    raw = F.encode("text", "UTF-8")
+    return t(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.hex(C.byte_range(raw, F.col("doc_id") % 50, F.lit(12))).alias("part"))
+
+
+@query("""
+WITH s AS (SELECT *, sum(CASE WHEN event_id % 9 < user_id % 9 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 9, user_id ORDER BY event_id) AS stale FROM events)
+SELECT user_id, event_id, CAST(stale AS BIGINT) AS stale, event_id % 9 <= user_id % 9 AND stale <= 8 AS in_step FROM s""")
+def replies_in_step(spark, sf):
+    rows = t(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") % 9).alias("tx"), (F.col("user_id") % 9).alias("asked"))
+    return S.in_step(rows, ["user_id"], "event_id", "tx", "asked").select("user_id", "event_id", "stale", "in_step")
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'view') AS described, count(*) FILTER (event_type = 'click') AS declined, count(*) FILTER (event_type NOT IN ('view', 'click')) AS failed FROM events GROUP BY user_id")
+def sweep_outcomes(spark, sf):
+    return S.sweep(t(spark, sf, "events"), ["user_id"], F.col("event_type") == "view", F.col("event_type") == "click")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'first' || p_size WHEN p_size % 4 = 1 THEN 'second' || p_size ELSE CAST(p_size AS VARCHAR) END AS label FROM part")
+def layered_value_names(spark, sf):
+    """Curated names of two layers, the first before the second, then the number."""
+    part = t(spark, sf, "part").select("p_partkey", F.lit(7).alias("prop"), F.col("p_size").cast("int").alias("value"))
+    layer = lambda word, k: part.where(F.col("value") % 4 <= k).select("prop", "value", F.concat(F.lit(word), F.col("value").cast("string")).alias("name")).distinct()
+    return D.values_named(part, "prop", "value", [layer("first", 0), layer("second", 1)]).select("p_partkey", "label")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_partkey % 16384 AS INTEGER) AS v FROM lineitem WHERE l_orderkey % 50 = 0")
+def lossless_jpeg_roundtrip(spark, sf):
+    """Each order's keys as one lossless-JPEG tile of its own, coded and decoded."""
+    lines = t(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", F.struct("l_linenumber", (F.col("l_partkey") % 16384).alias("v")).alias("s"))
+    tiles = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("s")).alias("s"))  # seven lines an order at most
+
+    def code(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            back = []
+            for row in batch.column(1).to_pylist():
+                px = np.array([x["v"] for x in row]).reshape(1, -1, 1)
+                back.append(lossless_jpeg.decode(lossless_jpeg.Scan(lossless_jpeg.encode(px, 14))).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(back, pa.list_(pa.int32()))], names=["l_orderkey", "lines", "back"])
+
+    rows = tiles.select(F.col("l_orderkey").cast("long").alias("l_orderkey"), "s", F.col("s.l_linenumber").cast("array<int>").alias("lines"))
+    coded = rows.mapInArrow(code, "l_orderkey long, lines array<int>, back array<int>")
+    both = coded.select("l_orderkey", F.inline(F.arrays_zip("lines", "back")))
+    types = dict(t(spark, sf, "lineitem").dtypes)
+    return both.select(F.col("l_orderkey").cast(types["l_orderkey"]).alias("l_orderkey"), F.col("lines").cast(types["l_linenumber"]).alias("l_linenumber"), F.col("back").alias("v"))
+
+
+def _fed(spark, rows, folder_schema, build, mode="append"):
+    """Rows through a Structured Streaming query that takes what is there and ends; its table."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/feeds"
+    place = f"{root.rstrip('/')}/feed-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{place}/in")
+    source = spark.readStream.schema(folder_schema).parquet(f"{place}/in")
+    build(source).writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{place}/ck").option("path", f"{place}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/out")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS stream_id, event_id AS seq FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type")
+def streamed_changes(spark, sf):
+    rows = t(spark, sf, "events").select(F.col("user_id").cast("string").alias("stream_id"), F.col("event_id").alias("seq"), "event_type")
+    return _fed(spark, rows, rows.schema, lambda d: feeds.changes(d, "event_type")).select("stream_id", "seq")
+
+
+@query("SELECT CAST(user_id % 10 AS VARCHAR) AS stream_id, user_id AS handle, min(event_id) AS seq FROM events WHERE event_type = 'click' GROUP BY user_id")
+def streamed_first_seen(spark, sf):
+    rows = t(spark, sf, "events").select((F.col("user_id") % 10).cast("string").alias("stream_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", 0x4002).otherwise(1).alias("code"), F.array(F.col("user_id")).alias("params"))
+    return _fed(spark, rows, rows.schema, lambda d: feeds.first_seen(d, [0x4002], [0x4003])).select("stream_id", "handle", "seq")
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS stream_id, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders GROUP BY o_custkey")
+def streamed_framing(spark, sf):
+    """A container an order, cut in two, framed from each customer's live stream."""
+    key = F.col("o_orderkey")
+    whole = F.concat(W.put_uint(F.lit(16), 4), W.put_uint(F.lit(3), 2), W.put_uint(F.lit(0x2001), 2), W.put_uint(key, 4), W.put_uint(key, 4))
+    halves = F.array(F.struct((key * 2).cast("long").alias("seq"), F.substring(whole, 1, 7).alias("data")), F.struct((key * 2 + 1).cast("long").alias("seq"), F.substring(whole, 8, 9).alias("data")))
+    rows = t(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("stream_id"), F.explode(halves).alias("c")).select("stream_id", "c.*")
+    found = _fed(spark, rows, rows.schema, feeds.frame_stream)
+    return found.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum(W.get_uint(F.col("body"), 0, 4)).alias("total"))

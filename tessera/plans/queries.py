@@ -53,7 +53,7 @@ FROM lineitem GROUP BY l_returnflag""")
 def aperture_roundtrip(spark, sf):
     """Encode an aperture property, decode the snapshot, derive the f-number, summarise."""
     rows = t(spark, sf, "lineitem").select("l_returnflag", snapshot_blob((F.lit(0x5007), 4, E.aperture_encode(F.col("l_quantity")), 2)).alias("blob"))
-    found = records.decode(rows, "blob", "snapshot", ["l_returnflag"]).select("l_returnflag", E.aperture_decode(F.col("current.num")).alias("f"))
+    found = rows.select("l_returnflag", F.inline(W.scalar_entries(F.col("blob"), 2))).select("l_returnflag", E.aperture_decode(F.col("current")).alias("f"))
     return found.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("f"), 6).alias("avg_f"), F.min("f").alias("min_f"), F.max("f").alias("max_f"))
 
 
@@ -83,14 +83,14 @@ def prop_list_roundtrip(spark, sf):
     row = lambda prop, kind, v: F.concat(W.put_uint(F.col("o_orderkey"), 4), W.put_uint(F.lit(prop), 2), W.put_uint(F.lit(kind), 2), v)
     blob = F.concat(W.put_uint(F.lit(2), 4), row(0xDC04, 6, W.put_uint(F.col("o_custkey"), 4)), row(0xDC07, 0xFFFF, W.put_string(F.col("o_orderstatus"))))
     eav = records.decode(t(spark, sf, "orders").select("o_orderkey", blob.alias("blob")), "blob", "prop_list", ["o_orderkey"])
-    return C.pivot(eav, {"customer": 0xDC04}, value="value.num").join(C.pivot(eav, {"status": 0xDC07}, value="value.str"), "handle").select("handle", "customer", "status")
+    return C.pivot(eav, {"customer": (0xDC04, "value.num"), "status": (0xDC07, "value.str")})
 
 
 @query("SELECT event_id, CAST(16386 AS INTEGER) AS code, user_id AS tx_id, event_id % 1000 AS param FROM events")
 def event_packet_roundtrip(spark, sf):
     packet = F.concat(W.put_uint(F.lit(16), 4), W.put_uint(F.lit(4), 2), W.put_uint(F.lit(0x4002), 2), W.put_uint(F.col("user_id"), 4), W.put_uint(F.col("event_id") % 1000, 4))
-    found = records.decode(t(spark, sf, "events").select("event_id", packet.alias("blob")), "blob", "event", ["event_id"])
-    return found.select("event_id", "code", "tx_id", F.get("params", F.lit(0)).alias("param"))
+    found = t(spark, sf, "events").select("event_id", W.event_packet(packet).alias("e"))
+    return found.select("event_id", "e.code", "e.tx_id", F.get("e.params", F.lit(0)).alias("param"))
 
 
 @query("SELECT o_custkey AS stream_id, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders GROUP BY o_custkey")
@@ -224,16 +224,16 @@ def snapshot_diff(spark, sf):
     return P.difference(old, new, "user_id", "event_type", ignore=[1])
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 7 = 0)")
+@query("SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 101 = 0)")
 def new_frames(spark, sf):
     events = t(spark, sf, "events")
-    return C.unseen(events.where("event_id % 2 = 0").select("user_id"), events.where("event_id % 7 = 0"), "user_id").distinct()
+    return C.unseen(events.where("event_id % 2 = 0").select("user_id"), events.where("event_id % 101 = 0"), "user_id").distinct()
 
 
-@query("SELECT user_id, count(*) FILTER (user_id NOT IN (SELECT user_id FROM events WHERE event_id % 7 = 0)) > 0 AS is_new, count(*) AS n FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) FILTER (user_id NOT IN (SELECT user_id FROM events WHERE event_id % 101 = 0)) > 0 AS is_new, count(*) AS n FROM events GROUP BY user_id")
 def tag_new_frames(spark, sf):
     events = t(spark, sf, "events")
-    return C.tag_new(events.select("user_id"), events.where("event_id % 7 = 0"), "user_id").groupBy("user_id", "is_new").agg(F.count("*").alias("n"))
+    return C.tag_new(events.select("user_id"), events.where("event_id % 101 = 0"), "user_id").groupBy("user_id", "is_new").agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, arg_max(value, event_id) FILTER (event_type = 'click') AS click, arg_max(value, event_id) FILTER (event_type = 'view') AS viewed FROM events GROUP BY user_id")

@@ -15,7 +15,8 @@ def read_bundle(spark: SparkSession, folder: str, name_part: str = "", suffix: s
 
 def last_file(bundle: DataFrame) -> DataFrame:
     """The last file by name (one row, or none)."""
-    return bundle.agg(F.max_by(F.struct("path", "length", "content"), "path").alias("f")).where("f IS NOT NULL").select("f.*")
+    last = bundle.agg(F.max("path").alias("last"))  # of names only; one row
+    return bundle.join(F.broadcast(last), F.col("path") == F.col("last")).select("path", "length", "content")
 
 
 def write_transactions(found: DataFrame, path: str) -> None:

@@ -69,12 +69,24 @@ def decode(df: DataFrame, blob: str, kernel: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.col(blob).cast("binary").alias("__blob")).mapInArrow(run, schema)
 
 
-def datagram(df: DataFrame, blob: str) -> DataFrame:
-    """Hot-plug datagrams (ACTION@PATH, then NUL-separated KEY=VALUE): action, vendor and product of USB devices."""
-    parts = F.split(F.decode(F.col(blob), "UTF-8"), "\0")
-    pairs = F.filter(F.slice(parts, 2, 1000), lambda p: p.contains("="))
-    found = F.transform(pairs, lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("k"), F.substring_index(p, "=", -1).alias("v")))
-    get = lambda name: F.get(F.filter(found, lambda s: s["k"] == name), F.lit(0))["v"]
-    out = df.withColumn("action", get("ACTION")).withColumn("kind", get("DEVTYPE")).withColumn("__product", get("PRODUCT"))
-    ident = lambda k: F.conv(F.split_part(F.col("__product"), F.lit("/"), F.lit(k)), 16, 10).cast("int")
-    return out.where((F.col("kind") == "usb_device") & F.col("action").isin("add", "remove")).withColumn("vendor_id", ident(1)).withColumn("product_id", ident(2)).drop("__product", "kind")
+def datagram(df: DataFrame, blob: str, vendors: list[int] | None = None) -> DataFrame:
+    """Hot-plug datagrams of USB devices: action, vendor_id, product_id and location (bus and device number).
+
+    The first field is ACTION@PATH; KEY=VALUE fields follow, each behind a NUL byte, of which
+    the last of a repeated key counts.  Other actions, subsystems and device types give no
+    row, nor do vendors outside ``vendors`` where those are given.  Identifiers that are no
+    16-bit hexadecimal number are 0.
+    """
+    fields = F.split(F.decode(F.col(blob), "UTF-8"), "\0")
+    last = lambda k: F.try_element_at(F.filter(fields, lambda f, i: (i > 0) & f.startswith(k + "=")), F.lit(-1))
+    get = lambda k: F.substring(F.coalesce(last(k), F.lit("")), len(k) + 2, 1 << 30)
+    product = F.split(get("PRODUCT"), "/")
+    part = lambda k: F.coalesce(F.get(product, k), F.lit(""))
+    ident = lambda k: F.when((F.size(product) >= 2) & part(k).rlike("^0*[0-9A-Fa-f]{1,4}$"), F.conv(part(k), 16, 10).cast("int")).otherwise(0)
+    number = lambda k: F.coalesce(F.when(get(k).rlike("^[+-]?[0-9]+$"), get(k).try_cast("int")), F.lit(0))
+    out = df.withColumns({
+        "action": F.split_part(F.get(fields, 0), F.lit("@"), F.lit(1)), "vendor_id": ident(0), "product_id": ident(1),
+        "location": F.shiftleft(number("BUSNUM").cast("long"), 16).bitwiseOR(number("DEVNUM").bitwiseAND(0xFFFF).cast("long")),
+    })
+    out = out.where((get("SUBSYSTEM") == "usb") & (get("DEVTYPE") == "usb_device") & F.col("action").isin("add", "remove"))
+    return out if vendors is None else out.where(F.col("vendor_id").isin(*vendors))

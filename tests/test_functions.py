@@ -134,5 +134,8 @@ def test_codec_terms(spark):
     assert [one(spark, E.zigzag_decode(F.lit(k))) for k in range(5)] == [0, -1, 1, -2, 2]
     assert [one(spark, E.quantise(F.lit(d), 18, 67, 276)) for d in (0, -1, 18, 67, -300)] == [0, -1, 2, 3, -4]
     assert one(spark, E.code_width(F.lit(9), F.lit(2))) == 3
+    for total, count in ((1 << 29, 1), ((1 << 29) + 1, 1 << 15), (1 << 14, 1), ((1 << 14) + 1, 1), (1 << 40, 3), (5, 0), (5, -1), (0, 3), (3, 3), (2**31 * 7, 7 << 20)):
+        want = next((k for k in range(15) if count << k >= total), 15) if 0 < count < total else 0
+        assert one(spark, E.code_width(F.lit(total), F.lit(count))) == want, (total, count)
     assert one(spark, E.magnitude_extend(F.lit(2), F.lit(3))) == -5
     assert one(spark, E.tone_curve(F.lit(15), [10, 20, 30, 40])) == 10 + 5 * 2

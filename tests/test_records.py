@@ -116,12 +116,37 @@ def test_other_records(spark):
 
 
 def test_hotplug_datagrams(spark):
-    gram = lambda action, kind, product: bytearray(f"{action}@/devices/x\0ACTION={action}\0DEVTYPE={kind}\0PRODUCT={product}\0".encode())
+    gram = lambda action, kind, product: bytearray(f"{action}@/devices/x\0ACTION={action}\0SUBSYSTEM=usb\0DEVTYPE={kind}\0PRODUCT={product}\0".encode())
     df = spark.createDataFrame([(gram("add", "usb_device", "4cb/2d8/100"),), (gram("remove", "usb_device", "54c/1/1"),), (gram("add", "usb_interface", "4cb/1/1"),), (gram("change", "usb_device", "4cb/1/1"),)], "d binary")
     got = sorted((r.action, r.vendor_id, r.product_id) for r in records.datagram(df, "d").collect())
     assert got == [("add", 0x4CB, 0x2D8), ("remove", 0x54C, 1)]
 
 
+def test_hotplug_datagram_fields(spark):
+    gram = lambda head, *fields: bytearray("\0".join((head, *fields)).encode())
+    usb = ("SUBSYSTEM=usb", "DEVTYPE=usb_device")
+    many = [f"K{k}=v" for k in range(3000)]
+    rows = [
+        gram("add@/a", *many, *usb, "PRODUCT=54c/1/2", "BUSNUM=003", "DEVNUM=65537"),
+        gram("remove@/a", "ACTION=add", *usb, "PRODUCT=1/2"),
+        gram("add@/a", "DEVTYPE=usb_device", "PRODUCT=1/2"),
+        gram("add@/a", *usb, "PRODUCT=12345/zz", "DEVNUM=x", "SUBSYSTEM=usb"),
+        gram("add@/a", *usb, "PRODUCT=7/8", "PRODUCT=9/a", "DEVTYPE=usb_device=x"),
+        gram("add@/a", *usb, "PRODUCT=7/8", "PRODUCT=9/a", "NOTE=a=b", "noequals"),
+    ]
+    got = [(r.action, r.vendor_id, r.product_id, r.location) for r in records.datagram(spark.createDataFrame([(r,) for r in rows], "d binary").coalesce(1), "d").collect()]
+    assert got == [("add", 0x54C, 1, 3 << 16 | 1), ("remove", 1, 2, 0), ("add", 0, 0, 0), ("add", 9, 10, 0)]
+    assert records.datagram(spark.createDataFrame([(r,) for r in rows], "d binary"), "d", [9]).count() == 1
+
+
+def test_byte_range_is_64_bit(spark):
+    from tessera.operators.catalogue import byte_range
+
+    ask = [(0, 3), (4, 100), (6, 1), (2**33, 5), (1, 2**40), (0, 0)]
+    df = spark.createDataFrame([(bytearray(b"abcdef"), o, n) for o, n in ask], "c binary, o long, n long").coalesce(1)
+    assert [bytes(r[0]) for r in df.select(byte_range(F.col("c"), F.col("o"), F.col("n"))).collect()] == [b"abcdef"[o : o + n] for o, n in ask]
+
+
 def container(typ, code, tx, body=b""):
     return u(12 + len(body), 4) + u(typ, 2) + u(code, 2) + u(tx, 4) + body
 
