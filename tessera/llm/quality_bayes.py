@@ -105,8 +105,15 @@ class Additive:
 def fit(features: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> Additive:
     """Fit on the bounded sample of labelled documents."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
-    labelled = features.select("doc_id", "features").join(known, "doc_id")
-    got = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "features").limit(most).toPandas()  # bounded
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("place")
+    labelled = common.materialize(features.select("doc_id", "features").join(known, "doc_id").select("doc_id", "features", "y", place), "quality-labelled")
+    # only places that the smallest ones can have, so that no more than about the sample reaches the driver
+    n = labelled.count()
+    near = labelled.where(F.col("place") < int((1 << 40) * min(1.0, 1.5 * most / max(n, 1))))
+    if near.count() < min(n, most):  # a few ids hold most rows
+        near = labelled
+    got = common.materialize(near.orderBy("place", "doc_id", "y", "features").limit(most), "quality-sample").toPandas()  # ``most`` rows at most
+    got = got.sort_values(["place", "doc_id", "y"], kind="stable")
     x = np.array(got["features"].tolist(), dtype=np.float64).reshape(len(got), len(FEATURES))
     return Additive(x, got["y"].to_numpy(dtype=float))
 

@@ -9,7 +9,8 @@ gather fetches their symbols.  ``encode`` writes such images with any of the tra
 
 The media column stores a byte payload as 8-bit grey samples, 64 to a row, in
 images of at most 16,384 rows (the format's limit); a longer payload is a sequence of
-images, so no image grows with the text.
+images, so no image grows with the text.  The images are written to a table and decoded
+from what is read of it.
 
 Defined results: a null text is an empty one (one row of zero bytes); repeated rows are
 kept, and equal texts give equal values; an empty table gives no rows; other columns are
@@ -107,25 +108,29 @@ def read_code(bits: Bits, size: int) -> Code:
         lens[k] = bits.read(3)
     outer = Code(lens)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
+    # a symbol and its extra bits are 14 bits at most: one look at the next bytes is enough for both
+    symbols, steps, mask = outer.symbols.tolist(), outer.lengths.tolist(), (1 << outer.bits) - 1
+    data, place, at, last = bits.data, bits.at, 0, 8
     while at < size and left:
         left -= 1
-        s = outer.next(bits)
+        w = int.from_bytes(data[place >> 3 : (place >> 3) + 3], "little") >> (place & 7)
+        s, n = symbols[w & mask], steps[w & mask]
+        place += n
         if s < 16:
             lengths[at] = s
             at += 1
             last = s or last
             continue
-        if s == 16:
-            times, value = 3 + bits.read(2), last
-        elif s == 17:
-            times, value = 3 + bits.read(3), 0
-        else:
-            times, value = 11 + bits.read(7), 0
+        extra, least, value = ((2, 3, last), (3, 3, 0), (7, 11, 0))[s - 16]
+        times = least + (w >> n & ((1 << extra) - 1))
+        place += extra
         if at + times > size:
             raise ValueError("too many code lengths")
         lengths[at : at + times] = [value] * times
         at += times
+    if place > (len(data) - 8) * 8:
+        raise ValueError("truncated image")
+    bits.at = place
     return Code(lengths)
 
 
@@ -280,6 +285,9 @@ def predict(mode: int, left, top, right, corner):
 def _predictor(pixels: np.ndarray, modes: np.ndarray, shift: int, inverse: bool) -> np.ndarray:
     """Add (or take away) predictions in scan order; ``pixels`` is (height, width, 4)."""
     h, w, _ = pixels.shape
+    uniform = np.unique(modes)
+    if inverse and len(uniform) == 1 and uniform[0] in (1, 2):
+        return _sum_up(pixels, int(uniform[0]))
     out = pixels.copy()
     whole = out if inverse else pixels  # what predictions look at
     flat = whole.reshape(-1, 4)
@@ -307,6 +315,18 @@ def _predictor(pixels: np.ndarray, modes: np.ndarray, shift: int, inverse: bool)
     return out
 
 
+def _sum_up(pixels: np.ndarray, mode: int) -> np.ndarray:
+    """The inverse where every pixel is predicted by its left (1) or upper (2) neighbour: running sums."""
+    out = pixels.copy()
+    out[0, 0] += (0, 0, 0, 255)
+    out[0] = np.cumsum(out[0], axis=0)
+    if mode == 2:
+        return np.cumsum(out, axis=0) & 255
+    out[:, 0] = np.cumsum(out[:, 0], axis=0)
+    out[1:] = np.cumsum(out[1:], axis=1)
+    return out & 255
+
+
 def _cross_colour(px: np.ndarray, table: np.ndarray, shift: int, inverse: bool) -> np.ndarray:
     h, w, _ = px.shape
     el = _channels(table)[np.arange(h)[:, None] >> shift, np.arange(w)[None, :] >> shift]
@@ -397,12 +417,14 @@ class BitWriter:
     def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
         """Many values of their own sizes, one behind the other."""
         self.flush()
+        if not len(sizes):
+            return
         ends = np.cumsum(sizes, dtype=np.int64)
-        out, starts = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8), ends - sizes
-        for k in range(int(sizes.max(initial=0))):
-            some = sizes > k
-            out[starts[some] + k] = (values[some] >> k) & 1
-        self.parts.append(out)
+        starts, v = ends - sizes, values.astype(np.uint64)
+        words, at, off = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64), starts >> 6, (starts & 63).astype(np.uint64)
+        np.add.at(words, at, v << off)
+        np.add.at(words, at + 1, (v >> np.uint64(1)) >> (np.uint64(63) - off))  # what a word has no room for
+        self.parts.append(np.unpackbits(words.view(np.uint8), count=int(ends[-1]), bitorder="little"))
 
     def bytes(self) -> bytes:
         self.flush()
@@ -468,18 +490,17 @@ def write_code(w: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     sizes = code_lengths(counts)
     w.put(0, 1)
     plain: list[tuple[int, int, int]] = []  # symbol, extra, extra bits
-    k, n = 0, int(used[-1]) + 1
-    while k < n:
-        run = 1
-        while k + run < n and sizes[k + run] == sizes[k]:
-            run += 1
-        if sizes[k] == 0 and run >= 3:
-            run = min(run, 138)
-            plain.append((17, run - 3, 3) if run <= 10 else (18, run - 11, 7))
-            k += run
-        else:
-            plain.append((int(sizes[k]), 0, 0))
-            k += 1
+    k, each = 0, sizes[: int(used[-1]) + 1].tolist()
+    for at in [*used.tolist(), None]:
+        run = (at if at is not None else len(each)) - k
+        while run > 2:  # zeros
+            n = min(run, 138)
+            plain.append((17, n - 3, 3) if n <= 10 else (18, n - 11, 7))
+            run -= n
+        plain += [(0, 0, 0)] * run
+        if at is not None:
+            plain.append((each[at], 0, 0))
+            k = at + 1
     outer = np.bincount([p[0] for p in plain], minlength=19)
     lens = code_lengths(outer, 7)
     many = max(k for k, s in enumerate(LENGTH_ORDER) if lens[s]) + 1
@@ -492,9 +513,8 @@ def write_code(w: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     code = canonical(lens)
     if np.count_nonzero(lens) < 2:
         lens = np.zeros_like(lens)
-    for s, extra, n in plain:
-        w.put(int(code[s]), int(lens[s]))
-        w.put(extra, n)
+    symbols, extra, n = np.array(plain, np.int64).T
+    w.put_all(np.stack([code[symbols], extra], axis=1).ravel(), np.stack([lens[symbols], n], axis=1).ravel())
     if np.count_nonzero(sizes) < 2:
         sizes = np.zeros_like(sizes)
     return canonical(sizes), sizes
@@ -509,6 +529,45 @@ def _prefix(v: int) -> tuple[int, int, int]:
     return 2 * n + 2 + (v >> n & 1), v & ((1 << n) - 1), n
 
 
+def _write_symbols(w: BitWriter, px: np.ndarray, matches) -> None:
+    """Literals and back-references without a colour cache: all symbols at once."""
+    plain, refs = np.ones(len(px), bool), np.zeros((0, 6), np.int64)
+    if matches:
+        for at, n, _ in matches:
+            plain[at : at + n] = False
+        refs = np.array([(*_prefix(n), *_prefix(far + 120)) for _, n, far in matches], np.int64)
+    places = np.flatnonzero(plain)
+    lit = px if not matches else px[places]
+    chans, other = [(lit >> 8 & 0xFF).astype(np.int64)], lit & np.uint32(0xFFFF00FF)
+    grey = bool(len(lit)) and bool((other == other[0]).all())
+    # the other channels of grey images have one value each
+    chans += [(other[:1] if grey else lit) >> s & 0xFF for s in (16, 0, 24)]
+    counts = np.bincount(chans[0], minlength=ALPHABETS[0])
+    if len(refs):
+        counts += np.bincount(256 + refs[:, 0], minlength=ALPHABETS[0])
+    codes = [write_code(w, counts)]
+    for c in chans[1:]:
+        same = not len(c) or bool((c == c[0]).all())
+        codes.append(_write_one(w, int(c[0]) if len(c) else 0) if same else write_code(w, np.bincount(c, minlength=256)))
+    far = write_code(w, np.bincount(refs[:, 3], minlength=ALPHABETS[4])) if len(refs) else _write_one(w, 0)
+    used = [(c, code) for c, code in zip(chans, codes) if code is not None and code[1].any()]
+    if not used and not len(refs):
+        return
+    values, sizes = (np.stack([code[k][c] for c, code in used], axis=1) if used else np.zeros((len(lit), 1), np.int64) for k in (0, 1))
+    if len(refs):
+        # a reference is four values: length symbol and its extra bits, distance symbol and its
+        own = [np.stack([codes[0][k][256 + refs[:, 0]], refs[:, 1 + k], far[k][refs[:, 3]], refs[:, 4 + k]], axis=1) for k in (0, 1)]
+        wide = max(4, values.shape[1])
+        place = np.argsort(np.concatenate([places, [at for at, *_ in matches]]), kind="stable")
+        values, sizes = (np.concatenate([np.pad(a, ((0, 0), (0, wide - a.shape[1]))), np.pad(b, ((0, 0), (0, wide - 4)))])[place] for a, b in zip((values, sizes), own))
+    w.put_all(values.ravel(), sizes.ravel())
+
+
+def _write_one(w: BitWriter, symbol: int) -> None:
+    """The code of a channel that has one value; it takes no bits."""
+    w.put(1 | 1 << 2 | symbol << 3, 11)
+
+
 def write_pixels(w: BitWriter, argb: np.ndarray, main: bool, matches=(), cache_bits: int = 0) -> None:
     """An entropy-coded image.  ``matches``: (place, length, distance), in order and apart."""
     px = argb.ravel()
@@ -517,14 +576,8 @@ def write_pixels(w: BitWriter, argb: np.ndarray, main: bool, matches=(), cache_b
         w.put(cache_bits, 4)
     if main:
         w.put(0, 1)
-    if not matches and not cache_bits:
-        # literals only: all symbols at once
-        chans = [(px >> s & 0xFF).astype(np.int64) for s in (8, 16, 0, 24)]
-        codes = [write_code(w, np.bincount(c, minlength=n)) for c, n in zip(chans, ALPHABETS)]
-        write_code(w, np.zeros(ALPHABETS[4], np.int64))
-        used = [(c, code) for c, code in zip(chans, codes) if code[1].any()]
-        if used:
-            w.put_all(np.stack([code[0][c] for c, code in used], axis=1).ravel(), np.stack([code[1][c] for c, code in used], axis=1).ravel())
+    if not cache_bits:
+        _write_symbols(w, px, matches)
         return
     stream, at, cache = [], 0, {}
     slot = lambda v: (int(v) * HASH & 0xFFFFFFFF) >> (32 - cache_bits)
@@ -615,14 +668,73 @@ def encode(argb: np.ndarray, transforms=(), matches=(), cache_bits: int = 0) ->
 # --- the media column ------------------------------------------------------------
 
 
+def _bits(counts: np.ndarray) -> float:
+    """Entropy of that many symbols, in bits."""
+    n = counts[counts > 0]
+    return float(n.sum() * np.log2(n.sum()) - (n * np.log2(n)).sum())
+
+
+def find_matches(x: np.ndarray, least: int = 32) -> list[tuple[int, int, int]]:
+    """Repeats (place, length, distance) of ``least`` bytes or more, in order and apart.
+
+    Every position is looked up among the positions that are multiples of ``least``.
+    """
+    n = len(x) - least + 1
+    if n <= least:
+        return []
+    words = np.ndarray(len(x) - 7, "<u8", x.tobytes(), strides=(1,)).copy()
+    h = words[:n].copy()
+    for k in range(8, least - 7, 8):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
+    h ^= h >> np.uint64(29)
+    anchors = np.arange(0, n, least)
+    order = np.argsort(h[anchors], kind="stable")
+    known = h[anchors][order]
+    found = np.minimum(np.searchsorted(known, h), len(known) - 1)  # the first anchor of equal ones
+    source = anchors[order[found]]
+    out, done = [], 0
+    for i in np.flatnonzero((known[found] == h) & (source < np.arange(n))).tolist():
+        if i < done:
+            continue
+        a = int(source[i])
+        differ = x[i:] != x[a : a + len(x) - i]
+        size = int(differ.argmax()) if differ.any() else len(differ)
+        if size < least:
+            continue
+        while i > done and a > 0 and x[i - 1] == x[a - 1]:
+            i, a, size = i - 1, a - 1, size + 1
+        done = i + size
+        while size > 0:  # the format's longest reference
+            out.append((done - size, min(size, 4096), i - a))
+            size -= min(size, 4096)
+    return out
+
+
+def encode_grey(grey: np.ndarray) -> bytes:
+    """Grey samples (rows of ``ROW``) as one image, with what makes it smaller.
+
+    Few values: a palette, several to a pixel.  Else differences to the left or upper sample
+    where their entropy is lower by a tenth, and back-references for repeats.  Between equal
+    channels cross-colour does what subtract-green does, and a colour cache names what a
+    literal names as well with one symbol, so neither makes grey images smaller.
+    """
+    image = grey.astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000)
+    counts = np.bincount(grey.ravel(), minlength=256)
+    if np.count_nonzero(counts) <= 16:
+        return encode(image, [("palette",)])
+    plain = _bits(counts)
+    apart = [(grey[:, 1:] - grey[:, :-1], 1), (grey[1:] - grey[:-1], 2)]
+    best, mode = min((_bits(np.bincount(d.ravel(), minlength=256)) * grey.size / max(1, d.size), m) for d, m in apart if d.size)
+    if best < 0.9 * plain:
+        rows = -(-len(grey) >> 9)
+        return encode(image, [("subtract_green",), ("predictor", 9, np.full((rows, 1), mode))])
+    return encode(image, [("subtract_green",)], find_matches(grey.ravel()))
+
+
 def store_payload(payload: bytes) -> bytes:
     """A payload (a positive multiple of 64 bytes) as grey images, one behind the other."""
     most = ROW * MOST_SIDE
-    out = []
-    for k in range(0, len(payload), most):
-        grey = np.frombuffer(payload[k : k + most], np.uint8).reshape(-1, ROW).astype(np.uint32)
-        out.append(encode(grey * np.uint32(0x010101) | np.uint32(0xFF000000), [("subtract_green",)]))
-    return b"".join(out)
+    return b"".join(encode_grey(np.frombuffer(payload[k : k + most], np.uint8).reshape(-1, ROW)) for k in range(0, len(payload), most))
 
 
 def load_payload(media: bytes) -> np.ndarray:
@@ -649,31 +761,47 @@ def features(samples: np.ndarray) -> str:
     return f"sum={int(samples.sum(dtype=np.int64))};entropy={round(float(-(p * np.log2(p)).sum()) * 1000)};hash={np.packbits(above).tobytes().hex()}"
 
 
-def media_column(docs: DataFrame, with_media: bool = False) -> DataFrame:
-    """Store each text as lossless WebP, read it back, and describe both (and the media itself)."""
+def store_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and the lossless WebP of each whole text."""
     common.ship(docs.sparkSession)
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for some in tokens.chunks(texts):
-                rows = []
-                for text in texts[some]:
-                    raw = text.encode()
-                    media = store_payload(padded(raw))
-                    samples = load_payload(media)
-                    back = samples.tobytes()
-                    rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), features(samples), media if with_media else None))
-                cols = [batch.column(0).slice(some.start, len(rows))]
-                cols += [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                raws = [t.encode() for t in texts[some]]
+                media = [store_payload(padded(r)) for r in raws]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(some.start, len(raws)), pa.array(map(len, raws), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
+def read_media(stored: DataFrame, with_media: bool = False) -> DataFrame:
+    """What the stored images hold: doc_id, n_bytes, payload and media digests, feature (and the media)."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for media in batch.column(2):
+                media = media.as_py()
+                samples = load_payload(media)
+                back = samples.tobytes()
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), features(samples)))
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, batch.column(2)], names=names)
+
+    out = stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary")
     return out if with_media else out.drop("media")
 
 
+def media_column(docs: DataFrame, with_media: bool = False) -> DataFrame:
+    """Store each text as lossless WebP in a written table, read that, and describe both (and the media itself)."""
+    return read_media(common.materialize(store_media(docs), "media"), with_media)
+
+
 def op5_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_column(common.table(spark, sf_dir, "documents"))
 
