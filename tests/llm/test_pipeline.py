@@ -2,11 +2,12 @@
 
 import zlib
 
-import brute
 import numpy as np
 
 import corpus_pipeline as P
 from tessera.llm import common, packing
+from test_near_copies import kept as similar
+from test_short_passages import cut as passages_cut
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,11 +22,9 @@ def test_pipeline(spark):
     good, lines, near, cut = seen
     assert set(lines) == set(good) and set(cut) == set(near)
     ids = sorted(lines)
-    roots = brute.components([brute.simhash(lines[d], P.SHINGLE) for d in ids], 4)
-    assert set(near) == {ids[r] for r in roots}
+    assert set(near) == {ids[k] for k in similar([lines[d] for d in ids])}
     ids = sorted(near)
-    for d, (raw, gone) in zip(ids, brute.removed([near[d] for d in ids], P.REPEAT_BYTES)):
-        assert cut[d] == bytes(b for b, g in zip(raw, gone) if not g).decode(errors="ignore")
+    assert [cut[d] for d in ids] == passages_cut([near[d] or "" for d in ids])
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.tokens.default_vocabulary())
