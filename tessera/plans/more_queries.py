@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from ..codecs import lossless_jpeg
 from ..functions import dimensions as D
 from ..functions import encodings as E
+from ..functions import rendering as R
 from ..functions import wire as W
 from ..operators import catalogue as C
+from ..operators import devices as V
 from ..operators import snapshot as P
 from ..operators import statistics as S
 from ..sources import records
@@ -190,3 +192,50 @@ def streamed_framing(spark, sf):
     rows = t(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("stream_id"), F.explode(halves).alias("c")).select("stream_id", "c.*")
     found = _fed(spark, rows, rows.schema, feeds.frame_stream)
     return found.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum(W.get_uint(F.col("body"), 0, 4)).alias("total"))
+
+
+@query("""
+SELECT s_suppkey, '"' || s_name || '" ' || CASE s_suppkey % 6 WHEN 1 THEN 'fixed ROM' WHEN 2 THEN 'removable ROM (card)' WHEN 3 THEN 'fixed RAM (internal buffer)' WHEN 4 THEN 'removable RAM (card)' ELSE 'type 0x000' || (s_suppkey % 6) END
+  || ', ' || CASE s_nationkey % 4 WHEN 0 THEN 'read-write' WHEN 1 THEN 'read-only' WHEN 2 THEN 'read + delete, no write' ELSE 'access 0x0003' END
+  || ', ' || CASE WHEN s_suppkey % 5 = 0 THEN 'capacity unknown' ELSE s_suppkey || ' of ' || (s_suppkey * 10) || ' bytes free' END AS line
+FROM supplier""")
+def storage_lines(spark, sf):
+    key = F.col("s_suppkey")
+    line = R.storage_line(key % 6, F.col("s_nationkey") % 4, F.when(key % 5 == 0, -1).otherwise(key * 10), key, F.lit(""), F.col("s_name"))
+    return t(spark, sf, "supplier").select("s_suppkey", line.alias("line"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name || '/' ELSE rpad(p_name, CAST(greatest(16, length(p_name)) AS INTEGER), ' ') || ' JPEG           ' || lpad(CAST(p_partkey AS VARCHAR), 8, ' ') || ' bytes  ' || p_size || 'x' || (p_size * 2) END AS line, p_size % 3 <> 0 AS is_image
+FROM part""")
+def object_lines(spark, sf):
+    fmt = F.when(F.col("p_size") % 3 == 0, 0x3001).otherwise(0x3801)
+    line = R.object_line(F.col("p_name"), fmt, F.lit("JPEG"), F.col("p_partkey"), F.col("p_size"), F.col("p_size") * 2)
+    return t(spark, sf, "part").select("p_partkey", line.alias("line"), R.is_image(fmt).alias("is_image"))
+
+
+@query("""
+SELECT l_orderkey, CAST(count(*) FILTER (l_quantity <> 7) AS INTEGER) AS n, round(min(CASE WHEN l_quantity <> 7 THEN l_quantity / l_linenumber END), 9) AS shortest,
+  round(max(CASE WHEN l_quantity <> 7 THEN l_quantity / l_linenumber END), 9) AS longest, coalesce(bool_or(l_quantity = 7), FALSE) AS has_bulb
+FROM lineitem GROUP BY l_orderkey""")
+def shutter_ladders(spark, sf):
+    """Each order's lines as the choices of one descriptor; a quantity of 7 stands for Bulb."""
+    wire = F.when(F.col("l_quantity") == 7, F.lit(E.SHUTTER_BULB).cast("long")).otherwise(F.col("l_quantity").cast("long") * 65536 + F.col("l_linenumber"))
+    choices = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(wire).alias("choices"))
+    ladder = choices.select("l_orderkey", V.shutter_ladder(F.col("choices")).alias("l")).select("l_orderkey", "l.*")
+    return ladder.select("l_orderkey", F.size("seconds").alias("n"), F.round(F.get("seconds", F.lit(0)), 9).alias("shortest"), F.round(F.try_element_at("seconds", F.lit(-1)), 9).alias("longest"), "has_bulb")
+
+
+@query("SELECT o_custkey, count(*) FILTER (o_orderkey % 3 = 1) AS n_waiting FROM orders GROUP BY o_custkey")
+def frames_waiting(spark, sf):
+    return V.waiting(t(spark, sf, "orders").withColumn("storage_id", F.col("o_orderkey") % 3), ["o_custkey"], 1)
+
+
+@query("""
+SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 'unknown' WHEN 2 THEN 'USB class 2' WHEN 1 THEN 'still image (PTP)' ELSE 'mass storage' END AS mode, c_nationkey % 4 = 1 AS is_ptp,
+  CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE printf('%04x:%04x@0x%08x', c_nationkey, c_custkey % 1000, c_custkey) END AS label
+FROM customer WHERE c_nationkey IN (3, 5, 6, 8, 12, 21)""")
+def device_modes(spark, sf):
+    code = F.col("c_nationkey") % 4
+    rows = t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("vendor_id"), (F.col("c_custkey") % 1000).alias("product_id"), F.col("c_custkey").alias("location"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("").alias("serial"), F.when(code == 1, 6).when(code == 3, 8).otherwise(code).alias("interface_class"))
+    return V.described(V.of_vendors(rows, [3, 5, 6, 8, 12, 21])).select("c_custkey", "mode", "is_ptp", "label")
