@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -161,10 +164,21 @@ def lossless_jpeg_roundtrip(spark, sf):
     return both.select(F.col("l_orderkey").cast(types["l_orderkey"]).alias("l_orderkey"), F.col("lines").cast(types["l_linenumber"]).alias("l_linenumber"), F.col("back").alias("v"))
 
 
+def _shared_folder(spark) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a local master gets a temporary folder and any other is refused."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        folder = tempfile.mkdtemp(prefix="tessera-feeds-")
+        atexit.register(shutil.rmtree, folder, True)
+        root = f"file://{folder}"
+    return root.rstrip("/")
+
+
 def _fed(spark, rows, folder_schema, build, mode="append"):
     """Rows through a Structured Streaming query that takes what is there and ends; its table."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/feeds"
-    place = f"{root.rstrip('/')}/feed-{uuid.uuid4().hex}"
+    place = f"{_shared_folder(spark)}/feed-{uuid.uuid4().hex}"
     rows.write.parquet(f"{place}/in")
     source = spark.readStream.schema(folder_schema).parquet(f"{place}/in")
     build(source).writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{place}/ck").option("path", f"{place}/out").trigger(availableNow=True).start().awaitTermination()
