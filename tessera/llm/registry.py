@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("suffix_dedup", "piece_codec", "license_scan", "packing", "webp_media", "line_templates", "topk_search", "quality_bayes", "token_files", "simhash_pivots")
+MODULES = ("suffix_dedup", "piece_codec", "license_scan", "packing", "webp_media", "line_templates", "topk_search", "quality_bayes", "token_files", "simhash_pivots", "token_counts", "centroids", "ranked_search")
 
 
 def _merged(name: str) -> dict:
