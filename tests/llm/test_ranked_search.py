@@ -1,0 +1,125 @@
+"""Ranked search against plain Python: exact scores, ties, bounds, odd rows."""
+
+import math
+import random
+import re
+
+import duckdb
+import numpy as np
+import pytest
+
+from tessera.llm import ranked_search as R
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return [re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in TERM.findall(text or "")]
+
+
+def plain(docs, items, k):
+    cut = [(d, terms(t)) for d, t in docs if terms(t)]
+    n_docs, total, df = len(cut), sum(len(w) for _, w in cut), {}
+    for _, words in cut:
+        for w in set(words):
+            df[w] = df.get(w, 0) + 1
+    out = []
+    for item, text in {(i, t) for i, t in items if t is not None}:
+        found = []
+        for d, words in cut:
+            m = 50 + 50 * len(words) * n_docs // total
+            score = 0
+            for w in set(terms(text)) & set(words):
+                tf = words.count(w)
+                score += math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) * (10**9 * tf // (1000 * tf + 20 * m))
+            if score > 0:
+                found.append((-score, d is None, d, 0))
+        found.sort(key=lambda f: (f[0], f[1], f[2] or 0))
+        out += [(item, n + 1, f[2], -f[0]) for n, f in enumerate(found[:k])]
+    return sorted(out, key=str)
+
+
+def made(seed, n, words=300):
+    """Documents of Zipf-like words, some copied, so that scores tie."""
+    rnd = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(words)]
+    weights = [1 / (k + 1) for k in range(words)]
+    texts = [" ".join(rnd.choices(vocabulary, weights, k=rnd.randrange(1, 60))) for _ in range(n)]
+    return [(k * 7 % n, texts[k if k % 5 else k % 50]) for k in range(n)], [(q, " ".join(rnd.choices(vocabulary, weights, k=rnd.randrange(1, 25)))) for q in range(30)]
+
+
+def found(spark, docs, items, k, parts=3):
+    d = spark.createDataFrame([(*r, 1, 2, "x") for r in docs], "doc_id long, text string, n int, terms int, item_id string").repartition(parts)
+    i = spark.createDataFrame([(*r, 5) for r in items], "item_id long, text string, rank int")
+    return sorted(map(tuple, R.rank(d, i, k).collect()), key=str)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"SEGMENT_DOCS": 64, "BLOCK": 8, "SHORT": 4}, {"SEGMENT_POSTINGS": 300, "BLOCK": 16, "SHORT": 10**6}, {"BLOCK": 4, "SHORT": 1, "PROBE": 1}, {"GROUP_BYTES": 100, "ITEM_BYTES": 900, "PROBE": 10**6}])
+def test_against_plain(spark, monkeypatch, sizes):
+    for name, v in sizes.items():
+        monkeypatch.setattr(R, name, v)
+    docs, items = made(1, 600)
+    # workers import the module anew, so sizes that they read are tried below without Spark
+    assert found(spark, docs, items, 5) == plain(docs, items, 5)
+
+
+@pytest.mark.parametrize("block, short, probe", [(8, 4, 8), (16, 10**6, 2), (4, 1, 1), (64, 16, 10**6)])
+def test_segments_skip_and_stay_exact(monkeypatch, block, short, probe):
+    for name, v in (("BLOCK", block), ("SHORT", short), ("PROBE", probe)):
+        monkeypatch.setattr(R, name, v)
+    docs, items = made(2, 900)
+    docs = [(i, t) for i, (_, t) in enumerate(docs)]
+    vocabulary: dict = {}
+    asked = [[vocabulary.setdefault(w, len(vocabulary)) for w in dict.fromkeys(R.terms_of(t.encode()))] for _, t in items]
+    lengths, owner, ts, tfs = R.frequencies([t.encode() for _, t in docs], vocabulary)
+    weights = np.array([R.term_weight(len(docs), int((ts == t).sum())) for t in range(len(vocabulary))])
+    best = [R.Best(5) for _ in items]
+    offered = []
+    for b in best:
+        b.offer = lambda s, i, f=b.offer: (offered.append(len(s)), f(s, i))[1]
+    for a in range(0, len(docs), 300):
+        inside = (owner >= a) & (owner < a + 300)
+        sizes = np.bincount(owner[inside] - a, minlength=300)
+        segment = R.Segment(np.arange(a, a + 300), lengths[a : a + 300], sizes, ts[inside], tfs[inside], weights, len(docs), int(lengths.sum()))
+        for t, b in zip(asked, best):
+            segment.search(t, b)
+    got = [(q, n + 1, int(d), int(s)) for (q, _), b in zip(items, best) for n, (d, s) in enumerate(zip(b.ids, b.scores))]
+    assert sorted(got, key=str) == plain(docs, items, 5)
+    assert sum(offered) < 0.8 * len(docs) * len(items)  # bounds and scores leave documents out
+
+
+def test_frequencies_of_long_texts(monkeypatch):
+    monkeypatch.setattr(R, "GROUP_BYTES", 40)
+    text = "Ab cd-AB é漢 " * 200 + "tail" * 50
+    n, owner, ts, tfs = R.frequencies([text.encode()], {b"ab": 0, b"cd": 1, "é漢".encode(): 2, b"none": 3, b"tail" * 50: 4})
+    assert n.tolist() == [801] and ts.tolist() == [0, 1, 2, 4] and tfs.tolist() == [400, 200, 200, 1] and not owner.any()
+
+
+def test_norms_beyond_64_bits():
+    n = np.array([1, 10**7, 10**9])
+    assert R.length_norms(n, 10**12, 10**13).tolist() == [50 + 50 * x * 10**12 // 10**13 for x in n.tolist()]
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    docs = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+    items = [(1, "The archive opens"), (1, "The archive opens"), (1, "license"), (2, None), (3, ""), (None, "no ID café word4 漢字"), (4, "--- ...")]
+    i = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, R.rank(odd_docs, i, 3).collect()), key=str)
+    assert got == plain(docs, items, 3) and {r[0] for r in got} == {1, None}
+    assert R.rank(no_docs, i, 3).collect() == [] == R.rank(odd_docs, i.limit(0), 3).collect()
+
+
+def test_term_of_every_document_weighs_little(spark):
+    docs = [(k, "same words here") for k in range(2000)]
+    assert found(spark, docs, [(1, "same")], 3) == plain(docs, [(1, "same")], 3) == []
+
+
+def test_query_and_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    got = R.op13_ranked_search(spark, sf)
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({R.ORACLES['op13_ranked_search']})").fetchall()
+    docs, items = ([(r[0], r["text"]) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(key, "text").collect()] for t, key in (("documents", "doc_id"), ("benchmark", "item_id")))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) == plain(docs, items, 50)
