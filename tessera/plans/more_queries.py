@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import datetime as dt
 import shutil
 import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..codecs import lossless_jpeg
@@ -176,38 +178,158 @@ def _shared_folder(spark) -> str:
     return root.rstrip("/")
 
 
-def _fed(spark, rows, folder_schema, build, mode="append"):
-    """Rows through a Structured Streaming query that takes what is there and ends; its table."""
+#: Deliveries of the registered feeds; each is a micro-batch.
+DELIVERIES = 6
+#: Feeds start a day behind the epoch, where watermarks start.
+DAY = 86_400
+
+
+def _fed(spark, rows, build, mode="append", end=None, keys=None):
+    """Rows, delivered in the order of their column ``arrival``, through a Structured Streaming query; its table.
+
+    Every delivery is a micro-batch of its own, so state crosses batches.  ``end`` is a last
+    delivery whose timestamp lets the watermark pass all rows.
+    """
     place = f"{_shared_folder(spark)}/feed-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{place}/in")
-    source = spark.readStream.schema(folder_schema).parquet(f"{place}/in")
-    build(source).writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{place}/ck").option("path", f"{place}/out").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{place}/out")
+    files = max(1, min(4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    plain = rows.drop("arrival")
+    for k in range(DELIVERIES):
+        rows.where(F.col("arrival") == k).drop("arrival").repartition(files).write.mode("append").parquet(f"{place}/in")
+    if end is not None:
+        spark.createDataFrame([end], plain.schema).repartition(1).write.mode("append").parquet(f"{place}/in")
+    source = spark.readStream.schema(plain.schema).option("maxFilesPerTrigger", files).parquet(f"{place}/in")
+    stream = build(source).writeStream.outputMode(mode).option("checkpointLocation", f"{place}/ck").trigger(availableNow=True)
+    if mode == "append":
+        stream.format("parquet").option("path", f"{place}/out").start().awaitTermination()
+        out = spark.read.parquet(f"{place}/out")
+    else:
+        feeds.upserts(stream, f"{place}/out").start().awaitTermination()
+        out = feeds.read_upserts(spark, f"{place}/out", keys)
+    _clean(spark, f"{place}/in", f"{place}/ck")
+    atexit.register(_clean, spark, place)
+    return out
+
+
+def _clean(spark, *places):
+    """Delete folders of a feed, whatever file system they are on."""
+    try:
+        for place in places:
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session has ended; its owner cleans the folder
+        pass
+
+
+def _delivered(rows, key, most):
+    """Rows in shuffled deliveries: one comes up to a quarter of a delivery late.  Also the delay that covers it."""
+    size = max(4, -(-(most + 1) // DELIVERIES))
+    late = F.pmod(F.xxhash64(key), F.lit(size // 4))
+    arrival = F.least(F.floor((key + late) / size), F.lit(DELIVERIES - 1)).cast("int")
+    return rows.withColumn("arrival", arrival).withColumn("ingest_ts", F.timestamp_seconds(key + DAY)), f"{size // 4 + 1} seconds"
+
+
+def _event_feed(spark, sf, *columns):
+    """Events of the table, a second apart, in shuffled deliveries; their delay; the greatest id."""
+    events = t(spark, sf, "events")
+    most = events.agg(F.max("event_id")).first()[0] or 0
+    rows, delay = _delivered(events.select("event_id", *columns), F.col("event_id"), most)
+    return rows.withColumnRenamed("event_id", "seq"), delay, most
+
+
+def _end(most, *values, after=10**8):
+    """A row (seq, *values, ingest_ts) far behind all others."""
+    return (most + after, *values, dt.datetime.fromtimestamp(most + after + DAY, dt.timezone.utc))
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS stream_id, event_id AS seq FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type")
 def streamed_changes(spark, sf):
-    rows = t(spark, sf, "events").select(F.col("user_id").cast("string").alias("stream_id"), F.col("event_id").alias("seq"), "event_type")
-    return _fed(spark, rows, rows.schema, lambda d: feeds.changes(d, "event_type")).select("stream_id", "seq")
+    rows, delay, most = _event_feed(spark, sf, F.col("user_id").cast("string").alias("stream_id"), "event_type")
+    found = _fed(spark, rows, lambda d: feeds.changes(d, "event_type", "ingest_ts", delay), end=_end(most, "end", None))
+    return found.where("stream_id <> 'end'").select("stream_id", "seq")
 
 
-@query("SELECT CAST(user_id % 10 AS VARCHAR) AS stream_id, user_id AS handle, min(event_id) AS seq FROM events WHERE event_type = 'click' GROUP BY user_id")
+@query("""
+WITH e AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS life FROM events WHERE event_type IN ('click', 'purchase'))
+SELECT CAST(user_id % 10 AS VARCHAR) AS stream_id, user_id AS handle, min(event_id) AS seq FROM e WHERE event_type = 'click' GROUP BY user_id, life""")
 def streamed_first_seen(spark, sf):
-    rows = t(spark, sf, "events").select((F.col("user_id") % 10).cast("string").alias("stream_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", 0x4002).otherwise(1).alias("code"), F.array(F.col("user_id")).alias("params"))
-    return _fed(spark, rows, rows.schema, lambda d: feeds.first_seen(d, [0x4002], [0x4003])).select("stream_id", "handle", "seq")
+    """A click adds its user as a handle, a purchase removes it."""
+    code = F.when(F.col("event_type") == "click", 0x4002).when(F.col("event_type") == "purchase", 0x4003).otherwise(1)
+    rows, delay, most = _event_feed(spark, sf, (F.col("user_id") % 10).cast("string").alias("stream_id"), code.alias("code"), F.array(F.col("user_id")).alias("params"))
+    found = _fed(spark, rows, lambda d: feeds.first_seen(d, [0x4002], [0x4003], "ingest_ts", delay), end=_end(most, "end", 0x4002, [0]))
+    return found.where("stream_id <> 'end'").select("stream_id", "handle", "seq")
+
+
+@query("""
+WITH d AS (SELECT CAST(user_id % 40 AS INTEGER) AS vendor_id, CAST(user_id % 3 AS INTEGER) AS product_id, event_id AS seq, event_type = 'click' AS attached FROM events WHERE user_id % 40 < 30),
+l AS (SELECT *, coalesce(lag(attached) OVER (PARTITION BY vendor_id, product_id ORDER BY seq), FALSE) AS before FROM d)
+SELECT vendor_id, product_id, seq, attached FROM l WHERE attached <> before""")
+def streamed_presence(spark, sf):
+    """A click attaches the device of its user, anything else detaches it."""
+    user = F.col("user_id")
+    rows, delay, most = _event_feed(spark, sf, (user % 40).cast("int").alias("vendor_id"), (user % 3).cast("int").alias("product_id"), F.when(F.col("event_type") == "click", "add").otherwise("remove").alias("action"))
+    found = _fed(spark, rows, lambda d: feeds.presence(d, list(range(30)), "ingest_ts", delay), end=_end(most, 0, 99, "remove"))
+    return found.where("product_id <> 99")
+
+
+@query("""
+WITH f AS (SELECT user_id, min(event_id) AS start FROM events GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS stream_id, min(event_id) FILTER (event_type = 'purchase' AND event_id <= start + 400) AS seq,
+  count(*) FILTER (event_type = 'purchase' AND event_id <= start + 400) = 0 AS timed_out
+FROM events JOIN f USING (user_id) GROUP BY user_id""")
+def streamed_settled(spark, sf):
+    """Events poll their user; a purchase within 400 seconds of the first poll settles it."""
+    rows, delay, most = _event_feed(spark, sf, F.col("user_id").cast("string").alias("stream_id"), (F.col("event_type") == "purchase").alias("ready"))
+    found = _fed(spark, rows, lambda d: feeds.settled(d, F.col("ready"), 400_000, "ingest_ts", delay), end=_end(most, "end", True))
+    return found.where("stream_id <> 'end'")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS stream_id, max(event_id) AS seq, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def streamed_latest(spark, sf):
+    """The newest event of each user, kept by the upsert sink."""
+    rows, _, _ = _event_feed(spark, sf, F.col("user_id").cast("string").alias("stream_id"), "event_type")
+    return _fed(spark, rows, lambda d: feeds.latest(d, ["stream_id"], "seq", ["event_type"]), mode="update", keys=["stream_id"])
 
 
 @query("SELECT CAST(o_custkey AS VARCHAR) AS stream_id, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders GROUP BY o_custkey")
 def streamed_framing(spark, sf):
-    """A container an order, cut in two, framed from each customer's live stream."""
+    """A container an order, cut in two, framed from each customer's live stream; chunks come out of order."""
     key = F.col("o_orderkey")
     whole = F.concat(W.put_uint(F.lit(16), 4), W.put_uint(F.lit(3), 2), W.put_uint(F.lit(0x2001), 2), W.put_uint(key, 4), W.put_uint(key, 4))
-    halves = F.array(F.struct((key * 2).cast("long").alias("seq"), F.substring(whole, 1, 7).alias("data")), F.struct((key * 2 + 1).cast("long").alias("seq"), F.substring(whole, 8, 9).alias("data")))
-    rows = t(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("stream_id"), F.explode(halves).alias("c")).select("stream_id", "c.*")
-    found = _fed(spark, rows, rows.schema, feeds.frame_stream)
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long") * 2
+    halves = F.array(F.struct((F.col("nth") - 2).alias("seq"), F.substring(whole, 1, 7).alias("data")), F.struct((F.col("nth") - 1).alias("seq"), F.substring(whole, 8, 9).alias("data")))
+    numbered = t(spark, sf, "orders").select("o_custkey", "o_orderkey", nth.alias("nth"))
+    rows = numbered.select(F.col("o_custkey").cast("string").alias("stream_id"), F.explode(halves).alias("c")).select("stream_id", "c.*")
+    rows = rows.withColumn("arrival", F.pmod(F.xxhash64("stream_id", "seq"), F.lit(DELIVERIES)).cast("int"))
+    found = _fed(spark, rows, feeds.frame_stream)
     return found.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum(W.get_uint(F.col("body"), 0, 4)).alias("total"))
 
 
+@query("""
+SELECT CAST(o_custkey % 50 AS VARCHAR) AS stream_id, o_orderkey AS tx_id, CAST(4096 + o_custkey % 7 AS INTEGER) AS op, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS data,
+  CASE WHEN o_orderkey % 9 <> 0 THEN 8193 END AS response, CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 9 ELSE 0 END AS stale,
+  CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS future,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'a container of a later transaction' WHEN o_orderkey % 4 = 1 THEN 'too many late replies' WHEN o_orderkey % 9 = 0 THEN 'no response' END AS error
+FROM orders""")
+def streamed_transactions(spark, sf):
+    """Every order is a transaction of its customer group's stream, with late replies and some without an answer."""
+    key, orders = F.col("o_orderkey").cast("long"), t(spark, sf, "orders")
+    phase = lambda place, typ, code, tx, body: F.struct(F.lit(place).cast("long").alias("place"), F.lit(typ).alias("typ"), code.cast("int").alias("code"), tx.cast("long").alias("tx_id"), body.cast("binary").alias("body"))
+    none = F.lit(None).cast("binary")
+    late = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: phase(1, 3, F.lit(0x2001), key - i, none).withField("place", i.cast("long")))
+    late = F.slice(late, F.lit(1), F.when(key % 4 == 0, 2).when(key % 4 == 1, 9).otherwise(0))
+    one = lambda when, p: F.when(when, F.array(p)).otherwise(F.slice(F.array(p), 1, 0))
+    phases = F.concat(
+        F.array(phase(0, 1, 4096 + F.col("o_custkey") % 7, key, F.encode(F.col("o_orderkey").cast("string"), "UTF-8"))), late, one(key % 11 == 0, phase(10, 3, F.lit(0x2001), key + 1, none)),
+        one(F.col("o_orderstatus") == "O", phase(11, 2, F.lit(0), key, F.encode("o_orderpriority", "UTF-8"))), one(key % 9 != 0, phase(12, 3, F.lit(0x2001), key, none)))
+    rows = orders.select((F.col("o_custkey") % 50).cast("string").alias("stream_id"), key.alias("key"), F.explode(phases).alias("p")).select("stream_id", (F.col("key") * 16 + F.col("p.place")).alias("seq"), "p.typ", "p.code", "p.tx_id", "p.body", F.lit(None).cast("string").alias("error"))
+    most = (orders.agg(F.max("o_orderkey")).first()[0] or 0) * 16 + 16
+    rows, delay = _delivered(rows, F.col("seq"), most)
+    columns = ["seq", "stream_id", "typ", "code", "tx_id", "body", "error", "arrival", "ingest_ts"]
+    found = _fed(spark, rows.select(*columns), lambda d: feeds.transactions(d, "ingest_ts", delay, linger_ms=20_000), end=_end(most, "end", 1, 1, 1, None, None))
+    text = F.decode(F.col("data"), "UTF-8")
+    return found.where("stream_id <> 'end'").select("stream_id", "tx_id", "op", text.alias("data"), "response", F.col("stale").cast("int").alias("stale"), F.col("future").cast("int").alias("future"), "error")
+
+
 @query("""
 SELECT s_suppkey, '"' || s_name || '" ' || CASE s_suppkey % 6 WHEN 1 THEN 'fixed ROM' WHEN 2 THEN 'removable ROM (card)' WHEN 3 THEN 'fixed RAM (internal buffer)' WHEN 4 THEN 'removable RAM (card)' ELSE 'type 0x000' || (s_suppkey % 6) END
   || ', ' || CASE s_nationkey % 4 WHEN 0 THEN 'read-write' WHEN 1 THEN 'read-only' WHEN 2 THEN 'read + delete, no write' ELSE 'access 0x0003' END

@@ -94,6 +94,12 @@ def containers(chunks: DataFrame) -> DataFrame:
     return dealt.select("stream_id", "data").mapInArrow(run, f"stream_id {kind}, {CONTAINER}")
 
 
+def outcome(stale: int, future: int, data_phases: int, response: int | None) -> str | None:
+    """What is wrong with a transaction, by its counts and its answer; the first of several."""
+    found = {"a container of a later transaction": future > 0, "too many late replies": stale > MOST_STALE, "two data phases": data_phases > 1, "no response": response is None}
+    return next((text for text, is_so in found.items() if is_so), None)
+
+
 def transactions(found: DataFrame) -> DataFrame:
     """One row per (stream, transaction): its command, data and response phases.
 

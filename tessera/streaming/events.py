@@ -1,20 +1,15 @@
 """Event feeds as Structured Streaming queries.
 
-The wire carries no time, so the reader adds ``ingest_ts``.  State is kept by stream or
-handle in Spark's state store and survives executors; where the semantics have no end
-(a handle once seen stays seen) an optional time-out bounds it.
+The wire carries no time, so the reader adds ``ingest_ts``.  Operators with state of their own
+are those of ``stateful``, named here as well.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.framing import CONTAINER, Framer
+from .stateful import changes, first_seen, frame_stream, presence, settled, transactions  # noqa: F401
 
 EVENTS = "stream_id string, seq long, code int, tx_id long, params array<bigint>, ingest_ts timestamp"
 
@@ -39,105 +34,29 @@ def latest(frames: DataFrame, keys: list[str], order: str, values: list[str]) ->
     return frames.groupBy(*keys).agg(row, F.max(order).alias(order)).select(*keys, order, *(F.col(f"__row.{v}").alias(v) for v in values))
 
 
-def _stateful(df: DataFrame, keys: list[str], out: str, state: str, step, mode: str = "append", timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
-    return df.groupBy(*keys).applyInPandasWithState(step, out, state, mode, timeout)
+def for_each_batch(df: DataFrame, handle, checkpoint: str):
+    """Per-batch callback sink; ``handle(batch, batch_id)`` must be idempotent by batch id."""
+    return df.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 
 
-def first_seen(events: DataFrame, added: list[int], removed: list[int]) -> DataFrame:
-    """Handles when they are first seen; a removal forgets the handle, so it may come again.
+def upserts(stream, path: str):
+    """Sink of a stream in update mode that a replayed batch does not change.
 
-    The first parameter of an event is its handle.  State: one flag a handle, without end.
+    Each batch is a folder of its own, named by its id and overwritten when the batch is
+    replayed after a failure; the newest row of a key is found on reading.
     """
-    rows = events.where(F.col("code").isin(*added, *removed)).withColumn("handle", F.get("params", F.lit(0)))
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = bool(state.get[0]) if state.exists else False
-        every = pd.concat(batches).sort_values("seq")
-        found = []
-        for code, seq in zip(every["code"], every["seq"]):
-            if code in removed:
-                held = False
-            elif not held:
-                held = True
-                found.append(seq)
-        if held:
-            state.update((True,))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"stream_id": key[0], "handle": key[1], "seq": found})
-
-    return _stateful(rows.select("stream_id", "handle", "seq", "code"), ["stream_id", "handle"], "stream_id string, handle long, seq long", "held boolean", step)
-
-
-def changes(rows: DataFrame, value: str) -> DataFrame:
-    """Rows whose value differs from the one before in their stream (the first counts); state: the last hash."""
-    hashed = rows.select("stream_id", "seq", F.md5(F.col(value).cast("string")).alias("hash"))
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        every = pd.concat(batches).sort_values("seq")
-        before = [state.get[0] if state.exists else None, *every["hash"][:-1]]
-        state.update((every["hash"].iloc[-1],))
-        changed = [a != b for a, b in zip(every["hash"], before)]
-        yield pd.DataFrame({"stream_id": key[0], "seq": every["seq"][changed]})
-
-    return _stateful(hashed, ["stream_id"], "stream_id string, seq long", "hash string", step)
-
-
-def presence(datagrams: DataFrame, vendors: list[int]) -> DataFrame:
-    """Attach and detach of devices of registered vendors; a repeated action gives nothing new."""
-    rows = datagrams.where(F.col("vendor_id").isin(*vendors)).select("vendor_id", "product_id", "seq", "action")
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        here = bool(state.get[0]) if state.exists else False
-        every, found = pd.concat(batches).sort_values("seq"), []
-        for action, seq in zip(every["action"], every["seq"]):
-            if (action == "add") != here:
-                here = not here
-                found.append((seq, here))
-        state.update((here,))
-        yield pd.DataFrame({"vendor_id": key[0], "product_id": key[1], "seq": [s for s, _ in found], "attached": [h for _, h in found]})
-
-    return _stateful(rows, ["vendor_id", "product_id"], "vendor_id int, product_id int, seq long, attached boolean", "here boolean", step)
-
-
-def settled(polls: DataFrame, ready: Column, deadline_ms: int) -> DataFrame:
-    """Of each stream the first poll that meets a predicate, or ``timed_out`` after a deadline without one."""
-    rows = polls.select("stream_id", "seq", ready.alias("ready"))
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done = bool(state.get[0]) if state.exists else False
-        if state.hasTimedOut:
-            state.remove()
-            if not done:
-                yield pd.DataFrame({"stream_id": [key[0]], "seq": pd.array([None], "Int64"), "timed_out": [True]})
-            return
-        every = pd.concat(batches).sort_values("seq")
-        good = every["seq"][every["ready"].fillna(False).astype(bool)]
-        found = list(good[:1]) if not done else []
-        state.update((done or bool(found),))
-        if not (done or found):
-            state.setTimeoutDuration(deadline_ms)
-        yield pd.DataFrame({"stream_id": [key[0]] * len(found), "seq": pd.array(found, "Int64"), "timed_out": [False] * len(found)})
-
-    return _stateful(rows, ["stream_id"], "stream_id string, seq long, timed_out boolean", "done boolean", step, timeout=GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def frame_stream(chunks: DataFrame) -> DataFrame:
-    """Containers out of a live byte stream; state: the bytes that are left over and the running number."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        framer = Framer(bytes(state.get[0]), state.get[1]) if state.exists else Framer()
-        found = []
-        for data in pd.concat(batches).sort_values("seq")["data"]:
-            found += framer.feed(bytes(data))
-        state.update((bytes(framer.residue), framer.seq))
-        out = pd.DataFrame(found, columns=["seq", "length", "typ", "code", "tx_id", "body", "error"])
-        out.insert(0, "stream_id", key[0])
-        yield out
-
-    return _stateful(chunks.select("stream_id", "seq", "data"), ["stream_id"], f"stream_id string, {CONTAINER}", "residue binary, seq long", step)
+    return stream.foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}"))
 
 
-def for_each_batch(df: DataFrame, handle, checkpoint: str):
-    """Per-batch callback sink; ``handle(batch, batch_id)`` must be idempotent by batch id."""
-    return df.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last row of each key that an :func:`upserts` sink has got (a batch holds a key once)."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("last_row"))
+    return last.select(*keys, *(F.col(f"last_row.{v}").alias(v) for v in values))
+
+
+def compact_upserts(spark: SparkSession, path: str, target: str, keys: list[str]) -> None:
+    """The table of an ended sink as one folder; a sink at ``target`` goes on behind it."""
+    last = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
+    read_upserts(spark, path, keys).write.mode("overwrite").parquet(f"{target}/batch_id={last}")
