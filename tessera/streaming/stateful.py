@@ -24,12 +24,13 @@ from collections.abc import Callable, Iterator
 from itertools import islice
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from ..sources.framing import COMMAND, CONTAINER, DATA, EVENT, RESPONSE, Framer, outcome
+from ..sources.framing import COMMAND, CONTAINER, DATA, EVENT, HELD, RESPONSE, Framer, outcome
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Chunks of a stream that may wait for a missing one.
@@ -317,6 +318,7 @@ class Framing(StatefulProcessor):
         self.handle = handle
         self.now = handle.getValueState("now", "expected long, residue binary, seq long, held long")
         self.early = handle.getMapState("early", "seq long", "data binary")
+        self.made, self.made_bytes = [], 0
 
     def _load(self) -> tuple[int, Framer, int]:
         expected, residue, seq, held = self.now.get() if self.now.exists() else (self.first, b"", 0, 0)
@@ -327,12 +329,15 @@ class Framing(StatefulProcessor):
         if held and self.patience_ms is not None:
             self.handle.registerTimer(self.waited + self.patience_ms)
 
-    def _rows(self, key: tuple, found: list[dict]) -> Iterator[Row]:
-        make = Row(*self.out)
-        for r in found:
-            yield make(*key, r["seq"], r["length"], r["typ"], r["code"], r["tx_id"], r["body"], r["error"])
+    def _rows(self, key: tuple, found: list[dict], all_of_it: bool = False) -> Iterator[pd.DataFrame]:
+        """Gathers containers and hands them on when they are ``HELD`` bytes."""
+        self.made += ((*key, *(r[c] for c in self.out[len(key) :])) for r in found)
+        self.made_bytes += sum(64 + len(r["body"] or b"") for r in found)
+        if self.made and (all_of_it or self.made_bytes > HELD):
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(self.out, zip(*self.made))})
+            self.made, self.made_bytes = [], 0
 
-    def _drain(self, key: tuple, expected: int, framer: Framer, held: int, skip: bool) -> Iterator[Row]:
+    def _drain(self, key: tuple, expected: int, framer: Framer, held: int, skip: bool) -> Iterator[pd.DataFrame]:
         """Take early chunks whose turn has come; with ``skip`` the missing ones are given up and reported."""
         if skip and held:
             least = min(k[0] for k in self.early.keys())
@@ -346,30 +351,33 @@ class Framing(StatefulProcessor):
             expected, held = expected + 1, held - 1
         self.left = expected, held
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         self.waited = timerValues.getCurrentProcessingTimeInMs()
         expected, framer, held = self._load()
-        for r in rows:  # one chunk in memory at a time
-            if r["seq"] == expected:
-                yield from self._rows(key, framer.feed(bytes(r["data"] or b"")))
-                expected += 1
-                if held:
-                    yield from self._drain(key, expected, framer, held, False)
-                    expected, held = self.left
-            elif r["seq"] > expected:  # a chunk below was taken before: it is a repeat
-                held += not self.early.containsKey((r["seq"],))
-                self.early.updateValue((r["seq"],), (r["data"],))
+        for some in rows:  # one Arrow batch in memory at a time
+            for seq, data in zip(some["seq"].tolist(), some["data"]):
+                if seq == expected:
+                    yield from self._rows(key, framer.feed(bytes(data or b"")))
+                    expected += 1
+                    if held:
+                        yield from self._drain(key, expected, framer, held, False)
+                        expected, held = self.left
+                elif seq > expected:  # a chunk below was taken before: it is a repeat
+                    held += not self.early.containsKey((seq,))
+                    self.early.updateValue((seq,), (data,))
         while held > self.most_held:
             yield from self._drain(key, expected, framer, held, True)
             expected, held = self.left
+        yield from self._rows(key, [], True)
         self._save(expected, framer, held)
 
-    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.waited = timerValues.getCurrentProcessingTimeInMs()
         expected, framer, held = self._load()
         if held:
             yield from self._drain(key, expected, framer, held, True)
             expected, held = self.left
+            yield from self._rows(key, [], True)
             self._save(expected, framer, held)
 
     def close(self) -> None:
@@ -380,12 +388,13 @@ def frame_stream(chunks: DataFrame, first: int = 0, most_held: int = MOST_HELD,
     """Containers out of live byte streams, whose chunks are numbered without gaps from ``first``.
 
     State: the bytes that are left over, the running numbers, and early chunks in a map that
-    stays on disk; a task holds one chunk and its containers at a time, however large
-    the batch.  When more than ``most_held`` chunks wait at the end of a batch, or some have waited
+    stays on disk.  A task holds one Arrow batch of chunks (lower
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` for large chunks) and ``HELD`` bytes of containers
+    at a time, however large the micro-batch.  When more than ``most_held`` chunks wait at the end of a batch, or some have waited
     ``patience_ms`` of processing time, the missing ones are reported as an error row, what was
     left over is dropped and framing goes on with the next chunk.  Repeated chunks are left out.
     """
     use_rocksdb(chunks.sparkSession)
     rows = chunks.where("seq IS NOT NULL").select("stream_id", F.col("seq").cast("long").alias("seq"), "data")
     schema = StructType([rows.schema["stream_id"], *StructType.fromDDL(CONTAINER).fields])
-    return rows.groupBy("stream_id").transformWithState(Framing(first, most_held, patience_ms, schema.names), schema, "append", "None" if patience_ms is None else "ProcessingTime")
+    return rows.groupBy("stream_id").transformWithStateInPandas(Framing(first, most_held, patience_ms, schema.names), schema, "append", "None" if patience_ms is None else "ProcessingTime")
