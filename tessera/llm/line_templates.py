@@ -153,12 +153,15 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, sim
 
 def drop_recurring(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, similar: float = SIMILAR, with_counts: bool = False) -> DataFrame:
     """``docs`` without the lines of recurring templates (and n_lines, n_dropped)."""
-    row, text, gone = common.fresh(docs, "gone_row", "gone_text", "gone_places")
-    found = recurring_lines(docs, depth, least, similar).groupBy("doc_id", "text_key").agg(F.collect_set("place").alias(gone))
+    row, text, gone, marks = common.fresh(docs, "gone_row", "gone_text", "gone_places", "gone_marks")
+    found = recurring_lines(docs, depth, least, similar).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("place")).alias(gone))
+    # a byte for each line up to the last dropped one, so that a line is tested in constant time
+    byte = lambda g, j: F.concat(F.repeat(F.lit("00"), (g - F.coalesce(F.get(gone, j - 1), F.lit(-1)) - 1).cast("int")), F.lit("01"))
+    found = found.withColumn(marks, F.unhex(F.array_join(F.transform(gone, byte), "")))
     found = found.withColumnsRenamed({"doc_id": row, "text_key": text})
     rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col(row)) & (F.xxhash64("text") == F.col(text)), "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda _, i: F.substring(F.col(marks), i + 1, F.lit(1)) != F.unhex(F.lit("01"))), "\n")
     more = [F.size(lines).alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).alias("n_dropped")] if with_counts else []
     return rows.select(*(F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns), *more)
 
