@@ -674,6 +674,18 @@ def _bits(counts: np.ndarray) -> float:
     return float(n.sum() * np.log2(n.sum()) - (n * np.log2(n)).sum())
 
 
+def _shared(x: np.ndarray, a: int, i: int) -> int:
+    """How many samples from ``a`` and from the later ``i`` on are equal, compared in doubling steps."""
+    done, step, most = 0, 64, len(x) - i
+    while done < most:
+        n = min(step, most - done)
+        differ = x[i + done : i + done + n] != x[a + done : a + done + n]
+        if differ.any():
+            return done + int(differ.argmax())
+        done, step = done + n, 2 * step
+    return most
+
+
 def find_matches(x: np.ndarray, least: int = 32) -> list[tuple[int, int, int]]:
     """Repeats (place, length, distance) of ``least`` bytes or more, in order and apart.
 
@@ -697,8 +709,7 @@ def find_matches(x: np.ndarray, least: int = 32) -> list[tuple[int, int, int]]:
         if i < done:
             continue
         a = int(source[i])
-        differ = x[i:] != x[a : a + len(x) - i]
-        size = int(differ.argmax()) if differ.any() else len(differ)
+        size = _shared(x, a, i)
         if size < least:
             continue
         while i > done and a > 0 and x[i - 1] == x[a - 1]:
