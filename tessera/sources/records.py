@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import IntegerType, StringType, StructType
 
-from ..functions import cursor
+from ..functions import columnar, cursor
 
 KERNELS: dict[str, tuple[Callable, str]] = {
     "prop_list": (cursor.prop_list, cursor.PROP_LIST), "snapshot": (cursor.snapshot, cursor.SNAPSHOT), "descriptor": (cursor.descriptor, cursor.DESCRIPTOR),
@@ -22,8 +23,8 @@ KERNELS: dict[str, tuple[Callable, str]] = {
     "ext_info": (cursor.ext_info, cursor.EXT_INFO), "licenses": (cursor.licenses, cursor.LICENSES), "object_prop_desc": (cursor.object_prop_desc, cursor.OBJECT_PROP_DESC),
     "event": (cursor.event, cursor.EVENT), "histogram": (cursor.histogram, cursor.HISTOGRAM), "tiff": (cursor.tiff_entries, cursor.TIFF_ENTRY), "jpeg": (cursor.jpeg_span, "image binary"),
 }
-#: Rows of one output batch.
-BATCH = 8192
+#: Rows of one output batch, and blobs that are read together.
+BATCH, BLOBS = 8192, 4096
 
 
 def decode(df: DataFrame, blob: str, kernel: str, keys: list[str]) -> DataFrame:
@@ -59,6 +60,21 @@ def decode(df: DataFrame, blob: str, kernel: str, keys: list[str]) -> DataFrame:
         if rows:
             yield flush()
 
+    def run_columns(batches):
+        inner = pa.schema(list(zip(own, arrow[len(keys) + 1 : -1])))
+        for batch in batches:
+            for begin in range(0, batch.num_rows, BLOBS):
+                some = batch.slice(begin, BLOBS)
+                blobs = some.column(len(keys))
+                announced = np.array([int.from_bytes(x[:4], "little") if x is not None else -1 for x in blobs.to_pylist()])
+                here = np.flatnonzero((announced >= 0) & (announced <= columnar.MOST_RECORDS))
+                which, ordinal, columns, errors = columnar.decode(kernel, blobs.take(pa.array(here)), inner)
+                at = pa.array(here[which])
+                yield pa.RecordBatch.from_arrays([*(some.column(k).take(at).cast(t) for k, t in zip(range(len(keys)), arrow)), pa.array(ordinal.astype(np.int32)), *columns, errors], names=names)
+                long = np.flatnonzero(announced > columnar.MOST_RECORDS)
+                if len(long):
+                    yield from run([some.take(pa.array(long))])
+
     schema = StructType()
     for k, kind in zip(keys, kinds):
         schema.add(k, kind)
@@ -66,7 +82,7 @@ def decode(df: DataFrame, blob: str, kernel: str, keys: list[str]) -> DataFrame:
     for f in fields:
         schema.add(f.name, f.dataType)
     schema.add("error", StringType())
-    return df.select(*keys, F.col(blob).cast("binary").alias("__blob")).mapInArrow(run, schema)
+    return df.select(*keys, F.col(blob).cast("binary").alias("__blob")).mapInArrow(run_columns if kernel in columnar.KERNELS else run, schema)
 
 
 def datagram(df: DataFrame, blob: str, vendors: list[int] | None = None) -> DataFrame:
@@ -75,9 +91,9 @@ def datagram(df: DataFrame, blob: str, vendors: list[int] | None = None) -> Data
     The first field is ACTION@PATH; KEY=VALUE fields follow, each behind a NUL byte, of which
     the last of a repeated key counts.  Other actions, subsystems and device types give no
     row, nor do vendors outside ``vendors`` where those are given.  Identifiers that are no
-    16-bit hexadecimal number are 0.
+    16-bit hexadecimal number are 0.  Bytes stand for themselves (ISO-8859-1), so none is malformed.
     """
-    fields = F.split(F.decode(F.col(blob), "UTF-8"), "\0")
+    fields = F.split(F.decode(F.col(blob), "ISO-8859-1"), "\0")
     last = lambda k: F.try_element_at(F.filter(fields, lambda f, i: (i > 0) & f.startswith(k + "=")), F.lit(-1))
     get = lambda k: F.substring(F.coalesce(last(k), F.lit("")), len(k) + 2, 1 << 30)
     product = F.split(get("PRODUCT"), "/")
