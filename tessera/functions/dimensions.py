@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encodings import hex_label
+from .encodings import SHUTTER_BULB, aperture_decode, duration_text, ev_decode, hex_label, iso_decode, shutter_decode
 
 # Response codes.
 RESPONSES = {
@@ -88,17 +88,54 @@ def vendors(spark: SparkSession, rows) -> DataFrame:
     return spark.createDataFrame(rows, "usb_id int, vendor string").orderBy("usb_id")
 
 
-def named(df: DataFrame, code: str, layers: list[DataFrame], kind: str, into: str = "name") -> DataFrame:
+def folded(layers: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Layers as one table: a row for each key, with the (layer, models, name) that it has, best first.
+
+    A layer may have a column ``models``, a bit for each model it holds for (null: all of them);
+    of a key that it repeats for the same models the least name counts.
+    """
+    every = None
+    for k, layer in enumerate(layers):
+        models = F.col("models").cast("long") if "models" in layer.columns else F.lit(None).cast("long")
+        part = layer.select(*keys, F.struct(F.lit(k).alias("layer"), models.alias("models"), "name").alias("layered"))
+        every = part if every is None else every.unionAll(part)
+    return every.groupBy(*keys).agg(F.array_sort(F.collect_set("layered")).alias("layered"))
+
+
+def _best_name(layered: Column, model: Column | None) -> Column:
+    """The name of the first layer that holds for a model (without a model: of layers for all models)."""
+    holds = lambda e: e["models"].isNull() if model is None else e["models"].isNull() | (F.getbit(e["models"], model.cast("int")) == 1)
+    fit = F.filter(layered, lambda e: F.coalesce(holds(e), F.lit(False)) & e["name"].isNotNull())
+    first = F.get(fit, F.lit(0))
+    # the least name of that layer, whatever models its rows list
+    return F.array_min(F.transform(F.filter(fit, lambda e: e["layer"] == first["layer"]), lambda e: e["name"]))
+
+
+def _joined(df: DataFrame, pairs: list[tuple[str, str]], layers: list[DataFrame], model: str | None) -> tuple[DataFrame, Column, list[str]]:
+    """One join whatever the number of layers: the rows, the name (null where no layer has one), and the columns to drop."""
+    if not layers:
+        return df, F.lit(None).cast("string"), []
+    taken, extra = {c.lower() for c in df.columns}, []
+    for label in (*(f"key_{k}" for k, _ in enumerate(pairs)), "layered"):
+        while label in taken:
+            label += "_"
+        extra.append(label)
+    table = folded(layers, [of for _, of in pairs]).toDF(*extra)
+    same = None
+    for (own, _), key in zip(pairs, extra):
+        one = F.col(own) == F.col(key)
+        same = one if same is None else same & one
+    return df.join(table, same, "left"), _best_name(F.col(extra[-1]), None if model is None else F.col(model)), extra
+
+
+def named(df: DataFrame, code: str, layers: list[DataFrame], kind: str, into: str = "name", model: str | None = None) -> DataFrame:
     """Add a name: of the first layer that has the code, else the code in hex.
 
     A layer that repeats a code gives its least name, so the result does not depend on order.
+    ``model`` is a column with the number of a model (0 to 62), for layers that hold for some only.
     """
-    out, names = df, []
-    for k, layer in enumerate(layers):
-        one = layer.groupBy(F.col("code").cast("int").alias(f"__c{k}")).agg(F.min("name").alias(f"__n{k}"))
-        out = out.join(one, F.col(code) == F.col(f"__c{k}"), "left")
-        names.append(F.col(f"__n{k}"))
-    return out.withColumn(into, F.coalesce(*names, hex_label(kind, F.col(code)))).drop(*(f"__{x}{k}" for k in range(len(layers)) for x in "cn"))
+    out, name, extra = _joined(df, [(code, "code")], layers, model)
+    return out.withColumn(into, F.coalesce(name, hex_label(kind, F.col(code)))).drop(*(x for x in extra if x != into))
 
 
 def codes_of(names: DataFrame, name: str, layers: list[DataFrame]) -> DataFrame:
@@ -111,12 +148,24 @@ def codes_of(names: DataFrame, name: str, layers: list[DataFrame]) -> DataFrame:
     return names.join(best, F.lower(F.col(name)) == F.col("__name"), "left").withColumn("code", F.col("__at.code")).drop("__name", "__at")
 
 
-def values_named(df: DataFrame, prop: str, value: str, layers: list[DataFrame], decoded: Column | None = None, into: str = "label") -> DataFrame:
-    """Name (property, value) pairs: curated layers first, then a decoded text, then the number."""
-    out, names = df, []
-    for k, layer in enumerate(layers):
-        one = layer.groupBy(F.col("prop").alias(f"__p{k}"), F.col("value").alias(f"__v{k}")).agg(F.min("name").alias(f"__n{k}"))
-        out = out.join(one, (F.col(prop) == F.col(f"__p{k}")) & (F.col(value) == F.col(f"__v{k}")), "left")
-        names.append(F.col(f"__n{k}"))
-    last = [decoded] if decoded is not None else []
-    return out.withColumn(into, F.coalesce(*names, *last, F.col(value).cast("string"))).drop(*(f"__{x}{k}" for k in range(len(layers)) for x in "pvn"))
+def values_named(df: DataFrame, prop: str, value: str, layers: list[DataFrame], decoded: Column | None = None, into: str = "label", enums: list[DataFrame] | None = None, model: str | None = None) -> DataFrame:
+    """Name (property, value) pairs: curated layers first, then a decoded text, then enum layers, then the signed number."""
+    curated = list(layers)
+    out, name, extra = _joined(df, [(prop, "prop"), (value, "value")], curated, model)
+    names = [name, *([decoded] if decoded is not None else [])]
+    if enums:
+        out, name, more = _joined(out, [(prop, "prop"), (value, "value")], enums, model)
+        names, extra = [*names, name], [*extra, *more]
+    return out.withColumn(into, F.coalesce(*names, F.col(value).cast("string"))).drop(*(x for x in extra if x != into))
+
+
+def exposure_text(prop: Column, value: Column, shutter: int, aperture: int, iso: int, bias: int) -> Column:
+    """Text of the encoded exposure properties; null for others and for values that say nothing."""
+    f, at = aperture_decode(value), iso_decode(value)
+    sensitivity = F.when(at["auto"], "AUTO").when(at["mode"] != 0, F.format_string("%d (mode %d)", at["iso"], at["mode"])).otherwise(at["iso"].cast("string"))
+    return (
+        F.when(prop == shutter, F.when(value.bitwiseAND(0xFFFFFFFF) == SHUTTER_BULB, "Bulb").otherwise(duration_text(shutter_decode(value))))
+        .when(prop == aperture, F.when(f.isNotNull(), F.format_string("f/%.1f", f)))
+        .when(prop == iso, sensitivity)
+        .when(prop == bias, F.format_string("%+.1f EV", ev_decode(value)))
+    )

@@ -50,6 +50,18 @@ def shutter_decode(v: Column) -> Column:
     return F.when((v != SHUTTER_BULB) & (v != SHUTTER_NOTHING) & (den != 0), num / den)
 
 
+def duration_text(seconds: Column) -> Column:
+    """A duration as hours, minutes and seconds, below a second in ms, µs or ns; cut after nanoseconds, trailing zeros go."""
+    nanos = F.floor(seconds.cast("double") * 1_000_000_000)
+    trimmed = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    part = lambda unit, digits: trimmed(F.concat(F.floor(nanos / unit).cast("string"), F.lit("."), F.lpad((nanos % unit).cast("string"), digits, "0")))
+    minutes, hours = F.floor(nanos / 60_000_000_000), F.floor(nanos / 3_600_000_000_000)
+    rest = nanos % 60_000_000_000
+    tail = trimmed(F.concat(F.floor(rest / 1_000_000_000).cast("string"), F.lit("."), F.lpad((rest % 1_000_000_000).cast("string"), 9, "0")))
+    long = F.concat(F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h"))).otherwise(""), F.when(minutes > 0, F.concat((minutes % 60).cast("string"), F.lit("m"))).otherwise(""), tail, F.lit("s"))
+    return F.when(nanos == 0, "0s").when(nanos < 1000, F.concat(nanos.cast("string"), F.lit("ns"))).when(nanos < 1_000_000, F.concat(part(1000, 3), F.lit("µs"))).when(nanos < 1_000_000_000, F.concat(part(1_000_000, 6), F.lit("ms"))).when(nanos > 0, long)
+
+
 def shutter_micros_encode(seconds: Column) -> Column:
     """Seconds to a count of microseconds."""
     return half_away(seconds * 1_000_000)
