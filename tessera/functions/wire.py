@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .cursor import OBJECT_FIELDS, OBJECT_TEXTS
 from .encodings import sign_extend
 
 
@@ -53,8 +54,31 @@ def put_string(s: Column) -> Column:
 
 
 def get_string(data: Column, offset: int = 0) -> Column:
-    """Counted UTF-16LE at an offset; a NUL counts and is dropped only where it comes last."""
+    """Counted UTF-16LE at an offset; a NUL counts and is dropped only where it comes last, half a surrogate pair becomes U+FFFD."""
     units = get_uint(data, offset, 1)
-    text = F.decode(F.substring(data, F.lit(offset + 2), (units * 2).cast("int")), "UTF-16LE")
-    closed = F.when(F.right(text, F.lit(1)) == "\0", F.left(text, F.length(text) - 1)).otherwise(text)
-    return F.when(units == 0, "").when(F.octet_length(data) >= offset + 1 + 2 * units, closed)
+    # in hexadecimal digits, four a unit: whole characters are passed over, what then follows is half a pair
+    digits = F.hex(F.substring(data, F.lit(offset + 2), (units * 2).cast("int")))
+    whole = F.regexp_replace(digits, r"\G((?:..(?:[0-9A-CEF].|D[0-7])|..D[89AB]..D[C-F])*+)....", "$1FDFF")
+    closed = F.regexp_replace(whole, "^((?:....)*?)(?:0000)?.{0,3}$", "$1")
+    text = F.decode(F.unhex(closed), "UTF-16LE")
+    return F.when(units == 0, "").when(F.octet_length(data) >= offset + 1 + 2 * units, text)
+
+
+def put_code_list(codes: Column) -> Column:
+    """An array of 16-bit codes behind its 32-bit count."""
+    return F.concat(put_uint(F.size(codes), 4), F.unhex(F.array_join(F.transform(codes, lambda c: F.hex(put_uint(c, 2))), "")))
+
+
+def code_list(data: Column, offset: int = 0) -> Column:
+    """The 16-bit codes behind a 32-bit count; null where the bytes end before."""
+    n = get_uint(data, offset, 4)
+    codes = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda k: get_uint(data, k * 2 + (offset + 4), 2).cast("int"))
+    return F.when(n == 0, F.array().cast("array<int>")).when(F.octet_length(data) >= offset + 4 + 2 * n, codes)
+
+
+def put_object_info(fields: dict[str, Column]) -> Column:
+    """An object's dataset: the fields of ``cursor.OBJECT_FIELDS`` and the four texts; what is not given is 0 or empty."""
+    if unknown := set(fields) - {k for k, _ in OBJECT_FIELDS} - set(OBJECT_TEXTS):
+        raise ValueError(f"no such fields: {sorted(unknown)}")
+    numbers = [put_uint(fields.get(k, F.lit(0)), n) for k, n in OBJECT_FIELDS]
+    return F.concat(*numbers, *(put_string(fields.get(k, F.lit(""))) for k in OBJECT_TEXTS))

@@ -49,12 +49,22 @@ def tag_new(now: DataFrame, before: DataFrame, handle: str = "handle") -> DataFr
     return now.join(known, handle, "left").withColumn("is_new", F.col("__known").isNull()).drop("__known")
 
 
-def select_objects(objects: DataFrame, storage: int | None = None, fmt: int | None = None, parent: int | None = None) -> DataFrame:
-    """Pushed-down predicates; an omitted one matches everything."""
-    for name, v in (("storage_id", storage), ("format", fmt), ("parent", parent)):
+def _selected(storage: int | None, fmt: int | None, parent: int | None, handle: int | None) -> Column:
+    out = F.lit(True)
+    for name, v in (("storage_id", storage), ("format", fmt), ("parent", parent), ("handle", handle)):
         if v is not None:
-            objects = objects.where(F.col(name) == v)
-    return objects
+            out = out & (F.col(name) == v)
+    return out
+
+
+def select_objects(objects: DataFrame, storage: int | None = None, fmt: int | None = None, parent: int | None = None, handle: int | None = None) -> DataFrame:
+    """Pushed-down predicates; an omitted one matches everything."""
+    return objects.where(_selected(storage, fmt, parent, handle))
+
+
+def count_objects(objects: DataFrame, keys: Sequence[str] = (), storage: int | None = None, fmt: int | None = None, parent: int | None = None) -> DataFrame:
+    """How many objects of each group match, 0 where none does; without keys one row for all."""
+    return objects.groupBy(*keys).agg(F.count_if(F.coalesce(_selected(storage, fmt, parent, None), F.lit(False))).alias("n_objects"))
 
 
 def format_counts(objects: DataFrame, keys: Sequence[str], name: str, ordinal: str, last: int = 8) -> DataFrame:

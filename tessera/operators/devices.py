@@ -33,3 +33,16 @@ def shutter_ladder(choices: Column) -> Column:
 def waiting(objects: DataFrame, keys: Sequence[str], store: int, storage: str = "storage_id") -> DataFrame:
     """How many frames wait in the volatile store (0 where none does)."""
     return objects.groupBy(*keys).agg(F.count_if(F.col(storage) == store).alias("n_waiting"))
+
+
+def with_models(devices: DataFrame, vendors: DataFrame, models: DataFrame) -> DataFrame:
+    """Devices of any vendor with ``vendor`` and ``model``: by the registries (usb_id, vendor) and (usb_id, product_id, model).
+
+    An unknown product is named after its vendor and its number, an unknown vendor has null names and ``is_known`` false.
+    """
+    known = vendors.select(F.col("usb_id").cast("int").alias("vendor_id"), "vendor").dropDuplicates(["vendor_id"]).withColumn("is_known", F.lit(True))
+    named = models.select(F.col("usb_id").cast("int").alias("vendor_id"), F.col("product_id").cast("int").alias("product_id"), "model").groupBy("vendor_id", "product_id").agg(F.min("model").alias("model"))
+    out = devices.join(known, "vendor_id", "left").join(named, ["vendor_id", "product_id"], "left")
+    fallback = F.when(F.col("is_known"), F.format_string("%s device 0x%04X", "vendor", F.col("product_id").cast("int")))
+    model = F.when(F.col("is_known"), F.coalesce("model", fallback))
+    return out.withColumns({"model": model, "is_known": F.coalesce("is_known", F.lit(False))})

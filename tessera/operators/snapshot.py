@@ -111,3 +111,38 @@ def precondition(*checks: tuple[Column, str]) -> Column:
     for ok, reason in checks:
         out = F.when(~ok, reason) if out is None else out.when(~ok, reason)
     return out
+
+
+def settable_exposure(descriptors: DataFrame, keys: Sequence[str], shutter: int, aperture: int, iso: int) -> DataFrame:
+    """Seconds, f-number and sensitivity of each device, and of each whether the host can set it.
+
+    From the standard descriptors (code, getset, ordinal, current.num, choices): one is settable if
+    it is writable and offers more than one choice.  The first descriptor of a code counts; what a
+    device does not describe is null.
+    """
+    can = writable(F.col("getset")) & (F.coalesce(F.size("choices"), F.lit(0)) > 1)
+    row = F.struct(F.col("current.num").alias("v"), F.coalesce(can, F.lit(False)).alias("can"))
+    first = lambda code: F.min_by(row, F.when(F.col("code") == code, F.col("ordinal")))
+    found = descriptors.where(F.col("code").isin(shutter, aperture, iso)).groupBy(*keys).agg(first(shutter).alias("s_"), first(aperture).alias("a_"), first(iso).alias("i_"))
+    micros, hundredths = F.col("s_.v"), F.col("a_.v")
+    return found.select(
+        *keys, E.shutter_micros_decode(micros).alias("seconds"), F.col("s_.can").alias("seconds_settable"), E.aperture_decode(hundredths, sentinels=False).alias("f_number"), F.col("a_.can").alias("f_number_settable"),
+        F.col("i_.v").alias("iso"), F.col("i_.can").alias("iso_settable"))
+
+
+def metadata(df: DataFrame, keys: Sequence[str], texts: dict[str, int], embedding: int, on: int) -> DataFrame:
+    """String properties as columns (null where absent), whether they are written to files, and whether that is reported.
+
+    The first entry of a code counts.
+    """
+    first = lambda v, code: F.min_by(v, F.when(F.col("code") == code, F.col("ordinal")))
+    flag = first("current.num", embedding) == on
+    reported = F.count_if(F.col("code") == embedding) > 0
+    aggs = [first("current.str", c).alias(n) for n, c in texts.items()]
+    return df.groupBy(*keys).agg(*aggs, F.coalesce(flag, F.lit(False)).alias("embedding"), reported.alias("has_embedding"))
+
+
+def known(df: DataFrame, code: str, captured: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Rows with what a reference capture (code, ordinal, values) has of their code: its first entry; ``is_known`` false and nulls without one."""
+    one = first_match(captured.withColumnRenamed("code", code), [code], "ordinal", values).withColumn("is_known", F.lit(True))
+    return df.join(one, code, "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))

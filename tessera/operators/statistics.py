@@ -50,6 +50,25 @@ def sweep(rows: DataFrame, keys: Sequence[str], described: Column, declined: Col
     return rows.groupBy(*keys).agg(F.count_if(described).alias("described"), F.count_if(declined).alias("declined"), F.count_if(~described & ~declined).alias("failed"))
 
 
+def sweep_until(rows: DataFrame, keys: Sequence[str], order: Sequence[str], described: Column, declined: Column, gone: Column, most: int = 5) -> DataFrame:
+    """A sweep that gives up: described, declined and failed rows up to where it ends, and whether it was aborted.
+
+    A device that is gone ends it at once, ``most`` failures without a description between them
+    end it as well; a declined row is neither and does not interrupt a run of failures.
+    """
+    kind = F.when(gone, "gone").when(described, "ok").when(declined, "no").otherwise("failed")
+    w = Window.partitionBy(*keys).orderBy(*order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum(F.when(F.col("sweep_kind") == "failed", 1).otherwise(0)).over(w)
+    marked = rows.select(*keys, *order, kind.alias("sweep_kind")).withColumn("fails", total)
+    # failures so far less those up to the last description: the length of the run
+    base = F.coalesce(F.max(F.when(F.col("sweep_kind") == "ok", F.col("fails"))).over(w), F.lit(0))
+    ends = (F.col("sweep_kind") == "gone") | ((F.col("sweep_kind") == "failed") & (F.col("fails") - base >= most))
+    seen = marked.withColumn("ends", ends).withColumn("over", F.coalesce(F.max(F.col("ends").cast("int")).over(before), F.lit(0))).where("over = 0")
+    count = lambda k: F.count_if(F.col("sweep_kind") == k)
+    return seen.groupBy(*keys).agg(count("ok").alias("described"), count("no").alias("declined"), (count("failed") + count("gone")).alias("failed"), F.bool_or("ends").alias("aborted"))
+
+
 def first_of(events: DataFrame, keys: Sequence[str], wanted: Column, order: Column, values: Sequence[str]) -> DataFrame:
     """The first wanted event of each group."""
     best = events.where(wanted).groupBy(*keys).agg(F.min_by(F.struct(*values), order).alias("__row"))

@@ -241,11 +241,10 @@ def eav_pivot(spark, sf):
     return C.pivot(t(spark, sf, "events"), {"click": "click", "viewed": "view"}, "user_id", "event_type", "value", "event_id")
 
 
-@query("SELECT user_id, CAST(count(DISTINCT event_type) AS INTEGER) AS n_properties, max(value) FILTER (r = 1) AS last_click FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE event_type = 'click' OR TRUE GROUP BY user_id")
+@query("SELECT user_id, CAST(count(DISTINCT event_type) AS INTEGER) AS n_properties, arg_max(value, event_id) FILTER (event_type = 'click') AS last_click FROM events GROUP BY user_id")
 def eav_by_handle(spark, sf):
     maps = C.by_handle(t(spark, sf, "events"), "user_id", "event_type", "value", "event_id")
-    best = F.array_max(F.map_values("properties"))
-    return maps.select("user_id", F.size("properties").alias("n_properties"), best.alias("last_click"))
+    return maps.select("user_id", F.size("properties").alias("n_properties"), F.try_element_at("properties", F.lit("click")).alias("last_click"))
 
 
 @query("""

@@ -35,10 +35,13 @@ def write_text_snapshot(df: DataFrame, path: str, code: str = "code", value: str
 
 
 def downloads(objects: DataFrame, contents: DataFrame, handle: str = "handle", block: int | None = None) -> DataFrame:
-    """Objects with their bytes and whether the length is the announced one (or it padded to ``block``)."""
-    out = objects.join(contents, handle)
+    """Objects with their bytes and whether the length is the announced one (or it padded to ``block``).
+
+    An object without bytes stays, incomplete.
+    """
+    out = objects.join(contents, handle, "left")
     n = F.octet_length("content")
     ok = n == F.col("size")
     if block:
         ok = ok | (n == F.ceil(F.col("size") / block) * block)
-    return out.withColumn("complete", ok)
+    return out.withColumn("complete", F.coalesce(ok, F.lit(False)))

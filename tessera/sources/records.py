@@ -6,7 +6,8 @@ decoding: Catalyst prunes and pushes down up to the kernel, not through it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,30 @@ KERNELS: dict[str, tuple[Callable, str]] = {
 BATCH, BLOBS = 8192, 4096
 
 
+class Kernel(Protocol):
+    """What a decoder is: the rows of one blob as dicts; ``cursor.Short`` where it ends early."""
+
+    def __call__(self, data: bytes) -> Iterator[dict]: ...
+
+
+class ColumnarKernel(Protocol):
+    """What a decoder of many blobs is: the bytes with their errors, and the rows in steps (see ``columnar``)."""
+
+    def __call__(self, blobs: pa.Array) -> tuple[columnar.Blobs, list]: ...
+
+
+def register_kernel(name: str, kernel: Kernel, ddl: str, many: ColumnarKernel | None = None) -> None:
+    """Add a decoder of the caller's under a new name, for :func:`decode` and for table functions.
+
+    ``ddl`` names the fields of its rows; ``many`` reads batches of blobs instead.
+    """
+    if name in KERNELS:
+        raise ValueError(f"there is a decoder named {name}")
+    KERNELS[name] = (kernel, ddl)
+    if many is not None:
+        columnar.KERNELS[name] = many
+
+
 def decode(df: DataFrame, blob: str, kernel: str, keys: list[str]) -> DataFrame:
     """``keys`` + ordinal + the kernel's columns + error.
 
@@ -34,6 +59,7 @@ def decode(df: DataFrame, blob: str, kernel: str, keys: list[str]) -> DataFrame:
     keys, the ordinal and the error.  A null blob gives no row.
     """
     function, ddl = KERNELS[kernel]
+    many = columnar.KERNELS.get(kernel)
     fields = StructType.fromDDL(ddl)
     kinds = [df.schema[k].dataType for k in keys]
     names = [*keys, "ordinal", *fields.names, "error"]
@@ -68,7 +94,7 @@ def decode(df: DataFrame, blob: str, kernel: str, keys: list[str]) -> DataFrame:
                 blobs = some.column(len(keys))
                 announced = np.array([int.from_bytes(x[:4], "little") if x is not None else -1 for x in blobs.to_pylist()])
                 here = np.flatnonzero((announced >= 0) & (announced <= columnar.MOST_RECORDS))
-                which, ordinal, columns, errors = columnar.decode(kernel, blobs.take(pa.array(here)), inner)
+                which, ordinal, columns, errors = columnar.decode(many, blobs.take(pa.array(here)), inner)
                 at = pa.array(here[which])
                 yield pa.RecordBatch.from_arrays([*(some.column(k).take(at).cast(t) for k, t in zip(range(len(keys)), arrow)), pa.array(ordinal.astype(np.int32)), *columns, errors], names=names)
                 long = np.flatnonzero(announced > columnar.MOST_RECORDS)
@@ -82,7 +108,7 @@ def decode(df: DataFrame, blob: str, kernel: str, keys: list[str]) -> DataFrame:
     for f in fields:
         schema.add(f.name, f.dataType)
     schema.add("error", StringType())
-    return df.select(*keys, F.col(blob).cast("binary").alias("__blob")).mapInArrow(run_columns if kernel in columnar.KERNELS else run, schema)
+    return df.select(*keys, F.col(blob).cast("binary").alias("__blob")).mapInArrow(run_columns if many else run, schema)
 
 
 def datagram(df: DataFrame, blob: str, vendors: list[int] | None = None) -> DataFrame:

@@ -30,12 +30,9 @@ def _asked(whole: StructType, fields: str | None) -> StructType:
 def table_function(kernel: str, schema: StructType):
     """The table function of a kernel; ``schema`` is that of its columns."""
     whole = StructType([*StructType().add("ordinal", IntegerType()).fields, *schema.fields, *StructType().add("error", StringType()).fields])
-    own = schema.names
+    own, function = schema.names, KERNELS[kernel][0]
 
     class Decode:
-        def __init__(self) -> None:
-            self.function = KERNELS[kernel][0]
-
         @staticmethod
         def analyze(blob: AnalyzeArgument, fields: AnalyzeArgument | None = None) -> AnalyzeResult:
             if blob.dataType.typeName() not in ("binary", "void"):
@@ -50,7 +47,7 @@ def table_function(kernel: str, schema: StructType):
             names = _asked(whole, fields).names
             n = 0
             try:
-                for row in self.function(bytes(blob)):
+                for row in function(bytes(blob)):
                     found = {"ordinal": n, "error": None} | row
                     yield tuple(found[c] for c in names)
                     n += 1

@@ -78,7 +78,7 @@ def test_equal_on_random_and_cut_blobs(spark, kernel, make):
     data = blobs(make, 11, 3000)
     data = [b for b in data if int.from_bytes(b[:4], "little") < 10_000 or len(b) < 60]
     fields = to_arrow_schema(StructType.fromDDL(records.KERNELS[kernel][1]))
-    which, ordinal, columns, errors = columnar.decode(kernel, pa.array(data, pa.binary()), fields)
+    which, ordinal, columns, errors = columnar.decode(columnar.KERNELS[kernel], pa.array(data, pa.binary()), fields)
     got = list(zip(which.tolist(), ordinal.tolist(), *(c.to_pylist() for c in columns), errors.to_pylist()))
     want = []
     for k, b in enumerate(data):
