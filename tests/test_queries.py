@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import more_queries, queries, source_queries  # noqa: F401
+from tessera.plans import more_queries, queries, source_queries, view_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
