@@ -167,7 +167,7 @@ def extension_infos(spark, sf):
     return found.select("p_partkey", "protocol_mode", F.get("properties", F.lit(0)).alias("first_property"), F.size("controls").alias("n_controls"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 5 > 0 THEN p_size * 24 END AS hours, p_type AS license FROM part")
+@query("SELECT p_partkey, CAST(CASE WHEN p_size % 5 > 0 THEN p_size * 24 END AS BIGINT) AS hours, p_type AS license FROM part")
 def license_lists(spark, sf):
     name = F.encode("p_type", "UTF-8")
     raw = _cat(_u(1, 1), _u(F.when(F.col("p_size") % 5 > 0, F.col("p_size") * 24).otherwise(0xFFFFFFFF), 4), _u(F.octet_length(name), 1), name)
