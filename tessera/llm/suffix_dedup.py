@@ -10,11 +10,12 @@ that start less than ``v`` bytes before a repeated sample can be ties over ``min
 bytes; these are sorted the same way, in a second pass over buckets, and equal neighbours
 are the repeated strings.
 
-A suffix is compared by a 64-bit fingerprint of the bytes that count instead of the bytes
-themselves, so buckets are ranges of fingerprints and not of the alphabet, and equality
-(all that dedup needs of the order) has a chance of 2**-64 a pair to be wrong.  Prefixes
-would have to travel: there are 0.09 samples a byte of text, so 32 bytes of each are 2.9
-times the text, where the fingerprints are 0.7 times.
+A suffix is compared by a fingerprint of the bytes that count instead of the bytes
+themselves, so buckets are ranges of fingerprints and not of the alphabet.  Samples have 64
+bits: two that are equal by chance only bring candidates.  The strings behind repeated samples,
+which decide, have 128 bits, so equality (all that dedup needs of the order) has a chance of
+2**-128 a pair to be wrong.  Prefixes would have to travel: there are 0.09 samples a byte
+of text, so 32 bytes of each are 2.9 times the text, where the fingerprints are 0.7 times.
 
 Texts are laid out once in parts (a table bucketed by part in the warehouse), and later
 passes bring only packed fingerprints to the buckets and bits back, so no text is
@@ -53,7 +54,7 @@ COVERS = {
     57: (0, 1, 6, 15, 22, 26, 45, 55),
     133: (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121),
 }
-BASE = 0x9E3779B97F4A7C15
+BASE, SECOND = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 #: ASCII white space between words.
 SPACES = np.frombuffer(b" \t\n\x0b\f\r", np.uint8)
 
@@ -78,8 +79,11 @@ class Fingerprints:
         return h ^ (h >> np.uint64(32))
 
     @classmethod
-    def of(cls, data: np.ndarray, positions: np.ndarray, length) -> np.ndarray:
-        """``positions`` ascend; slices bound the memory.  ``length`` is one number, or an array with that of each."""
+    def of(cls, data: np.ndarray, positions: np.ndarray, length, seed: int = 0) -> np.ndarray:
+        """``positions`` ascend; slices bound the memory.  ``length`` is one number, or an array with that of each.
+
+        Another ``seed`` gives fingerprints that do not depend on those of the first.
+        """
         out = np.empty(len(positions), np.uint64)
         length = np.broadcast_to(np.asarray(length, np.int64), positions.shape)
         k = 0
@@ -89,7 +93,7 @@ class Fingerprints:
             n, at = length[k:e], positions[k:e] - first
             part = np.concatenate([data[first : first + int((at + n).max())], np.zeros(8, np.uint8)])
             words = np.ndarray(len(part) - 7, "<u8", part, strides=(1,)).copy()
-            h = n.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+            h = n.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) ^ np.uint64(seed)
             whole, least = n >> 3, int(n.min()) >> 3
             for j in range(int(whole.max())):
                 w = words[np.minimum(at + 8 * j, len(words) - 1)] if j >= least else words[at + 8 * j]
@@ -148,24 +152,35 @@ class Part:
         keep = same & (length < self.min_len)
         return first[keep], length[keep]
 
-    def keys(self, positions: np.ndarray, length):
-        """The distinct fingerprints in order, which of them each position has, and which occur twice here."""
+    def keys(self, positions: np.ndarray, length, wide: bool = False):
+        """The distinct fingerprints in order (``wide``: rows of two of them), which of them each position has, and which occur twice here."""
         h = Fingerprints.of(self.data, positions, length)
-        distinct, which, n = np.unique(h, return_inverse=True, return_counts=True)
-        return distinct, which, n > 1
+        if not wide:
+            distinct, which, n = np.unique(h, return_inverse=True, return_counts=True)
+            return distinct, which, n > 1
+        h = np.column_stack([h, Fingerprints.of(self.data, positions, length, SECOND)])
+        order = np.lexsort((h[:, 1], h[:, 0]))
+        h = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]).any(axis=1)
+        which = np.empty(len(h), np.int64)
+        which[order] = np.cumsum(new) - 1
+        return h[new], which, np.bincount(which, minlength=int(new.sum())) > 1
 
 
 def bucket_edges(distinct: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's range begins in the ordered fingerprints (and the end)."""
     cuts = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(distinct, cuts), [len(distinct)]])
+    return np.concatenate([[0], np.searchsorted(distinct if distinct.ndim == 1 else distinct[:, 0], cuts), [len(distinct)]])
 
 
 def sort_bucket(part_keys: list[np.ndarray]) -> list[np.ndarray]:
     """For the distinct fingerprints of each part: whether another part has them too."""
     every = np.concatenate(part_keys)
-    order = np.argsort(every, kind="stable")
+    wide = every.ndim == 2
+    order = np.lexsort((every[:, 1], every[:, 0])) if wide else np.argsort(every, kind="stable")
     same = every[order][1:] == every[order][:-1]
+    same = same.all(axis=1) if wide else same
     twice = np.zeros(len(every), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
@@ -175,8 +190,8 @@ def sort_bucket(part_keys: list[np.ndarray]) -> list[np.ndarray]:
 def _emit_keys(part_id, distinct, buckets) -> pa.Table:
     edges = bucket_edges(distinct, buckets)
     some = np.flatnonzero(np.diff(edges))
-    raw = distinct.astype("<u8").tobytes()
-    return pa.table({"bucket": pa.array(some, pa.int32()), "part": pa.array([part_id] * len(some), pa.int64()), "keys": pa.array([raw[8 * edges[b] : 8 * edges[b + 1]] for b in some.tolist()], pa.binary())})
+    raw, width = distinct.astype("<u8").tobytes(), 8 * (distinct.ndim)
+    return pa.table({"bucket": pa.array(some, pa.int32()), "part": pa.array([part_id] * len(some), pa.int64()), "keys": pa.array([raw[width * edges[b] : width * edges[b + 1]] for b in some.tolist()], pa.binary())})
 
 
 def _flags_of(flags: pa.Table, which_pass: int, distinct: np.ndarray, buckets: int) -> np.ndarray:
@@ -193,7 +208,8 @@ def _rank(keys: DataFrame, which_pass: int) -> DataFrame:
     """Sort each suffix bucket; (part, pass, bucket, flags) of the repeated fingerprints."""
 
     def run(key, rows):
-        found = sort_bucket([np.frombuffer(k, "<u8") for k in rows["keys"].to_pylist()])
+        keys = [np.frombuffer(k, "<u8") for k in rows["keys"].to_pylist()]
+        found = sort_bucket([k.reshape(-1, 2) for k in keys] if which_pass == 2 else keys)
         n = len(found)
         return pa.table({"part": rows["part"].cast(pa.int64()), "pass": pa.array([which_pass] * n, pa.int32()), "bucket": rows["bucket"].cast(pa.int32()), "flags": pa.array([np.packbits(f).tobytes() for f in found], pa.binary())})
 
@@ -269,7 +285,7 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, carry: tuple[str, ..
         return p, p.before(samples[repeated])
 
     def string_keys(key, left, flags):
-        out = [_emit_keys(row["part"], (pc := candidates(row, flags))[0].keys(pc[1], min_len)[0], buckets) for row in left.to_pylist()]
+        out = [_emit_keys(row["part"], (pc := candidates(row, flags))[0].keys(pc[1], min_len, wide=True)[0], buckets) for row in left.to_pylist()]
         return pa.concat_tables(out) if out else pa.table({"bucket": pa.array([], pa.int32()), "part": pa.array([], pa.int64()), "keys": pa.array([], pa.binary())})
 
     def window_keys(batches):
@@ -283,7 +299,7 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, carry: tuple[str, ..
         cols = {n: [] for n in names}
         for row in left.to_pylist():
             p, starts = candidates(row, flags)
-            distinct, which, twice = p.keys(starts, min_len)
+            distinct, which, twice = p.keys(starts, min_len, wide=True)
             starts = starts[(twice | _flags_of(flags, 2, distinct, buckets))[which]]
             edge = np.zeros(len(p.data) + min_len + 1, np.int32)
             edge[starts] = 1

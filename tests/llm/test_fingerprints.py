@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from tessera.llm import suffix_dedup as S
 from tessera.llm.suffix_dedup import Fingerprints
 
 
@@ -29,3 +30,24 @@ def test_structured_strings_stay_apart():
     at = np.arange(0, len(data) - 400)
     h = Fingerprints.of(data, at, 400)
     assert len(set(h.tolist())) == len({data[i : i + 400].tobytes() for i in at})
+
+
+def test_different_strings_of_one_hash_stay(monkeypatch):
+    """Two strings whose first 64 bits are forced to be equal are told apart by the other 64."""
+    real = S.Fingerprints.of.__func__
+
+    def forced(cls, data, positions, length, seed=0):
+        h = real(cls, data, positions, length, seed)
+        return h if seed else np.zeros_like(h)
+
+    monkeypatch.setattr(S.Fingerprints, "of", classmethod(forced))
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(97, 123, 60).astype(np.uint8).tobytes() for _ in range(2))
+    one, two = S.Part(a + b, [60, 60], 24), S.Part(b + a[:30], [60, 30], 24)
+    keys = [p.keys(np.arange(0, p.sizes[0] - 23), 24, wide=True) for p in (one, two)]
+    assert [len(k[0]) for k in keys] == [37, 37] and not keys[0][2].any()
+    assert not any(f.any() for f in S.sort_bucket([k[0] for k in keys]))  # a's strings and b's
+    again = two.keys(np.arange(60, 67), 24, wide=True)
+    found = S.sort_bucket([keys[0][0], again[0]])
+    assert found[1].all() and found[0].sum() == 7
+    assert len(S.bucket_edges(keys[0][0], 4)) == 5
