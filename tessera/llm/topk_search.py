@@ -19,7 +19,8 @@ all its rows at once, so for a block of queries
 3. the other row blocks are visited only where a query's bound reaches that score.
 
 Inside a block the rows' own bounds are taken coarse to fine the same way, and the
-survivors' scores are computed exactly.  A task holds one row block and at most
+survivors' scores are computed exactly.  Blocks hold rows of one class of lengths and at most
+``CELLS`` numbers, so a long vector costs its own block only.  A task holds one row block and about
 ``QUERIES_TOGETHER`` query blocks; it yields at most k rows a query, and a window over
 these few picks the best k.  The query set is a stated one and every row is a candidate.
 
@@ -45,6 +46,8 @@ SCALE, K, EVERY = 1024, 10, 100
 QUERY_BLOCK, ROW_BLOCK = 256, 2048
 #: Query blocks that meet a row block in one task, and boxes bounded at once.
 QUERIES_TOGETHER, BOXES_TOGETHER = 32, 4096
+#: Numbers of a block (rows times the longest one's length), which bounds it where vectors are long.
+CELLS = 1 << 20
 #: Segments of the successive levels (as many as the vector's length allows).
 LEVELS = (1, 4, 16)
 LONG = 2**63 - 1
@@ -129,6 +132,20 @@ def order_key(score: int) -> bytes:
     return b"\1" + raw if score > 0 else b"\0" + bytes(255 - c for c in raw)
 
 
+def length_class(n: int) -> int:
+    """The least power of two that is no less: rows of a block are of one class, and padded to their longest only."""
+    return 1 << max(0, n - 1).bit_length()
+
+
+def fitted(x: np.ndarray, dim: int) -> np.ndarray:
+    """Rows cut or padded with zeros; components that the other side has not got count for nothing in a product."""
+    if x.shape[1] >= dim:
+        return x[:, :dim]
+    out = np.zeros((len(x), dim))
+    out[:, : x.shape[1]] = x
+    return out
+
+
 def _matrix(lists: pa.Array, dim: int, scale: float) -> np.ndarray:
     """floor(scale * x) of list rows, padded with zeros; whole numbers that float64 holds exactly."""
     sizes = np.diff(np.asarray(lists.offsets))
@@ -149,102 +166,132 @@ def _cells(x: np.ndarray) -> np.ndarray:
     return cell
 
 
-def row_blocks(vectors: DataFrame, is_query, dim: int, scale: float, size: int) -> DataFrame:
-    """block, first_rid, ids, is_query, data and box of blocks of similar rows; written once."""
+def row_blocks(vectors: DataFrame, is_query, scale: float, size: int) -> DataFrame:
+    """block, first_rid, dim, ids, is_query, data and box of blocks of similar rows; written once."""
 
     def cells(batches):
         for batch in batches:
-            x = _matrix(batch.column(1), dim, scale)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(_cells(x)), pa.array(x[:, : dim // 2 + 1].sum(axis=1)), pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "asked", "cell", "part", "x"])
+            sizes = np.diff(np.asarray(batch.column(1).offsets))
+            classes = np.array([length_class(n) for n in sizes.tolist()], np.int64)
+            for c in np.unique(classes).tolist():
+                rows = np.flatnonzero(classes == c)
+                for k in range(0, len(rows), max(1, CELLS // c)):
+                    some = rows[k : k + max(1, CELLS // c)]
+                    at = pa.array(some)
+                    x = _matrix(batch.column(1).take(at), c, scale)
+                    raw = pa.array([r[:n].tobytes() for r, n in zip(x, sizes[some].tolist())], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array([c] * len(some), pa.int64()), pa.array(_cells(x)), pa.array(x[:, : c // 2 + 1].sum(axis=1)), raw], names=["vec_id", "asked", "class", "cell", "part", "x"])
 
     def blocks(batches):
         from pyspark import TaskContext
 
-        task, n, held = TaskContext.get().partitionId(), 0, []
+        task, n, held, now = TaskContext.get().partitionId(), 0, [], 1
 
-        def close(rows):
-            x = np.frombuffer(b"".join(r[2] for r in rows), np.float64).reshape(len(rows), dim)
+        def close(rows, c):
+            dim = max(1, *(len(r[2]) // 8 for r in rows))
+            x = np.zeros((len(rows), dim))
+            for k, r in enumerate(rows):
+                x[k, : len(r[2]) // 8] = np.frombuffer(r[2], np.float64)
             first = (task << 40) + n
-            values = (first, first, np.array([r[0] for r in rows], np.int64).tobytes(), np.array([r[1] for r in rows], bool).tobytes(), x.tobytes(), box_of(x).tobytes() if small(x) == 1 else None)
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=["block", "first_rid", "ids", "asked", "data", "box"])
+            values = (first, first, dim, np.array([r[0] for r in rows], np.int64).tobytes(), np.array([r[1] for r in rows], bool).tobytes(), x.tobytes(), box_of(fitted(x, c)).tobytes() if small(x) == 1 else None)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=["block", "first_rid", "dim", "ids", "asked", "data", "box"])
 
         for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in (0, 1, 4)))
-            while len(held) >= size:
-                yield close(held[:size])
-                held, n = held[size:], n + size
+            for vec_id, asked, c, x in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 5))):
+                if held and (c != now or len(held) >= min(size, max(1, CELLS // now))):
+                    yield close(held, now)
+                    held, n = [], n + len(held)
+                now = c
+                held.append((vec_id, asked, x))
         if held:
-            yield close(held)
+            yield close(held, now)
 
-    rows = vectors.select("vec_id", "v", is_query.alias("asked")).mapInArrow(cells, "vec_id long, asked boolean, cell long, part double, x binary")
+    rows = vectors.select("vec_id", "v", is_query.alias("asked")).mapInArrow(cells, "vec_id long, asked boolean, class long, cell long, part double, x binary")
     # many equal vectors are split by a hash of their ids
-    dealt = rows.withColumn("h", F.xxhash64("vec_id")).repartitionByRange(common.scale_partitions(vectors.sparkSession), "cell", "part", "h").sortWithinPartitions("cell", "part", "h").drop("h")
-    return common.materialize(dealt.mapInArrow(blocks, "block long, first_rid long, ids binary, asked binary, data binary, box binary"), "topk-blocks")
+    order = ["class", "cell", "part", "h"]
+    dealt = rows.withColumn("h", F.xxhash64("vec_id")).repartitionByRange(common.scale_partitions(vectors.sparkSession), *order).sortWithinPartitions(*order).drop("h")
+    return common.materialize(dealt.mapInArrow(blocks, "block long, first_rid long, dim long, ids binary, asked binary, data binary, box binary"), "topk-blocks")
 
 
-def query_blocks(blocks: DataFrame, dim: int, size: int) -> DataFrame:
-    """qb, rids, ids and data of blocks of the asked rows, in the order of the row blocks."""
+def query_blocks(blocks: DataFrame, size: int) -> DataFrame:
+    """qb, dim, rids, ids and data of blocks of the asked rows, in the order of the row blocks."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        task, n = TaskContext.get().partitionId(), 0
-        rids, ids, data = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dim))
+        task, n, now = TaskContext.get().partitionId(), 0, 0
+        rids, ids, data = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 1))
 
         def block(rids, ids, data):
-            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + n]), *(pa.array([v.tobytes()], pa.binary()) for v in (rids, ids, data))], names=["qb", "rids", "q_ids", "q"])
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + n]), pa.array([data.shape[1]]), *(pa.array([v.tobytes()], pa.binary()) for v in (rids, ids, data))], names=["qb", "dim", "rids", "q_ids", "q"])
 
         for batch in batches:
-            for first, i, asked, d in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            for first, dim, i, asked, d in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 some = np.flatnonzero(np.frombuffer(asked, bool))
+                if not len(some):
+                    continue
+                if len(rids) and length_class(dim) != now:
+                    yield block(rids, ids, data)
+                    rids, ids, data, n = rids[:0], ids[:0], data[:0], n + 1
+                now = length_class(dim)
+                most = min(size, max(1, CELLS // now))
+                width = max(dim, data.shape[1] if len(data) else 1)
                 rids, ids = np.append(rids, first + some), np.append(ids, np.frombuffer(i, np.int64)[some])
-                data = np.concatenate([data, np.frombuffer(d, np.float64).reshape(-1, dim)[some]])
-                while len(rids) >= size:
-                    yield block(rids[:size], ids[:size], data[:size])
-                    rids, ids, data, n = rids[size:], ids[size:], data[size:], n + 1
+                data = np.concatenate([fitted(data, width), fitted(np.frombuffer(d, np.float64).reshape(-1, dim)[some], width)])
+                while len(rids) >= most:
+                    yield block(rids[:most], ids[:most], data[:most])
+                    rids, ids, data, n = rids[most:], ids[most:], data[most:], n + 1
         if len(rids):
             yield block(rids, ids, data)
 
-    return common.materialize(blocks.select("first_rid", "ids", "asked", "data").mapInArrow(run, "qb long, rids binary, q_ids binary, q binary"), "topk-queries")
+    return common.materialize(blocks.select("first_rid", "dim", "ids", "asked", "data").mapInArrow(run, "qb long, dim long, rids binary, q_ids binary, q binary"), "topk-queries")
 
 
-def bounded_pairs(queries: DataFrame, blocks: DataFrame, dim: int) -> DataFrame:
+def bounded_pairs(queries: DataFrame, blocks: DataFrame) -> DataFrame:
     """qb, block, top (the best bound) and every query's bound, of all pairs of a query block and a row block's box."""
     chunks = max(1, -(-blocks.count() // BOXES_TOGETHER))
-    boxes = blocks.select(F.pmod(F.xxhash64("block"), F.lit(chunks)).cast("int").alias("chunk"), "block", "box").groupBy("chunk").agg(F.collect_list(F.struct("block", "box")).alias("boxes"))
-    asked = queries.select("qb", "q", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    boxes = blocks.select(F.pmod(F.xxhash64("block"), F.lit(chunks)).cast("int").alias("chunk"), "block", "dim", "box").groupBy("chunk").agg(F.collect_list(F.struct("block", "dim", "box")).alias("boxes"))
+    asked = queries.select("qb", "dim", "q", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
 
     def run(batches):
         for batch in batches:
-            for qb, q, boxes in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            for qb, dim, q, boxes in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 q = np.frombuffer(q, np.float64).reshape(-1, dim)
-                known = [b for b in boxes if b["box"] is not None] if small(q) == 1 else []
-                at = {b["block"]: k for k, b in enumerate(known)}
-                high = box_bounds(q, np.frombuffer(b"".join(b["box"] for b in known), np.float64).reshape(len(known), -1)) if known else None
                 # blocks of values beyond the range of squares are not bounded, so always visited
-                per = [high[:, at[b["block"]]] if b["block"] in at else np.full(len(q), np.inf) for b in boxes]
+                high = np.full((len(q), len(boxes)), np.inf)
+                groups: dict[int, list[int]] = {}
+                for k, b in enumerate(boxes):
+                    if b["box"] is not None and small(q) == 1:
+                        groups.setdefault(length_class(b["dim"]), []).append(k)
+                for c, at in groups.items():
+                    known = np.frombuffer(b"".join(boxes[k]["box"] for k in at), np.float64).reshape(len(at), -1)
+                    step = max(1, CELLS // c)
+                    for k in range(0, len(q), step):
+                        high[k : k + step, at] = box_bounds(fitted(q[k : k + step], c), known)
+                per = list(high.T)
                 yield pa.RecordBatch.from_arrays([pa.array([qb] * len(per), pa.int64()), pa.array([b["block"] for b in boxes], pa.int64()), pa.array([float(p.sum()) for p in per]), pa.array([p.tobytes() for p in per], pa.binary())], names=["qb", "block", "top", "bounds"])
 
-    return common.materialize(asked.join(boxes, "chunk").select("qb", "q", "boxes").mapInArrow(run, "qb long, block long, top double, bounds binary"), "topk-bounds")
+    return common.materialize(asked.join(boxes, "chunk").select("qb", "dim", "q", "boxes").mapInArrow(run, "qb long, block long, top double, bounds binary"), "topk-bounds")
 
 
-def search_pairs(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, dim: int, k: int) -> DataFrame:
+def search_pairs(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     """``pairs(qb, block, least)``: qb, the new k-th best scores, and the (query, query_id, vec_id, score, key) found."""
     together = max(1, -(-queries.count() // QUERIES_TOGETHER))
     asked = pairs.withColumn("salt", F.pmod(F.xxhash64("qb"), F.lit(together)).cast("int"))
     wanted = asked.select(F.col("block").alias("x_block"), F.col("salt").alias("x_salt")).distinct()
-    rows = blocks.join(wanted, F.col("block") == F.col("x_block")).select("x_block", "x_salt", "first_rid", "ids", "data")
-    asked = asked.join(queries, "qb").select("block", "salt", "qb", "least", "rids", "q_ids", "q")
+    rows = blocks.join(wanted, F.col("block") == F.col("x_block")).select("x_block", "x_salt", "first_rid", "dim", "ids", "data")
+    asked = asked.join(queries, "qb").select("block", "salt", "qb", "least", "dim", "rids", "q_ids", "q")
 
     def run(key, left, right):
         out = {n: [] for n in ("qb", "least", "found")}
         for row in right.to_pylist():
-            ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"], np.float64).reshape(-1, dim)
+            ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"], np.float64).reshape(-1, row["dim"])
             x_rids = row["first_rid"] + np.arange(len(ids))
             for ask in left.to_pylist():
-                rids, q = np.frombuffer(ask["rids"], np.int64), np.frombuffer(ask["q"], np.float64).reshape(-1, dim)
+                rids, q = np.frombuffer(ask["rids"], np.int64), np.frombuffer(ask["q"], np.float64).reshape(-1, ask["dim"])
                 least = np.frombuffer(ask["least"], np.float64) if ask["least"] is not None else np.full(len(q), -np.inf)
-                got = block_topk(rids, q, x_rids, ids, x, k, least)
+                shared = min(ask["dim"], row["dim"])
+                got = block_topk(rids, q[:, :shared], x_rids, ids, x[:, :shared], k, least)
                 out["qb"].append(ask["qb"])
                 # a score that floating point cannot hold is no threshold
                 out["least"].append(np.array([float(g[-1][0]) if len(g) == k and abs(g[-1][0]) < 1 << 1000 else -np.inf for g in got]).tobytes())
@@ -273,14 +320,13 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE, query_
     common.ship(vectors.sparkSession)
     usable = F.col("v").isNotNull() & F.col("vec_id").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * F.lit(float(scale))) < float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(usable)
-    dim = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 0)
-    blocks = row_blocks(rows, is_query, dim, scale, row_block)
-    queries = query_blocks(blocks, dim, query_block)
-    pairs = bounded_pairs(queries, blocks, dim)
+    blocks = row_blocks(rows, is_query, scale, row_block)
+    queries = query_blocks(blocks, query_block)
+    pairs = bounded_pairs(queries, blocks)
     start = pairs.groupBy("qb").agg(F.max_by("block", F.struct("top", "block")).alias("block"))
-    found = common.materialize(search_pairs(start.withColumn("least", F.lit(None).cast("binary")), queries, blocks, dim, k).join(start, "qb"), "topk-first")
+    found = common.materialize(search_pairs(start.withColumn("least", F.lit(None).cast("binary")), queries, blocks, k).join(start, "qb"), "topk-first")
     more = common.materialize(reaching(pairs, found), "topk-pairs")
-    every = found.select("found").unionAll(search_pairs(more, queries, blocks, dim, k).select("found")).select(F.inline("found"))
+    every = found.select("found").unionAll(search_pairs(more, queries, blocks, k).select("found")).select(F.inline("found"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("key"), "vec_id")
     return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

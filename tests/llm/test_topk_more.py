@@ -52,9 +52,29 @@ def test_bounds_hold_and_blocks_are_left_out(spark):
     x, q = (np.floor(rng.normal(0, 1, (n, 32)) * 1024) for n in (50, 7))
     assert (T.box_bounds(q, T.box_of(x)[None])[:, 0] >= (q @ x.T).max(axis=1)).all()
     df = spark.createDataFrame(rows, "vec_id long, v array<double>")
-    blocks = T.row_blocks(df, F.col("vec_id") % 100 == 0, 32, 1024, 64)
-    queries = T.query_blocks(blocks, 32, 4)
-    pairs = T.bounded_pairs(queries, blocks, 32)
+    blocks = T.row_blocks(df, F.col("vec_id") % 100 == 0, 1024, 64)
+    queries = T.query_blocks(blocks, 4)
+    pairs = T.bounded_pairs(queries, blocks)
     start = pairs.groupBy("qb").agg(F.max_by("block", "top").alias("block"))
-    first = T.search_pairs(start.withColumn("least", F.lit(None).cast("binary")), queries, blocks, 32, 3).join(start, "qb")
+    first = T.search_pairs(start.withColumn("least", F.lit(None).cast("binary")), queries, blocks, 3).join(start, "qb")
     assert 0 < T.reaching(pairs, first).count() < 0.6 * pairs.count()
+
+
+def test_one_very_long_vector_beside_short_ones(spark):
+    """4,000 vectors of 2 components and some of up to 60,000: no block is padded to the longest vector of the table."""
+    rnd = random.Random(6)
+    rows = [(k, [rnd.gauss(0, 1), rnd.gauss(0, 1)]) for k in range(4000)]
+    rows += [(5000 + k, [rnd.gauss(0, 1) for _ in range(n)]) for k, n in enumerate((60_000, 30_000, 700, 65, 64, 3, 1, 0))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    blocks = T.row_blocks(df.select("vec_id", F.col("embedding").alias("v")), F.col("vec_id") % 100 == 0, 1024, 2048)
+    sizes = blocks.select("dim", F.octet_length("data").alias("n"), F.octet_length("ids").alias("ids")).collect()
+    assert max(r["n"] for r in sizes) <= 8 * max(T.CELLS, 60_000) and sum(r["ids"] for r in sizes) == 8 * len(rows)
+    assert sum(r["n"] for r in sizes if r["dim"] <= 2) <= 16 * 4002
+    asked = [r for r in rows if r[0] % 1000 == 0]
+    cut = [(i, [math.floor(c * 1024) for c in v]) for i, v in rows]
+    want = []
+    for q, _ in asked:
+        own = dict(cut)[q]
+        best = sorted((-sum(x * y for x, y in zip(own, w)), j) for j, w in cut if j != q)[:4]
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, T.top_k(df, F.col("vec_id") % 1000 == 0, 4).collect())) == sorted(want)
