@@ -13,13 +13,13 @@ are the repeated strings.
 A suffix is compared by a fingerprint of the bytes that count instead of the bytes
 themselves, so buckets are ranges of fingerprints and not of the alphabet.  Samples have 64
 bits: two that are equal by chance only bring candidates.  The strings behind repeated samples,
-which decide, have 128 bits, so equality (all that dedup needs of the order) has a chance of
-2**-128 a pair to be wrong.  Prefixes would have to travel: there are 0.09 samples a byte
+which decide, have 96 bits, so equality (all that dedup needs of the order) has a chance of
+2**-96 a pair to be wrong.  Prefixes would have to travel: there are 0.09 samples a byte
 of text, so 32 bytes of each are 2.9 times the text, where the fingerprints are 0.7 times.
 
 Texts are laid out once in parts (a table bucketed by part in the warehouse), and later
-passes bring only packed fingerprints to the buckets and bits back, so no text is
-shuffled.  A part sends each fingerprint once, so a passage that a third of all documents
+passes bring only packed fingerprints (ordered ones, by their differences) to the buckets and bits
+back, so no text is shuffled.  A part sends each fingerprint once, so a passage that a third of all documents
 share is as cheap as any other.
 
 Defined results: a null text is an empty one; matches never cross documents; repeated
@@ -153,12 +153,12 @@ class Part:
         return first[keep], length[keep]
 
     def keys(self, positions: np.ndarray, length, wide: bool = False):
-        """The distinct fingerprints in order (``wide``: rows of two of them), which of them each position has, and which occur twice here."""
+        """The distinct fingerprints in order (``wide``: rows of one of 64 and one of 32 bits), which of them each position has, and which occur twice here."""
         h = Fingerprints.of(self.data, positions, length)
         if not wide:
             distinct, which, n = np.unique(h, return_inverse=True, return_counts=True)
             return distinct, which, n > 1
-        h = np.column_stack([h, Fingerprints.of(self.data, positions, length, SECOND)])
+        h = np.column_stack([h, Fingerprints.of(self.data, positions, length, SECOND) >> np.uint64(32)])
         order = np.lexsort((h[:, 1], h[:, 0]))
         h = h[order]
         new = np.ones(len(h), bool)
@@ -187,11 +187,29 @@ def sort_bucket(part_keys: list[np.ndarray]) -> list[np.ndarray]:
     return np.split(twice, np.cumsum([len(k) for k in part_keys])[:-1])
 
 
+def pack_keys(distinct: np.ndarray, base: int) -> bytes:
+    """Ordered fingerprints from ``base`` on: a byte with the width of the differences, these, and 32 bits each of a second column."""
+    first = distinct if distinct.ndim == 1 else distinct[:, 0]
+    step = np.diff(first, prepend=np.uint64(base))
+    width = max(1, (int(step.max(initial=0)).bit_length() + 7) // 8)
+    raw = bytes([width]) + step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return raw if distinct.ndim == 1 else raw + distinct[:, 1].astype("<u4").tobytes()
+
+
+def unpack_keys(raw: bytes, base: int, wide: bool) -> np.ndarray:
+    width = raw[0]
+    n = (len(raw) - 1) // (width + 4 * wide)
+    step = np.zeros((n, 8), np.uint8)
+    step[:, :width] = np.frombuffer(raw, np.uint8, n * width, 1).reshape(n, width)
+    first = np.cumsum(step.view("<u8").ravel(), dtype=np.uint64) + np.uint64(base)
+    return np.column_stack([first, np.frombuffer(raw, "<u4", n, 1 + n * width).astype(np.uint64)]) if wide else first
+
+
 def _emit_keys(part_id, distinct, buckets) -> pa.Table:
     edges = bucket_edges(distinct, buckets)
     some = np.flatnonzero(np.diff(edges))
-    raw, width = distinct.astype("<u8").tobytes(), 8 * (distinct.ndim)
-    return pa.table({"bucket": pa.array(some, pa.int32()), "part": pa.array([part_id] * len(some), pa.int64()), "keys": pa.array([raw[width * edges[b] : width * edges[b + 1]] for b in some.tolist()], pa.binary())})
+    packed = [pack_keys(distinct[edges[b] : edges[b + 1]], (b << 64) // buckets) for b in some.tolist()]
+    return pa.table({"bucket": pa.array(some, pa.int32()), "part": pa.array([part_id] * len(some), pa.int64()), "keys": pa.array(packed, pa.binary())})
 
 
 def _flags_of(flags: pa.Table, which_pass: int, distinct: np.ndarray, buckets: int) -> np.ndarray:
@@ -204,12 +222,12 @@ def _flags_of(flags: pa.Table, which_pass: int, distinct: np.ndarray, buckets: i
     return out
 
 
-def _rank(keys: DataFrame, which_pass: int) -> DataFrame:
+def _rank(keys: DataFrame, which_pass: int, buckets: int) -> DataFrame:
     """Sort each suffix bucket; (part, pass, bucket, flags) of the repeated fingerprints."""
 
     def run(key, rows):
-        keys = [np.frombuffer(k, "<u8") for k in rows["keys"].to_pylist()]
-        found = sort_bucket([k.reshape(-1, 2) for k in keys] if which_pass == 2 else keys)
+        base = (rows["bucket"][0].as_py() << 64) // buckets
+        found = sort_bucket([unpack_keys(k, base, which_pass == 2) for k in rows["keys"].to_pylist()])
         n = len(found)
         return pa.table({"part": rows["part"].cast(pa.int64()), "pass": pa.array([which_pass] * n, pa.int32()), "bucket": rows["bucket"].cast(pa.int32()), "flags": pa.array([np.packbits(f).tobytes() for f in found], pa.binary())})
 
@@ -324,13 +342,13 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, carry: tuple[str, ..
         return pa.table({n: pa.array(cols[n], t) for n, t in zip(names, types)})
 
     sampled = laid.select("part", "sizes", "blob").mapInArrow(sample_keys, "bucket int, part long, keys binary")
-    flags = common.materialize(_rank(sampled, 1), "suffix-samples")
+    flags = common.materialize(_rank(sampled, 1, buckets), "suffix-samples")
     texts = laid.select("part", "sizes", "blob").groupBy("part")
     strings = texts.cogroup(flags.groupBy("part")).applyInArrow(string_keys, "bucket int, part long, keys binary")
-    flags = flags.unionAll(common.materialize(_rank(strings, 2), "suffix-strings"))
+    flags = flags.unionAll(common.materialize(_rank(strings, 2, buckets), "suffix-strings"))
     if words:
         runs = laid.select("part", "sizes", "blob").mapInArrow(window_keys, "bucket int, part long, keys binary")
-        flags = flags.unionAll(common.materialize(_rank(runs, 3), "suffix-windows"))
+        flags = flags.unionAll(common.materialize(_rank(runs, 3, buckets), "suffix-windows"))
     schema = "".join(f"{c} {k.simpleString()}, " for c, k in zip(carried, kinds)) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept " + (with_kept or "binary")
     out = laid.select("part", "sizes", "blob", *carried).groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(cut, schema)
     measures = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_kept else [])]

@@ -33,7 +33,7 @@ def test_structured_strings_stay_apart():
 
 
 def test_different_strings_of_one_hash_stay(monkeypatch):
-    """Two strings whose first 64 bits are forced to be equal are told apart by the other 64."""
+    """Two strings whose first 64 bits are forced to be equal are told apart by the other bits."""
     real = S.Fingerprints.of.__func__
 
     def forced(cls, data, positions, length, seed=0):
@@ -51,3 +51,17 @@ def test_different_strings_of_one_hash_stay(monkeypatch):
     found = S.sort_bucket([keys[0][0], again[0]])
     assert found[1].all() and found[0].sum() == 7
     assert len(S.bucket_edges(keys[0][0], 4)) == 5
+
+
+def test_packed_keys():
+    rng = np.random.default_rng(4)
+    for buckets in (1, 3, 70):
+        h = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+        h = np.sort(np.append(h, h[:50]))
+        for keys in (h, np.column_stack([h, rng.integers(0, 2**32, len(h), dtype=np.uint64)])):
+            edges = S.bucket_edges(keys, buckets)
+            parts = [(b, keys[edges[b] : edges[b + 1]]) for b in range(buckets)]
+            packed = [S.pack_keys(k, (b << 64) // buckets) for b, k in parts if len(k)]
+            back = [S.unpack_keys(r, (b << 64) // buckets, keys.ndim == 2) for (b, k), r in zip([p for p in parts if len(p[1])], packed)]
+            assert (np.concatenate(back) == keys).all()
+    assert S.unpack_keys(S.pack_keys(np.array([0, 2**64 - 1], np.uint64), 0), 0, False).tolist() == [0, 2**64 - 1]
