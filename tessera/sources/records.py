@@ -92,7 +92,7 @@ def decode(df: DataFrame, blob: str, kernel: str, keys: list[str]) -> DataFrame:
             for begin in range(0, batch.num_rows, BLOBS):
                 some = batch.slice(begin, BLOBS)
                 blobs = some.column(len(keys))
-                announced = np.array([int.from_bytes(x[:4], "little") if x is not None else -1 for x in blobs.to_pylist()])
+                announced = np.array([int.from_bytes(x[:4], "little") if x is not None else -1 for x in blobs.to_pylist()]) if many in columnar.COUNTED else np.where(blobs.is_valid().to_numpy(zero_copy_only=False), 1, -1)
                 here = np.flatnonzero((announced >= 0) & (announced <= columnar.MOST_RECORDS))
                 which, ordinal, columns, errors = columnar.decode(many, blobs.take(pa.array(here)), inner)
                 at = pa.array(here[which])

@@ -45,6 +45,24 @@ def snapshot(rnd):
     return u(n, 4) + bytes(4) + out
 
 
+def descriptor(rnd):
+    kind = rnd.choice([0, *KINDS])
+    out = u(rnd.randrange(1 << 16), 2) + u(kind, 2) + bytes([rnd.randrange(2)])
+    if kind:
+        out += value(rnd, kind) + value(rnd, kind)
+    form = rnd.choice([None, 0, 1, 2, 2])
+    if form is None:
+        return out
+    out += bytes([form])
+    one = kind if kind == cursor.STRING else kind & ~cursor.ARRAY
+    if kind and form == cursor.RANGE:
+        out += b"".join(value(rnd, one) for _ in range(3))
+    elif kind and form == cursor.ENUM:
+        m = rnd.randrange(5)
+        out += u(m, 2) + b"".join(value(rnd, one) for _ in range(m))
+    return out
+
+
 def blobs(make, seed, n):
     rnd = random.Random(seed)
     out = []
@@ -70,13 +88,13 @@ def plain(kernel, data):
     return rows
 
 
-@pytest.mark.parametrize("kernel, make", [("prop_list", prop_list), ("snapshot", snapshot)])
+@pytest.mark.parametrize("kernel, make", [("prop_list", prop_list), ("snapshot", snapshot), ("descriptor", descriptor)])
 def test_equal_on_random_and_cut_blobs(spark, kernel, make):
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     data = blobs(make, 11, 3000)
-    data = [b for b in data if int.from_bytes(b[:4], "little") < 10_000 or len(b) < 60]
+    data = [b for b in data if kernel == "descriptor" or int.from_bytes(b[:4], "little") < 10_000 or len(b) < 60]
     fields = to_arrow_schema(StructType.fromDDL(records.KERNELS[kernel][1]))
     which, ordinal, columns, errors = columnar.decode(columnar.KERNELS[kernel], pa.array(data, pa.binary()), fields)
     got = list(zip(which.tolist(), ordinal.tolist(), *(c.to_pylist() for c in columns), errors.to_pylist()))
