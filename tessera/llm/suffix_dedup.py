@@ -79,11 +79,8 @@ class Fingerprints:
         return h ^ (h >> np.uint64(32))
 
     @classmethod
-    def of(cls, data: np.ndarray, positions: np.ndarray, length, seed: int = 0) -> np.ndarray:
-        """``positions`` ascend; slices bound the memory.  ``length`` is one number, or an array with that of each.
-
-        Another ``seed`` gives fingerprints that do not depend on those of the first.
-        """
+    def of(cls, data: np.ndarray, positions: np.ndarray, length) -> np.ndarray:
+        """``positions`` ascend; slices bound the memory.  ``length`` is one number, or an array with that of each."""
         out = np.empty(len(positions), np.uint64)
         length = np.broadcast_to(np.asarray(length, np.int64), positions.shape)
         k = 0
@@ -93,7 +90,7 @@ class Fingerprints:
             n, at = length[k:e], positions[k:e] - first
             part = np.concatenate([data[first : first + int((at + n).max())], np.zeros(8, np.uint8)])
             words = np.ndarray(len(part) - 7, "<u8", part, strides=(1,)).copy()
-            h = n.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) ^ np.uint64(seed)
+            h = n.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
             whole, least = n >> 3, int(n.min()) >> 3
             for j in range(int(whole.max())):
                 w = words[np.minimum(at + 8 * j, len(words) - 1)] if j >= least else words[at + 8 * j]
@@ -107,6 +104,41 @@ class Fingerprints:
         return out
 
 
+    @classmethod
+    def second(cls, data: np.ndarray, positions: np.ndarray, length: int) -> np.ndarray:
+        """32 bits of another kind, for strings of one length: sums of mixed words with powers of a base.
+
+        The word at every position is mixed once, and running sums over positions eight apart
+        give the sum of any string as a difference, whatever its length.
+        """
+        out = np.empty(len(positions), np.uint64)
+        whole, rest, k = length >> 3, np.uint64(8 * (length & 7)), 0
+        while k < len(positions):
+            first = int(positions[k])
+            e = int(np.searchsorted(positions, first + SLICE))
+            at = positions[k:e] - first
+            part = np.concatenate([data[first : first + int(at[-1]) + length], np.zeros(16, np.uint8)])
+            words = np.ndarray(len(part) - 7, "<u8", part, strides=(1,)).copy()
+            g = cls.mix(cls.mix(words, np.uint64(SECOND)), words)
+            rows = -(-len(g) // 8)
+            g = np.append(g, np.zeros(8 * rows - len(g), np.uint64)).reshape(rows, 8)
+            power, back = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(rows - 1, b, np.uint64)])) for b in (SECOND, pow(SECOND, -1, 1 << 64)))
+            sums = np.zeros((rows + 1, 8), np.uint64)
+            np.cumsum(g * power[:, None], axis=0, out=sums[1:])
+            j, r = at >> 3, at & 7
+            h = cls.mix((sums[j + whole, r] - sums[j, r]) * back[j], words[at + 8 * whole] & ((np.uint64(1) << rest) - np.uint64(1)))
+            out[k:e] = (h * np.uint64(BASE)) >> np.uint64(32)
+            k = e
+        return out
+
+
+def together(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """An order by the first and then the second column; the second is sorted only if one of the first has several."""
+    order = np.argsort(first)
+    a, b = first[order], second[order]
+    return np.lexsort((second, first)) if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any() else order
+
+
 class Part:
     """The texts of one part: their bytes, where each begins, and its positions of interest."""
 
@@ -158,8 +190,8 @@ class Part:
         if not wide:
             distinct, which, n = np.unique(h, return_inverse=True, return_counts=True)
             return distinct, which, n > 1
-        h = np.column_stack([h, Fingerprints.of(self.data, positions, length, SECOND) >> np.uint64(32)])
-        order = np.lexsort((h[:, 1], h[:, 0]))
+        h = np.column_stack([h, Fingerprints.second(self.data, positions, length)])
+        order = together(h[:, 0], h[:, 1])
         h = h[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]).any(axis=1)
@@ -178,7 +210,7 @@ def sort_bucket(part_keys: list[np.ndarray]) -> list[np.ndarray]:
     """For the distinct fingerprints of each part: whether another part has them too."""
     every = np.concatenate(part_keys)
     wide = every.ndim == 2
-    order = np.lexsort((every[:, 1], every[:, 0])) if wide else np.argsort(every, kind="stable")
+    order = together(every[:, 0], every[:, 1]) if wide else np.argsort(every, kind="stable")
     same = every[order][1:] == every[order][:-1]
     same = same.all(axis=1) if wide else same
     twice = np.zeros(len(every), bool)

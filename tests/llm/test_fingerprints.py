@@ -34,13 +34,7 @@ def test_structured_strings_stay_apart():
 
 def test_different_strings_of_one_hash_stay(monkeypatch):
     """Two strings whose first 64 bits are forced to be equal are told apart by the other bits."""
-    real = S.Fingerprints.of.__func__
-
-    def forced(cls, data, positions, length, seed=0):
-        h = real(cls, data, positions, length, seed)
-        return h if seed else np.zeros_like(h)
-
-    monkeypatch.setattr(S.Fingerprints, "of", classmethod(forced))
+    monkeypatch.setattr(S.Fingerprints, "of", classmethod(lambda cls, data, positions, length: np.zeros(len(positions), np.uint64)))
     rng = np.random.default_rng(3)
     a, b = (rng.integers(97, 123, 60).astype(np.uint8).tobytes() for _ in range(2))
     one, two = S.Part(a + b, [60, 60], 24), S.Part(b + a[:30], [60, 30], 24)
@@ -65,3 +59,20 @@ def test_packed_keys():
             back = [S.unpack_keys(r, (b << 64) // buckets, keys.ndim == 2) for (b, k), r in zip([p for p in parts if len(p[1])], packed)]
             assert (np.concatenate(back) == keys).all()
     assert S.unpack_keys(S.pack_keys(np.array([0, 2**64 - 1], np.uint64), 0), 0, False).tolist() == [0, 2**64 - 1]
+
+
+def test_second_fingerprints(monkeypatch):
+    rng = np.random.default_rng(5)
+    for step in (1 << 20, 100):
+        monkeypatch.setattr(S, "SLICE", step)
+        for n in (2, 7, 8, 24, 61, 256):
+            text = rng.integers(97, 99, 3000).astype(np.uint8)
+            text[1500:2200] = text[300:1000]
+            text[2300:2900] = np.tile(text[:3], 200)  # periodic
+            at = np.sort(rng.choice(3000 - n, 900, replace=False))
+            h = S.Fingerprints.second(text, at, n)
+            strings = [text[a : a + n].tobytes() for a in at.tolist()]
+            by = {}
+            for s, x in zip(strings, h.tolist()):
+                assert by.setdefault(s, x) == x < 2**32
+            assert len(set(by.values())) == len(by)
