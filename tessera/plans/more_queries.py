@@ -273,14 +273,14 @@ def streamed_presence(spark, sf):
 
 @query("""
 WITH f AS (SELECT user_id, min(event_id) AS start FROM events GROUP BY user_id)
-SELECT CAST(user_id AS VARCHAR) AS stream_id, min(event_id) FILTER (event_type = 'purchase' AND event_id <= start + 400) AS seq,
+SELECT CAST(user_id AS VARCHAR) AS stream_id, coalesce(min(event_id) FILTER (event_type = 'purchase' AND event_id <= start + 400), -1) AS seq,
   count(*) FILTER (event_type = 'purchase' AND event_id <= start + 400) = 0 AS timed_out
 FROM events JOIN f USING (user_id) GROUP BY user_id""")
 def streamed_settled(spark, sf):
     """Events poll their user; a purchase within 400 seconds of the first poll settles it."""
     rows, delay, most = _event_feed(spark, sf, F.col("user_id").cast("string").alias("stream_id"), (F.col("event_type") == "purchase").alias("ready"))
     found = _fed(spark, rows, lambda d: feeds.settled(d, F.col("ready"), 400_000, "ingest_ts", delay), end=_end(most, "end", True))
-    return found.where("stream_id <> 'end'")
+    return found.where("stream_id <> 'end'").select("stream_id", F.coalesce("seq", F.lit(-1)).alias("seq"), "timed_out")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS stream_id, max(event_id) AS seq, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
@@ -306,7 +306,7 @@ def streamed_framing(spark, sf):
 
 @query("""
 SELECT CAST(o_custkey % 50 AS VARCHAR) AS stream_id, o_orderkey AS tx_id, CAST(4096 + o_custkey % 7 AS INTEGER) AS op, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS data,
-  CASE WHEN o_orderkey % 9 <> 0 THEN 8193 END AS response, CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 9 ELSE 0 END AS stale,
+  CASE WHEN o_orderkey % 9 <> 0 THEN 8193 ELSE -1 END AS response, CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 9 ELSE 0 END AS stale,
   CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS future,
   CASE WHEN o_orderkey % 11 = 0 THEN 'a container of a later transaction' WHEN o_orderkey % 4 = 1 THEN 'too many late replies' WHEN o_orderkey % 9 = 0 THEN 'no response' END AS error
 FROM orders""")
@@ -327,7 +327,7 @@ def streamed_transactions(spark, sf):
     columns = ["seq", "stream_id", "typ", "code", "tx_id", "body", "error", "arrival", "ingest_ts"]
     found = _fed(spark, rows.select(*columns), lambda d: feeds.transactions(d, "ingest_ts", delay, linger_ms=20_000), end=_end(most, "end", 1, 1, 1, None, None))
     text = F.decode(F.col("data"), "UTF-8")
-    return found.where("stream_id <> 'end'").select("stream_id", "tx_id", "op", text.alias("data"), "response", F.col("stale").cast("int").alias("stale"), F.col("future").cast("int").alias("future"), "error")
+    return found.where("stream_id <> 'end'").select("stream_id", "tx_id", "op", text.alias("data"), F.coalesce("response", F.lit(-1)).alias("response"), F.col("stale").cast("int").alias("stale"), F.col("future").cast("int").alias("future"), "error")
 
 
 @query("""

@@ -29,13 +29,13 @@ def _cat(*parts):
 @query("""
 SELECT user_id, arg_min(event_id % 2000 + 100, event_id) FILTER (event_type = 'click') / 1000000 AS seconds, arg_min(event_id % 2 = 1 AND event_id % 3 > 0, event_id) FILTER (event_type = 'click') AS seconds_settable,
   arg_min(event_id % 2000 + 100, event_id) FILTER (event_type = 'view') / 100 AS f_number, arg_min(event_id % 2 = 1 AND event_id % 3 > 0, event_id) FILTER (event_type = 'view') AS f_number_settable,
-  arg_min(event_id % 2000 + 100, event_id) FILTER (event_type = 'purchase') AS iso, arg_min(event_id % 2 = 1 AND event_id % 3 > 0, event_id) FILTER (event_type = 'purchase') AS iso_settable
+  coalesce(arg_min(event_id % 2000 + 100, event_id) FILTER (event_type = 'purchase'), -1) AS iso, arg_min(event_id % 2 = 1 AND event_id % 3 > 0, event_id) FILTER (event_type = 'purchase') AS iso_settable
 FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY user_id""")
 def settable_exposure_view(spark, sf):
     id_, kind = F.col("event_id"), F.col("event_type")
     code = F.when(kind == "click", 0x500D).when(kind == "view", 0x5007).when(kind == "purchase", 0x500F).otherwise(0)
     rows = t(spark, sf, "events").select("user_id", code.alias("code"), id_.alias("ordinal"), (id_ % 2).alias("getset"), F.struct((id_ % 2000 + 100).alias("num")).alias("current"), F.sequence(F.lit(0), id_ % 3).alias("choices"))
-    return P.settable_exposure(rows, ["user_id"], 0x500D, 0x5007, 0x500F)
+    return P.settable_exposure(rows, ["user_id"], 0x500D, 0x5007, 0x500F).withColumn("iso", F.coalesce("iso", F.lit(-1)))
 
 
 @query("""
@@ -141,12 +141,12 @@ def object_infos(spark, sf):
     return found.select("p_partkey", "file_name", "width", "size", F.col("format").cast("int").alias("format"))
 
 
-@query("SELECT s_suppkey, CAST(s_suppkey % 5 AS INTEGER) AS storage_type, CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey * 1000000007 END AS capacity, s_suppkey * 5000011 AS free_bytes, s_name AS label FROM supplier")
+@query("SELECT s_suppkey, CAST(s_suppkey % 5 AS INTEGER) AS storage_type, CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey * 1000000007 ELSE -1 END AS capacity, s_suppkey * 5000011 AS free_bytes, s_name AS label FROM supplier")
 def storage_infos(spark, sf):
     key = F.col("s_suppkey")
     raw = _cat(_u(key % 5, 2), _u(2, 2), _u(0, 2), _u(F.when(key % 7 > 0, key * 1000000007).otherwise(-1), 8), _u(key * 5000011, 8), _u(9, 4), W.put_string(F.lit("card")), W.put_string(F.col("s_name")))
     found = records.decode(t(spark, sf, "supplier").select("s_suppkey", raw.alias("raw")), "raw", "storage_info", ["s_suppkey"])
-    return found.select("s_suppkey", "storage_type", "capacity", "free_bytes", "label")
+    return found.select("s_suppkey", "storage_type", F.coalesce("capacity", F.lit(-1)).alias("capacity"), "free_bytes", "label")
 
 
 @query("SELECT c_custkey, c_name AS model, CAST(2 + c_custkey % 3 AS INTEGER) AS n_operations, CAST(c_custkey % 65536 AS BIGINT) AS last_operation, CAST(c_nationkey AS VARCHAR) AS serial FROM customer")
@@ -167,18 +167,18 @@ def extension_infos(spark, sf):
     return found.select("p_partkey", "protocol_mode", F.get("properties", F.lit(0)).alias("first_property"), F.size("controls").alias("n_controls"))
 
 
-@query("SELECT p_partkey, CAST(CASE WHEN p_size % 5 > 0 THEN p_size * 24 END AS BIGINT) AS hours, p_type AS license FROM part")
+@query("SELECT p_partkey, CAST(CASE WHEN p_size % 5 > 0 THEN p_size * 24 ELSE -1 END AS BIGINT) AS hours, p_type AS license FROM part")
 def license_lists(spark, sf):
     name = F.encode("p_type", "UTF-8")
     raw = _cat(_u(1, 1), _u(F.when(F.col("p_size") % 5 > 0, F.col("p_size") * 24).otherwise(0xFFFFFFFF), 4), _u(F.octet_length(name), 1), name)
     found = records.decode(t(spark, sf, "part").select("p_partkey", raw.alias("raw")), "raw", "licenses", ["p_partkey"])
-    return found.select("p_partkey", "hours", "license")
+    return found.select("p_partkey", F.coalesce("hours", F.lit(-1)).alias("hours"), "license")
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, 20487 AS code, CAST(l_quantity AS BIGINT) AS current, CAST(CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber - 4 END AS BIGINT) AS low, CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 2 END AS form,
-  CASE WHEN l_linenumber % 2 = 1 THEN 2 END AS n_choices, NULL AS text FROM lineitem
-UNION ALL SELECT l_orderkey, l_linenumber, 20510, NULL, NULL, 0, NULL, l_returnflag FROM lineitem""")
+SELECT l_orderkey, l_linenumber, 20487 AS code, CAST(l_quantity AS BIGINT) AS current, CAST(CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber - 4 ELSE -99 END AS BIGINT) AS low, CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 2 END AS form,
+  CASE WHEN l_linenumber % 2 = 1 THEN 2 ELSE -1 END AS n_choices, NULL AS text FROM lineitem
+UNION ALL SELECT l_orderkey, l_linenumber, 20510, -1, -99, 0, -1, l_returnflag FROM lineitem""")
 def self_describing_snapshots(spark, sf):
     """A snapshot of two properties a line: a signed number with a range or two lists of choices, and a string."""
     q, line = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
@@ -188,10 +188,10 @@ def self_describing_snapshots(spark, sf):
     raw = _cat(_u(2, 4), _u(0, 4), number, text)
     rows = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"))
     found = records.decode(rows, "raw", "snapshot", ["l_orderkey", "l_linenumber"])
-    return found.select("l_orderkey", "l_linenumber", "code", F.col("current.num").alias("current"), "low", "form", F.nullif(F.size("choices"), F.lit(-1)).alias("n_choices"), F.col("current.str").alias("text"))
+    return found.select("l_orderkey", "l_linenumber", "code", F.coalesce("current.num", F.lit(-1)).alias("current"), F.coalesce("low", F.lit(-99)).alias("low"), "form", F.coalesce(F.size("choices"), F.lit(-1)).alias("n_choices"), F.col("current.str").alias("text"))
 
 
-@query("SELECT o_orderkey, CAST(o_custkey % 65536 AS INTEGER) AS code, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS text, CAST(CASE WHEN o_orderstatus <> 'O' THEN o_orderkey END AS BIGINT) AS current, CAST(CASE WHEN o_orderstatus = 'O' THEN 2 END AS INTEGER) AS n_texts FROM orders")
+@query("SELECT o_orderkey, CAST(o_custkey % 65536 AS INTEGER) AS code, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS text, CAST(CASE WHEN o_orderstatus <> 'O' THEN o_orderkey ELSE -1 END AS BIGINT) AS current, CAST(CASE WHEN o_orderstatus = 'O' THEN 2 ELSE -1 END AS INTEGER) AS n_texts FROM orders")
 def descriptors(spark, sf):
     """Standard property descriptors, of strings with a list of strings, or of 32-bit numbers without a form."""
     key, text = F.col("o_orderkey"), W.put_string(F.col("o_orderpriority"))
@@ -200,7 +200,7 @@ def descriptors(spark, sf):
     numbers = _cat(head, _u(6, 2), _u(0, 1), _u(0, 4), _u(key, 4), _u(0, 1))
     raw = F.when(F.col("o_orderstatus") == "O", words).otherwise(numbers)
     found = records.decode(t(spark, sf, "orders").select("o_orderkey", raw.alias("raw")), "raw", "descriptor", ["o_orderkey"])
-    return found.select("o_orderkey", "code", F.col("current.str").alias("text"), F.col("current.num").alias("current"), F.nullif(F.size("choices_str"), F.lit(-1)).alias("n_texts"))
+    return found.select("o_orderkey", "code", F.col("current.str").alias("text"), F.coalesce("current.num", F.lit(-1)).alias("current"), F.coalesce(F.size("choices_str"), F.lit(-1)).alias("n_texts"))
 
 
 @query("SELECT p_partkey, CAST(256 + k AS INTEGER) AS tag, CAST(CASE k WHEN 0 THEN p_size ELSE p_partkey END AS BIGINT) AS value FROM part, (SELECT unnest([0, 1]) AS k)")
