@@ -91,7 +91,7 @@ def test_piece_codec_any_text(text):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = registry.queries()[name](spark, SF)
     want = con.sql(registry.oracle_sql()[name])
