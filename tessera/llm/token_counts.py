@@ -13,7 +13,7 @@ One narrow pass: an Arrow function reads texts as UTF-8 bytes and hands nothing
 * A vocabulary for which no boundary is known to be safe has its texts encoded whole, in
   batches balanced by bytes.
 
-Memory: one group of words, the remembered lengths (at most ``MEMO_BYTES`` of words) and one
+Memory: one group of words, the remembered lengths (about ``MEMO_BYTES``) and one
 Arrow batch, whose bytes Spark bounds; none grows with the table.  No shuffle, no state on
 disk: a lost executor costs its unfinished tasks.
 
@@ -41,8 +41,9 @@ from . import common, tokens
 LIMIT = 512
 #: Bytes of text whose words are looked at together, and of one call of the library.
 GROUP_BYTES, BATCH_BYTES = 1 << 20, 1 << 18
-#: Bytes of remembered words in a worker; beyond, they are forgotten all at once.
-MEMO_BYTES = 64 << 20
+#: Bytes that the remembered words of a worker take, and of these what Python needs for each beside
+#: the word itself; beyond, all are forgotten at once, and frequent ones are soon back.
+MEMO_BYTES, WORD_BYTES = 96 << 20, 150
 
 #: Pairs of spaces and line feeds, and further white space in UTF-8: texts with any of these are cut with more care.
 _PAIRS = (b"  ", b" \n", b"\n ", b"\n\n")
@@ -90,7 +91,7 @@ class Lengths:
 
     def learn(self, memo: dict, words: set[bytes], before: str) -> None:
         new = [w for w in words if w not in memo]
-        self.held += sum(map(len, new))
+        self.held += sum(map(len, new)) + WORD_BYTES * len(new)
         for part in balanced(list(map(len, new)), BATCH_BYTES):
             some = new[part]
             memo.update(zip(some, self.batch([before + w.decode() for w in some])))
