@@ -5,15 +5,19 @@ Two kinds of order:
 * With ``ts`` (a timestamp column that does not fall while ``seq`` rises), a list state per key is
   a reorder buffer: rows wait until the watermark (``delay`` behind the greatest timestamp) has
   passed them and are then taken in the order of (timestamp, seq).  Arrival may be shuffled by up
-  to ``delay``; what comes later still is dropped by Spark, as with any watermark.  Results do
+  to ``delay``; what comes later still may be dropped, as with any watermark.  Results do
   not depend on how rows are cut into batches.
 * Without ``ts``, rows are ordered by ``seq`` inside a batch and a later batch counts as later.
 
+Streams are dealt by a hash of their keys to ``BUCKETS`` buckets, and a bucket is what Spark
+groups by: its rows travel and wait as Arrow record batches, its small values are one table, so a
+micro-batch costs a few calls of the state store for a bucket, not several for a row.
 State lives in RocksDB (these functions set the provider of the session) and moves with the
 task when an executor is lost.  A key keeps its unreleased rows and one small value; a
 ``forget_ms`` ends that value so long after the key's last row, in event time.  What a task
-holds in memory are the rows of one key that are released together: those of one batch,
-or those that the watermark passes at once; the source's rate limit bounds both.
+holds in memory are the rows of one bucket that are released together, as Arrow columns: those of one
+batch, or those that the watermark passes at once; the source's rate limit bounds both.  ``SLICE`` of
+them at a time are Python rows.  A row that comes when its bucket has released later ones is dropped.
 
 Rows without a ``seq`` (or without ``ts``, where that orders) take no part.
 """
@@ -21,12 +25,15 @@ Rows without a ``seq`` (or without ``ts``, where that orders) take no part.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import groupby
 from typing import Any
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
@@ -35,8 +42,16 @@ from ..sources.framing import COMMAND, CONTAINER, DATA, EVENT, HELD, RESPONSE, F
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Chunks of a stream that may wait for a missing one.
 MOST_HELD = 1024
-#: Rows that go to the reorder buffer at once.
-APPENDED = 4096
+#: Groups of streams; a state that was begun with another number is not read by this one.
+BUCKETS = 256
+#: Rows and bytes that are dealt to buckets at once, and bytes of one packed batch.
+DEALT, DEALT_BYTES, PACKED_BYTES = 1 << 18, 32 << 20, 2 << 20
+#: Rows of one bucket that are Python objects at once.
+SLICE = 1 << 15
+#: Bytes of early chunks of one bucket in memory; more wait in the state store one by one.
+EARLY_BYTES = 16 << 20
+#: Behind all times.
+NEVER = (1 << 63) - 1
 
 State = tuple | None
 #: (key, rows in order, state) to the new state and output rows; rows begin with (microseconds, seq).
@@ -49,90 +64,196 @@ def use_rocksdb(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+
+def _packs(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """A record batch without its schema, cut into pieces of about ``PACKED_BYTES``."""
+    step = max(1, PACKED_BYTES * batch.num_rows // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step).serialize().to_pybytes()
+
+
+def _unpack(data: bytes, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.ipc.read_record_batch(pa.py_buffer(data), schema)
+
+
+def _dealt(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, pa.Schema]:
+    """(bucket, least, most, rows): packed rows with the bounds of their column ``at``; and the schema of what is packed."""
+    schema = to_arrow_schema(rows.schema)
+    place = rows.columns.index("at") + 1 if "at" in rows.columns else None
+
+    def packed(some):
+        table = pa.Table.from_batches(some).combine_chunks()
+        table = table.take(pc.sort_indices(table.column(0))).combine_chunks()
+        bucket = table.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        times = table.column(place).to_numpy() if place is not None else np.zeros(len(bucket), np.int64)
+        whole = table.drop_columns([table.column_names[0]]).cast(schema).to_batches()[0]
+        out = []
+        for a, b in zip(cuts, cuts[1:]):
+            least, most = int(times[a:b].min()), int(times[a:b].max())
+            out += ((int(bucket[a]), least, most, data) for data in _packs(whole.slice(a, b - a)))
+        step = max(1, len(out) * DEALT_BYTES // max(1, whole.nbytes) // 4)
+        for k in range(0, len(out), step):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + step]), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "least", "most", "rows"])
+
+    def run(batches):
+        some, n, size = [], 0, 0
+        for batch in batches:
+            if batch.num_rows:
+                some.append(batch)
+                n, size = n + batch.num_rows, size + batch.nbytes
+            if n >= DEALT or size >= DEALT_BYTES:
+                yield from packed(some)
+                some, n, size = [], 0, 0
+        if some:
+            yield from packed(some)
+
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("__bucket")
+    return rows.select(bucket, *rows.columns).mapInArrow(run, "bucket int, least long, most long, rows binary"), schema
+
+
+def _opened(packed: DataFrame, schema: StructType) -> DataFrame:
+    """The rows of packed batches."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                yield _unpack(data, arrow)
+
+    return packed.select("rows").mapInArrow(run, schema)
+
+
 class Ordered(StatefulProcessor):
-    """Runs a step over the rows of a key in order; see the module text.
+    """Runs a step over the rows of each key of a bucket in order; see the module text.
 
     ``due(state)`` is when a state needs attention by itself (microseconds, or None) and
     ``expire(key, state)`` what happens then; both in event time only.
     """
 
-    def __init__(self, rows: str, state: str, out: list[str], step: Step, timed: bool, due: Callable[[tuple], int | None], expire: Callable[[tuple, tuple], tuple[State, list[tuple]]]):
-        self.rows, self.state, self.out = rows, state, out
+    def __init__(self, width: int, rows: pa.Schema, state: pa.Schema, out: pa.Schema, step: Step, timed: bool, due: Callable[[tuple], int | None], expire: Callable[[tuple, tuple], tuple[State, list[tuple]]]):
+        self.width, self.rows, self.state, self.out = width, rows, state, out
         self.step, self.timed, self.due, self.expire = step, timed, due, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", self.state)
+        self.now = handle.getListState("now", "rows binary")
         if self.timed:
-            self.held = handle.getListState("held", self.rows)
-
-    def _kept(self) -> State:
-        return tuple(self.now.get()) if self.now.exists() else None
-
-    def _keep(self, before: State, after: State) -> None:
-        if after is None:
-            if before is not None:
-                self.now.clear()
-        elif after != before:
-            self.now.update(after)
-
-    def _timer(self, at: int) -> None:
-        self.handle.registerTimer(-(-at // 1000))
+            self.held = handle.getListState("held", "rows binary")
+            self.times = handle.getValueState("times", "passed long, due long")
+
+    def _kept(self) -> dict[tuple, tuple]:
+        kept = {}
+        for (data,) in self.now.get():
+            for row in zip(*(c.to_pylist() for c in _unpack(bytes(data), self.state).columns)):
+                kept[row[: self.width]] = row[self.width :]
+        return kept
+
+    def _keep(self, kept: dict[tuple, tuple]) -> None:
+        if kept:
+            self.now.put([(data,) for data in _packs(_batch([(*key, *value) for key, value in kept.items()], self.state))])
+        else:
+            self.now.clear()
+
+    def _packed(self, found: list[tuple]) -> Iterator[Row]:
+        yield from (Row(rows=data) for data in _packs(_batch(found, self.out)))
+
+    def _steps(self, table: pa.Table, kept: dict[tuple, tuple]) -> Iterator[Row]:
+        """Take the rows of a bucket, by key and in order; ``kept`` is brought up to date."""
+        width, found = self.width, []
+        names = [*range(width), table.column_names.index("at"), table.column_names.index("seq")]
+        table = table.take(pc.sort_indices(table, [(table.column_names[k], "ascending") for k in names]))
+        for at in range(0, table.num_rows, SLICE):
+            rows = zip(*(c.to_pylist() for c in table.slice(at, SLICE).columns))
+            for key, mine in groupby(rows, key=lambda r: r[:width]):
+                after, new = self.step(key, [r[width:] for r in mine], kept.get(key))
+                if after is None:
+                    kept.pop(key, None)
+                else:
+                    kept[key] = after
+                found += new
+            if len(found) >= SLICE:
+                yield from self._packed(found)
+                found = []
+        if found:
+            yield from self._packed(found)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        width, least = len(key), None
-        new = (tuple(r)[width:] for r in rows)
         if self.timed:
-            while some := list(islice(new, APPENDED)):
-                self.held.appendList(some)
-                least = min(r[0] for r in some) if least is None else min(least, *(r[0] for r in some))
-            self._timer(least)
+            passed, due = self.times.get() if self.times.exists() else (-NEVER, NEVER)
+            least = due
+            for r in rows:
+                self.held.appendList([(bytes(r["rows"]),)])
+                least = min(least, r["least"])
+            if least < due:
+                self.times.update((passed, least))
+                self.handle.registerTimer(-(-least // 1000))
             return
-        before = self._kept()
-        after, found = self.step(key, sorted(new, key=lambda r: r[:2]), before)
-        self._keep(before, after)
-        yield from (Row(*self.out)(*f) for f in found)
+        kept = self._kept()
+        yield from self._steps(pa.Table.from_batches([_unpack(bytes(r["rows"]), self.rows) for r in rows]), kept)
+        self._keep(kept)
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = [tuple(r) for r in self.held.get()]
-        ready, wait = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
-        before = state = self._kept()
-        found: list[tuple] = []
-        if ready:
-            if wait:
-                self.held.put(wait)
-            else:
-                self.held.clear()
-            state, found = self.step(key, sorted(ready, key=lambda r: r[:2]), state)
-        if state is not None and (at := self.due(state)) is not None and at <= passed:
-            state, more = self.expire(key, state)
-            found += more
-        self._keep(before, state)
-        if wait and ready:
-            self._timer(min(r[0] for r in wait))
-        if state is not None and (at := self.due(state)) is not None:
-            self._timer(at)
-        yield from (Row(*self.out)(*f) for f in found)
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        passed, due = self.times.get()
+        if due > now:  # an earlier timer has done it
+            return
+        table = pa.Table.from_batches([_unpack(bytes(data), self.rows) for (data,) in self.held.get()], self.rows)
+        times = table.column("at")
+        wait = table.filter(pc.greater(times, now)).combine_chunks()
+        ready = table.filter(pc.and_(pc.less_equal(times, now), pc.greater(times, passed)))
+        del table, times
+        kept = self._kept()
+        yield from self._steps(ready, kept)
+        del ready
+        found, next_due = [], NEVER
+        for k, state in list(kept.items()):
+            if (at := self.due(state)) is not None and at <= now:
+                state, more = self.expire(k, state)
+                found += more
+                if state is None:
+                    del kept[k]
+                    continue
+                kept[k] = state
+                at = self.due(state)
+            next_due = min(next_due, NEVER if at is None else max(at, now + 1))
+        if found:
+            yield from self._packed(found)
+        self._keep(kept)
+        if wait.num_rows:
+            self.held.put([(data,) for data in _packs(wait.to_batches()[0])])
+            next_due = min(next_due, pc.min(wait.column("at")).as_py())
+        else:
+            self.held.clear()
+        self.times.update((now, next_due))
+        if next_due < NEVER:
+            self.handle.registerTimer(-(-next_due // 1000))
 
     def close(self) -> None:
         pass
 
 
 def ordered(df: DataFrame, keys: list[str], values: list[Column], out: str, state: str, step: Step, ts: str | None, delay: str, due=None, expire=None) -> DataFrame:
-    """``keys`` + columns of ``out`` from a step over the rows ``(microseconds, seq, *values)`` of each key."""
+    """``keys`` + columns of ``out`` from a step over the rows ``(microseconds, seq, *values)`` of each key.
+
+    A step may get the rows of a key in several pieces, in order.
+    """
     use_rocksdb(df.sparkSession)
     at = F.unix_micros(F.col(ts).cast("timestamp")) if ts else F.lit(0).cast("long")
-    if ts:
-        df = df.withWatermark(ts, delay)
     named = [v.alias(f"v{k}") for k, v in enumerate(values)]
-    # the time column itself goes along, so that Spark can drop what comes behind the watermark
-    rows = df.select(*keys, at.alias("at"), F.col("seq").cast("long").alias("seq"), *named, *([F.col(ts).alias("event_time")] if ts else []))
-    rows = rows.where("at IS NOT NULL AND seq IS NOT NULL")
-    schema = StructType([*(rows.schema[k] for k in keys), *StructType.fromDDL(out).fields])
-    held = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in keys)
-    processor = Ordered(held, state, schema.names, step, ts is not None, due or (lambda state: None), expire or (lambda key, state: (None, [])))
-    return rows.groupBy(*keys).transformWithState(processor, schema, "append", "EventTime" if ts else "None")
+    rows = df.select(*keys, at.alias("at"), F.col("seq").cast("long").alias("seq"), *named).where("at IS NOT NULL AND seq IS NOT NULL")
+    head = [rows.schema[k] for k in keys]
+    schema = StructType([*head, *StructType.fromDDL(out).fields])
+    packed, inner = _dealt(rows, keys)
+    if ts:  # the greatest time of a packed batch moves the watermark as its rows would
+        packed = packed.withColumn("event_time", F.timestamp_micros("most")).withWatermark("event_time", delay)
+    kept = to_arrow_schema(StructType([*head, *StructType.fromDDL(state).fields]))
+    processor = Ordered(len(keys), inner, kept, to_arrow_schema(schema), step, ts is not None, due or (lambda state: None), expire or (lambda key, state: (None, [])))
+    found = packed.groupBy("bucket").transformWithState(processor, StructType.fromDDL("rows binary"), "append", "EventTime" if ts else "None")
+    return _opened(found, schema)
 
 
 def _forgotten(ts: str | None, forget_ms: int | None):
@@ -309,76 +430,132 @@ def transactions(found: DataFrame, ts: str, delay: str = "10 minutes", linger_ms
 
 
 class Framing(StatefulProcessor):
-    """Containers out of numbered chunks; a chunk that comes early waits in a map state, on disk."""
+    """Containers out of numbered chunks of a bucket's streams; a chunk that comes early waits."""
 
-    def __init__(self, first: int, most_held: int, patience_ms: int | None, out: list[str]):
-        self.first, self.most_held, self.patience_ms, self.out = first, most_held, patience_ms, out
+    def __init__(self, first: int, most_held: int, patience_ms: int | None, chunks: pa.Schema, out: pa.Schema):
+        self.first, self.most_held, self.patience_ms, self.chunks, self.out = first, most_held, patience_ms, chunks, out
+        stream = chunks.field(0)
+        self.kept = pa.schema([stream, ("expected", pa.int64()), ("residue", pa.binary()), ("seq", pa.int64()), ("since", pa.int64())])
+        self.early = pa.schema([stream, ("seq", pa.int64()), ("data", pa.binary()), ("number", pa.int64())])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "expected long, residue binary, seq long, held long")
-        self.early = handle.getMapState("early", "seq long", "data binary")
+        self.kept_state = handle.getListState("kept", "rows binary")
+        self.early_state = handle.getListState("early", "rows binary")
+        self.stored = handle.getMapState("stored", "number long", "data binary")
+
+    @staticmethod
+    def _read(state, schema: pa.Schema) -> Iterator[tuple]:
+        for (data,) in state.get():
+            yield from zip(*(c.to_pylist() for c in _unpack(bytes(data), schema).columns))
+
+    @staticmethod
+    def _write(state, rows: list[tuple], schema: pa.Schema) -> None:
+        if rows:
+            state.put([(data,) for data in _packs(_batch(rows, schema))])
+        else:
+            state.clear()
+
+    def _load(self) -> None:
         self.made, self.made_bytes = [], 0
-
-    def _load(self) -> tuple[int, Framer, int]:
-        expected, residue, seq, held = self.now.get() if self.now.exists() else (self.first, b"", 0, 0)
-        return expected, Framer(bytes(residue), seq), held
-
-    def _save(self, expected: int, framer: Framer, held: int) -> None:
-        self.now.update((expected, bytes(framer.residue), framer.seq, held))
-        if held and self.patience_ms is not None:
-            self.handle.registerTimer(self.waited + self.patience_ms)
-
-    def _rows(self, key: tuple, found: list[dict], all_of_it: bool = False) -> Iterator[pd.DataFrame]:
+        # of each stream: the next chunk, what is left over, the next container, since when chunks wait
+        self.streams = {key: [expected, residue, seq, since] for key, expected, residue, seq, since in self._read(self.kept_state, self.kept)}
+        self.waiting: dict[Any, dict[int, tuple]] = {}
+        self.waiting_bytes, self.number = 0, 0
+        for key, seq, data, number in self._read(self.early_state, self.early):
+            self.waiting.setdefault(key, {})[seq] = (data, number)
+            self.waiting_bytes += len(data or b"")
+            self.number = max(self.number, 0 if number is None else number + 1)
+
+    def _save(self) -> None:
+        self._write(self.early_state, [(key, seq, *chunk) for key, mine in self.waiting.items() for seq, chunk in mine.items()], self.early)
+        waits = []
+        for key, s in self.streams.items():
+            s[3] = (self.now if s[3] is None else s[3]) if self.waiting.get(key) else None
+            waits += [] if s[3] is None else [s[3]]
+        self._write(self.kept_state, [(key, *s) for key, s in self.streams.items()], self.kept)
+        if waits and self.patience_ms is not None:
+            self.handle.registerTimer(max(self.now + 1, min(waits) + self.patience_ms))
+
+    def _wait(self, key: Any, seq: int, data: bytes) -> None:
+        mine = self.waiting.setdefault(key, {})
+        if seq in mine:
+            self._taken(key, seq)
+        if self.waiting_bytes + len(data) <= EARLY_BYTES:
+            mine[seq] = (data, None)
+            self.waiting_bytes += len(data)
+        else:
+            self.stored.updateValue((self.number,), (data,))
+            mine[seq] = (None, self.number)
+            self.number += 1
+
+    def _taken(self, key: Any, seq: int) -> bytes:
+        data, number = self.waiting[key].pop(seq)
+        if number is None:
+            self.waiting_bytes -= len(data)
+            return data
+        data = bytes(self.stored.getValue((number,))[0])
+        self.stored.removeKey((number,))
+        return data
+
+    def _rows(self, key: Any, found: list[dict], all_of_it: bool = False) -> Iterator[Row]:
         """Gathers containers and hands them on when they are ``HELD`` bytes."""
-        self.made += ((*key, *(r[c] for c in self.out[len(key) :])) for r in found)
-        self.made_bytes += sum(64 + len(r["body"] or b"") for r in found)
+        for r in found:
+            self.made.append((key, r["seq"], r["length"], r["typ"], r["code"], r["tx_id"], r["body"], r["error"]))
+            self.made_bytes += 64 + len(r["body"] or b"")
         if self.made and (all_of_it or self.made_bytes > HELD):
-            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(self.out, zip(*self.made))})
+            yield from (Row(rows=data) for data in _packs(_batch(self.made, self.out)))
             self.made, self.made_bytes = [], 0
 
-    def _drain(self, key: tuple, expected: int, framer: Framer, held: int, skip: bool) -> Iterator[pd.DataFrame]:
+    def _drain(self, key: Any, skip: bool) -> Iterator[Row]:
         """Take early chunks whose turn has come; with ``skip`` the missing ones are given up and reported."""
-        if skip and held:
-            least = min(k[0] for k in self.early.keys())
+        state, mine = self.streams[key], self.waiting.get(key, {})
+        framer = Framer(state[1], state[2])
+        if skip and mine:
+            least = min(mine)
             framer.residue.clear()
-            yield from self._rows(key, [framer._row(None, None, None, None, None, f"chunks {expected} to {least - 1} are missing")])
-            expected = least
-        while held and self.early.containsKey((expected,)):
-            data = self.early.getValue((expected,))[0]
-            self.early.removeKey((expected,))
-            yield from self._rows(key, framer.feed(bytes(data or b"")))
-            expected, held = expected + 1, held - 1
-        self.left = expected, held
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        self.waited = timerValues.getCurrentProcessingTimeInMs()
-        expected, framer, held = self._load()
-        for some in rows:  # one Arrow batch in memory at a time
-            for seq, data in zip(some["seq"].tolist(), some["data"]):
-                if seq == expected:
-                    yield from self._rows(key, framer.feed(bytes(data or b"")))
-                    expected += 1
-                    if held:
-                        yield from self._drain(key, expected, framer, held, False)
-                        expected, held = self.left
-                elif seq > expected:  # a chunk below was taken before: it is a repeat
-                    held += not self.early.containsKey((seq,))
-                    self.early.updateValue((seq,), (data,))
-        while held > self.most_held:
-            yield from self._drain(key, expected, framer, held, True)
-            expected, held = self.left
-        yield from self._rows(key, [], True)
-        self._save(expected, framer, held)
-
-    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.waited = timerValues.getCurrentProcessingTimeInMs()
-        expected, framer, held = self._load()
-        if held:
-            yield from self._drain(key, expected, framer, held, True)
-            expected, held = self.left
-            yield from self._rows(key, [], True)
-            self._save(expected, framer, held)
+            yield from self._rows(key, [framer._row(None, None, None, None, None, f"chunks {state[0]} to {least - 1} are missing")])
+            state[0], state[3] = least, None
+        while state[0] in mine:
+            yield from self._rows(key, framer.feed(self._taken(key, state[0])))
+            state[0] += 1
+        state[1], state[2] = bytes(framer.residue), framer.seq
+        if not mine:
+            self.waiting.pop(key, None)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        self.now = timerValues.getCurrentProcessingTimeInMs()
+        self._load()
+        for r in rows:  # one packed batch in memory at a time
+            for stream, seq, data in zip(*(c.to_pylist() for c in _unpack(bytes(r["rows"]), self.chunks).columns)):
+                state = self.streams.get(stream)
+                if state is None:
+                    state = self.streams[stream] = [self.first, b"", 0, None]
+                if seq == state[0]:
+                    framer = Framer(state[1], state[2])
+                    found = framer.feed(data or b"")
+                    state[:3] = seq + 1, bytes(framer.residue), framer.seq
+                    if found:
+                        yield from self._rows(stream, found)
+                    if stream in self.waiting:
+                        yield from self._drain(stream, False)
+                elif seq > state[0]:  # a chunk below was taken before: it is a repeat
+                    self._wait(stream, seq, data or b"")
+        for stream in list(self.waiting):
+            while len(self.waiting.get(stream, ())) > self.most_held:
+                yield from self._drain(stream, True)
+        yield from self._rows(None, [], True)
+        self._save()
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.now = timerValues.getCurrentProcessingTimeInMs()
+        self._load()
+        for stream in list(self.waiting):
+            since = self.streams[stream][3]
+            if since is not None and since + self.patience_ms <= self.now:
+                yield from self._drain(stream, True)
+        yield from self._rows(None, [], True)
+        self._save()
 
     def close(self) -> None:
         pass
@@ -387,14 +564,17 @@ class Framing(StatefulProcessor):
 def frame_stream(chunks: DataFrame, first: int = 0, most_held: int = MOST_HELD, patience_ms: int | None = None) -> DataFrame:
     """Containers out of live byte streams, whose chunks are numbered without gaps from ``first``.
 
-    State: the bytes that are left over, the running numbers, and early chunks in a map that
-    stays on disk.  A task holds one Arrow batch of chunks (lower
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` for large chunks) and ``HELD`` bytes of containers
-    at a time, however large the micro-batch.  When more than ``most_held`` chunks wait at the end of a batch, or some have waited
+    State of a bucket: the bytes that are left over and the running numbers of its streams, and their early chunks, of
+    which those beyond ``EARLY_BYTES`` stay in a map on disk.  A task holds these, one packed batch of chunks
+    and ``HELD`` bytes of containers at a time, however large the micro-batch (lower
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` for large chunks).  When more than ``most_held`` chunks of a stream wait at the end of a batch, or some have waited
     ``patience_ms`` of processing time, the missing ones are reported as an error row, what was
     left over is dropped and framing goes on with the next chunk.  Repeated chunks are left out.
     """
     use_rocksdb(chunks.sparkSession)
-    rows = chunks.where("seq IS NOT NULL").select("stream_id", F.col("seq").cast("long").alias("seq"), "data")
+    rows = chunks.where("seq IS NOT NULL").select("stream_id", F.col("seq").cast("long").alias("seq"), F.col("data").cast("binary").alias("data"))
     schema = StructType([rows.schema["stream_id"], *StructType.fromDDL(CONTAINER).fields])
-    return rows.groupBy("stream_id").transformWithStateInPandas(Framing(first, most_held, patience_ms, schema.names), schema, "append", "None" if patience_ms is None else "ProcessingTime")
+    packed, inner = _dealt(rows, ["stream_id"])
+    processor = Framing(first, most_held, patience_ms, inner, to_arrow_schema(schema))
+    found = packed.groupBy("bucket").transformWithState(processor, StructType.fromDDL("rows binary"), "append", "None" if patience_ms is None else "ProcessingTime")
+    return _opened(found, schema)
