@@ -180,6 +180,8 @@ def _shared_folder(spark) -> str:
 
 #: Deliveries of the registered feeds; each is a micro-batch.
 DELIVERIES = 6
+#: Files of a delivery grow with the rows of the feed up to so many.
+MOST_FILES, FILE_ROWS = 32, 1_000_000
 #: Feeds start a day behind the epoch, where watermarks start.
 DAY = 86_400
 
@@ -191,10 +193,12 @@ def _fed(spark, rows, build, mode="append", end=None, keys=None):
     delivery whose timestamp lets the watermark pass all rows.
     """
     place = f"{_shared_folder(spark)}/feed-{uuid.uuid4().hex}"
-    files = max(1, min(4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     plain = rows.drop("arrival")
+    rows.write.partitionBy("arrival").parquet(f"{place}/dealt")  # rows are made once, not for every delivery
+    dealt = spark.read.schema(rows.schema).parquet(f"{place}/dealt")
+    files = max(1, min(MOST_FILES, max(4, dealt.count() // FILE_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     for k in range(DELIVERIES):
-        rows.where(F.col("arrival") == k).drop("arrival").repartition(files).write.mode("append").parquet(f"{place}/in")
+        dealt.where(F.col("arrival") == k).select(*plain.columns).repartition(files).write.mode("append").parquet(f"{place}/in")
     if end is not None:
         spark.createDataFrame([end], plain.schema).repartition(1).write.mode("append").parquet(f"{place}/in")
     source = spark.readStream.schema(plain.schema).option("maxFilesPerTrigger", files).parquet(f"{place}/in")
@@ -205,7 +209,7 @@ def _fed(spark, rows, build, mode="append", end=None, keys=None):
     else:
         feeds.upserts(stream, f"{place}/out").start().awaitTermination()
         out = feeds.read_upserts(spark, f"{place}/out", keys)
-    _clean(spark, f"{place}/in", f"{place}/ck")
+    _clean(spark, f"{place}/dealt", f"{place}/in", f"{place}/ck")
     atexit.register(_clean, spark, place)
     return out
 
