@@ -64,16 +64,32 @@ def get_string(data: Column, offset: int = 0) -> Column:
     return F.when(units == 0, "").when(F.octet_length(data) >= offset + 1 + 2 * units, text)
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once; in a lambda function Spark would compute it for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _swapped(digits: Column, place: Column) -> Column:
+    """Four hexadecimal digits, from a place on, with their bytes in the other order."""
+    return F.concat(F.substring(digits, place + 3, F.lit(2)), F.substring(digits, place + 1, F.lit(2)))
+
+
 def put_code_list(codes: Column) -> Column:
     """An array of 16-bit codes behind its 32-bit count."""
-    return F.concat(put_uint(F.size(codes), 4), F.unhex(F.array_join(F.transform(codes, lambda c: F.hex(put_uint(c, 2))), "")))
+    four = lambda c: F.right(F.lpad(F.hex(c.cast("long")), 16, "0"), F.lit(4))
+    return F.concat(put_uint(F.size(codes), 4), F.unhex(F.array_join(F.transform(codes, lambda c: _once(four(c), lambda d: _swapped(d, F.lit(0)))), "")))
 
 
 def code_list(data: Column, offset: int = 0) -> Column:
     """The 16-bit codes behind a 32-bit count; null where the bytes end before."""
-    n = get_uint(data, offset, 4)
-    codes = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda k: get_uint(data, k * 2 + (offset + 4), 2).cast("int"))
-    return F.when(n == 0, F.array().cast("array<int>")).when(F.octet_length(data) >= offset + 4 + 2 * n, codes)
+
+    def codes(data):
+        n = get_uint(data, offset, 4)
+        tail = F.hex(F.substring(data, F.lit(offset + 5), (2 * n).cast("int")))
+        some = _once(tail, lambda t: F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda k: F.conv(_swapped(t, k * 4), 16, 10).cast("int")))
+        return F.when(n == 0, F.array().cast("array<int>")).when(F.octet_length(data) >= offset + 4 + 2 * n, some)
+
+    return _once(data, codes)
 
 
 def put_object_info(fields: dict[str, Column]) -> Column:
