@@ -209,7 +209,7 @@ def tiff_entries_by_sql(spark, sf):
     table_functions.register(spark)
     entry = lambda tag, v: _cat(_u(tag, 2), _u(4, 2), _u(1, 4), _u(v, 4))
     raw = _cat(F.unhex(F.lit("49492A00")), _u(8, 4), _u(2, 2), entry(256, F.col("p_size")), entry(257, F.col("p_partkey")), _u(0, 4))
-    rows = t(spark, sf, "part").select("p_partkey", raw.alias("raw"))
+    rows = t(spark, sf, "part").select("p_partkey", raw.alias("raw")).repartition(spark.sparkContext.defaultParallelism)  # the file is small for what its rows cost
     found = spark.sql("SELECT p_partkey, e.* FROM {rows}, LATERAL decode_tiff(raw, 'tag, value') e", rows=rows)
     return found.select("p_partkey", "tag", W.get_uint(F.col("value"), 0, 4).alias("value"))
 

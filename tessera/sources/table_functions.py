@@ -55,7 +55,8 @@ def table_function(kernel: str, schema: StructType):
                 found = {"ordinal": n, "error": str(e)} | dict.fromkeys(own)
                 yield tuple(found[c] for c in names)
 
-    return udtf(Decode, useArrow=True)
+    # with Arrow, Spark makes a table of its own for every blob
+    return udtf(Decode, useArrow=False)
 
 
 def register(spark: SparkSession) -> list[str]:
