@@ -6,7 +6,7 @@ without new files gives the same offset and no batch, and after a restart the fi
 checkpointed offsets are read again, no other ones.
 
 ``spark.read.format("event_spool")`` reads all that is there; ``df.write.format("event_spool")`` is
-the collector's side: a file for each run of rows of one stream, numbered on from the first one's ``seq``.
+the collector's side: files of about ``FILE_BYTES`` for each run of rows of one stream, numbered on from the first one's ``seq``.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .framing import EVENT, HEADER, Framer
 
 EVENTS = "stream_id string, seq long, code int, tx_id long, params array<bigint>, ingest_ts timestamp"
 PARTITION_BYTES = 8 << 20
+#: Bytes behind which the writer begins another file, so that no task holds a whole stream.
+FILE_BYTES = 4 << 20
 
 
 class _Spool:
@@ -42,7 +44,7 @@ class _Spool:
     def read(self, partition: Group) -> Iterator[tuple]:
         for stream, name, _, mtime in partition.files:
             when = dt.datetime.fromtimestamp(mtime, dt.timezone.utc)
-            for k, c in enumerate(c for c in Framer().feed(read_file(self.folder, f"{stream}/{name}")) if c["typ"] == EVENT):
+            for k, c in enumerate(c for c in Framer().each(read_file(self.folder, f"{stream}/{name}")) if c["typ"] == EVENT):
                 params = [int.from_bytes(c["body"][i : i + 4], "little") for i in range(0, len(c["body"]) - 3, 4)]
                 yield stream, int(name[:-4]) + k, c["code"], c["tx_id"], params, when
 
@@ -66,9 +68,13 @@ class SpoolStreamReader(_Spool, DataSourceStreamReader):
 class SpoolWriter(StagedWriter):
     def files(self, rows: Iterator) -> Iterator[tuple[str, bytes]]:
         for stream, events in groupby(rows, key=lambda r: r["stream_id"]):
-            first, out = None, bytearray()
+            first, n, out = None, 0, bytearray()
             for e in events:
+                if len(out) >= FILE_BYTES:
+                    yield f"{stream}/{first:012d}.bin", bytes(out)
+                    first, n, out = first + n, 0, bytearray()
                 first = e["seq"] if first is None else first
+                n += 1
                 body = b"".join(p.to_bytes(4, "little") for p in e["params"] or [])
                 out += (HEADER + len(body)).to_bytes(4, "little") + EVENT.to_bytes(2, "little") + e["code"].to_bytes(2, "little") + e["tx_id"].to_bytes(4, "little") + body
             yield f"{stream}/{first:012d}.bin", bytes(out)

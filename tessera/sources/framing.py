@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +24,12 @@ class Framer:
         self.residue, self.seq = bytearray(residue), seq
 
     def feed(self, chunk: bytes) -> list[dict]:
+        return list(self.each(chunk))
+
+    def each(self, chunk: bytes) -> Iterator[dict]:
+        """The containers one by one; to be taken to the end."""
         self.residue += chunk
-        out, at = [], 0
+        at = 0
         data = self.residue
         while True:
             if len(data) - at < HEADER:
@@ -34,16 +40,15 @@ class Framer:
                 at = len(data)
                 break
             if length < HEADER or length > MOST:
-                out.append(self._row(length, kind, None, None, None, f"container length {length}"))
+                yield self._row(length, kind, None, None, None, f"container length {length}")
                 at = len(data)
                 break
             if len(data) - at < length:
                 break
             code, tx = int.from_bytes(data[at + 6 : at + 8], "little"), int.from_bytes(data[at + 8 : at + 12], "little")
-            out.append(self._row(length, kind, code, tx, bytes(data[at + HEADER : at + length]), None))
+            yield self._row(length, kind, code, tx, bytes(data[at + HEADER : at + length]), None)
             at += length
         del data[:at]
-        return out
 
     def _row(self, length, typ, code, tx, body, error):
         self.seq += 1
