@@ -58,9 +58,13 @@ SELECT width, count(*) AS n FROM (
   SELECT CASE WHEN c <= 0 OR c >= s THEN 0 ELSE len(list_filter(range(15), lambda k: (c << k) < s)) END AS width
   FROM (SELECT CAST(l_orderkey AS BIGINT) * l_partkey * (1 + l_linenumber % 3 * 1048576) AS s, CAST(l_suppkey % 20 AS BIGINT) AS c FROM lineitem)) GROUP BY width""")
 def code_width_wide(spark, sf):
-    """Over ratios from below one to beyond 2**31, and counts of zero."""
-    total = F.col("l_orderkey").cast("long") * F.col("l_partkey") * (F.col("l_linenumber") % 3 * 1048576 + 1)
-    rows = t(spark, sf, "lineitem").select(E.code_width(total, (F.col("l_suppkey") % 20).cast("long")).cast("long").alias("width"))
+    """Over ratios from below one to beyond 2**31, and counts of zero; products of large keys have more than 63 bits."""
+    most = 1 << 62  # beyond every count that is compared; factors are whole and not 0
+    exact = lambda c: c.cast("decimal(19,0)")
+    held = lambda c: F.when(c > most, most).when(c < -most, -most).otherwise(c).cast("decimal(19,0)")
+    total = held(held(exact(F.col("l_orderkey")) * exact(F.col("l_partkey"))) * exact(F.col("l_linenumber") % 3 * 1048576 + 1)).cast("long")
+    pairs = t(spark, sf, "lineitem").select(total.alias("total"), (F.col("l_suppkey") % 20).cast("long").alias("count"))  # made once, not for every shift
+    rows = pairs.select(E.code_width(F.col("total"), F.col("count")).cast("long").alias("width"))
     return rows.groupBy("width").agg(F.count("*").alias("n"))
 
 
@@ -149,14 +153,13 @@ def lossless_jpeg_roundtrip(spark, sf):
     tiles = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("s")).alias("s"))  # seven lines an order at most
 
     def code(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            back = []
-            for row in batch.column(1).to_pylist():
-                px = np.array([x["v"] for x in row]).reshape(1, -1, 1)
-                back.append(lossless_jpeg.decode(lossless_jpeg.Scan(lossless_jpeg.encode(px, 14))).ravel().tolist())
+            back, lists = [], batch.column(1)
+            values, ends = lists.flatten().field("v").to_numpy(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+            for a, b in zip(ends, ends[1:]):
+                back.append(lossless_jpeg.decode(lossless_jpeg.Scan(lossless_jpeg.encode(values[a:b].reshape(1, -1, 1), 14))).ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(back, pa.list_(pa.int32()))], names=["l_orderkey", "lines", "back"])
 
     rows = tiles.select(F.col("l_orderkey").cast("long").alias("l_orderkey"), "s", F.col("s.l_linenumber").cast("array<int>").alias("lines"))
