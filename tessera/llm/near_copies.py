@@ -1,7 +1,9 @@
-"""Near copies for the pipeline: MinHash bands for candidates, exact Jaccard for links.
+"""Near copies for the pipeline: SimHash with pivots and MinHash bands for candidates, exact Jaccard for links.
 
 Two texts link if their sets of five-word shingles have a Jaccard similarity of
-``SIMILAR`` or more.  ``BANDS`` bands of ``ROWS`` least hashes make candidates: a pair
+``SIMILAR`` or more.  The first candidates are those of operator 10: fingerprints of the same shingles that
+link at its radius, found by block keys and pivot distances.  Pairs at 0.8 are 4 to 14 bits apart, beyond what any
+number of pivots selects, so bands go beside it: ``BANDS`` bands of ``ROWS`` least hashes make candidates: a pair
 at 0.8 shares no band with a chance of (1 - 0.8 ** 5) ** 24 = 7e-5, a pair at 0.9 with
 one of 6e-10.  Sets are compared whole, as sets of 64-bit shingle hashes.
 
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
+from .simhash_pivots import fingerprint, fingerprint_links
 
 SHINGLE, SIMILAR, SEED = 5, 0.8, 42
 BANDS, ROWS, HASHES, FAR, STARS = 24, 5, 128, 30, 2
@@ -51,28 +54,29 @@ def least_hashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """doc_id, a key of the text, a key of the shingle set, its bands and 128 bits."""
+    """doc_id, a key of the text, a key of the shingle set, its bands and 128 bits, and the text's SimHash."""
     common.ship(docs.sparkSession)
 
     def run(batches):
         from xxhash import xxh64_intdigest as h64
 
         for batch in batches:
-            keys, bands, bits = [], [], []
+            keys, bands, bits, fps = [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text, words)
                 m = least_hashes(s)
                 keys.append(h64(s.tobytes(), SEED))
                 bands.append([h64(m[ROWS * b : ROWS * (b + 1)].tobytes(), b) for b in range(BANDS)] if len(s) else [])
+                fps.append(fingerprint(text, words))
                 bits.append(np.packbits((m >> np.uint64(40)) & np.uint64(1) == 1).view(np.int64))
             sizes = np.cumsum([0, *map(len, bands)])
             flat = np.array([h for b in bands for h in b], np.uint64).view(np.int64)
             bits = np.array(bits, np.int64).reshape(-1, 2)
-            cols = [batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat)), pa.array(bits[:, 0]), pa.array(bits[:, 1])]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "set_key", "bands", "s0", "s1"])
+            cols = [batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "set_key", "bands", "s0", "s1", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, set_key long, bands array<long>, s0 long, s1 long")
+    return rows.mapInArrow(run, "doc_id long, text_key long, set_key long, bands array<long>, s0 long, s1 long, fp long")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -96,19 +100,30 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -
     return pairs.join(a, "a").join(b, "b").where(both >= F.lit(similar) * either).select("a", "b")
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints are equal or link, one pair a set and link at most."""
+    hubs = nodes.groupBy("fp").agg(F.min("set_key").alias("hub"))
+    a, b = (hubs.select(F.col("fp").alias(x), F.col("hub").alias(f"hub_{x}")) for x in "ab")
+    near = fingerprint_links(hubs.select("fp")).join(a, "a").join(b, "b").select("hub_a", "hub_b")
+    pairs = nodes.join(hubs, "fp").select("hub", "set_key").unionAll(near).toDF("x", "y").where("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def links(docs: DataFrame, nodes: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """(node, component) of the sets (set_key, doc_id, text_key, bands, s0, s1) that link to another."""
+    """(node, component) of the sets (set_key, doc_id, text_key, bands, s0, s1, fp) that link to another."""
     keys = nodes.select("set_key", "s0", "s1", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = common.materialize(keys.join(shared, "band"), "near-members")
-    wanted = members.select("set_key").distinct().join(nodes.select("set_key", "doc_id", "text_key"), "set_key")
+    first = common.materialize(simhash_pairs(nodes), "near-simhash")
+    asked = members.select("set_key").unionAll(first.select("a")).unionAll(first.select("b"))
+    wanted = asked.distinct().join(nodes.select("set_key", "doc_id", "text_key"), "set_key")
     sets = common.materialize(shingle_sets(docs, wanted, words), "near-sets")
-    found = None
+    found = common.materialize(similar_pairs(first, sets), "near-links")
     for turn in range(STARS):
         hub = members.groupBy("band").agg(F.min(F.struct(F.xxhash64("set_key", F.lit(turn)).alias("order"), "set_key")).alias("hub"))
         pairs = members.join(hub, "band").select(F.least("set_key", "hub.set_key").alias("a"), F.greatest("set_key", "hub.set_key").alias("b")).where("a <> b").distinct()
         new = common.materialize(similar_pairs(pairs, sets), "near-links")
-        found = new if found is None else found.unionAll(new)
+        found = found.unionAll(new)
         # the component of each member, and the bands that hold more than one
         label = components(found, "a", "b").withColumnRenamed("node", "set_key")
         now = common.materialize(members.join(label, "set_key", "left").withColumn("component", F.coalesce("component", "set_key")), "near-members")
@@ -126,7 +141,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int = SHINGLE) -> DataFrame:
 def keep_first(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each component, the one of the smallest doc_id; columns as they were."""
     found = common.materialize(sketches(docs, words), "near-sketches")
-    nodes = found.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"), *(F.first(c).alias(c) for c in ("bands", "s0", "s1")))
+    nodes = found.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"), *(F.first(c).alias(c) for c in ("bands", "s0", "s1")), F.min("fp").alias("fp"))
     nodes = common.materialize(nodes.select("*", "first.doc_id", "first.text_key"), "near-nodes")
     classes = links(docs, nodes, words)
     best = nodes.join(classes, nodes.set_key == classes.node, "left").groupBy(F.coalesce("component", "set_key").alias("component")).agg(F.min("first").alias("best"))
