@@ -189,19 +189,23 @@ MOST_FILES, FILE_ROWS = 32, 1_000_000
 DAY = 86_400
 
 
-def _fed(spark, rows, build, mode="append", end=None, keys=None):
+def _fed(spark, rows, build, mode="append", end=None, keys=None, count=None):
     """Rows, delivered in the order of their column ``arrival``, through a Structured Streaming query; its table.
 
     Every delivery is a micro-batch of its own, so state crosses batches.  ``end`` is a last
-    delivery whose timestamp lets the watermark pass all rows.
+    delivery whose timestamp lets the watermark pass all rows.  ``rows`` may be a function that
+    makes the rows of one delivery from a part of its table; ``count`` is then about how many there are.
     """
     place = f"{_shared_folder(spark)}/feed-{uuid.uuid4().hex}"
-    plain = rows.drop("arrival")
-    rows.write.partitionBy("arrival").parquet(f"{place}/dealt")  # rows are made once, not for every delivery
-    dealt = spark.read.schema(rows.schema).parquet(f"{place}/dealt")
-    files = max(1, min(MOST_FILES, max(4, dealt.count() // FILE_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    if callable(rows):
+        delivery, plain = rows, rows(0)
+    else:
+        rows.write.partitionBy("arrival").parquet(f"{place}/dealt")  # rows are made once, not for every delivery
+        dealt, plain = spark.read.schema(rows.schema).parquet(f"{place}/dealt"), rows.drop("arrival")
+        delivery, count = (lambda k: dealt.where(F.col("arrival") == k).select(*plain.columns)), dealt.count()
+    files = max(1, min(MOST_FILES, max(4, count // FILE_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     for k in range(DELIVERIES):
-        dealt.where(F.col("arrival") == k).select(*plain.columns).repartition(files).write.mode("append").parquet(f"{place}/in")
+        delivery(k).repartition(files).write.mode("append").parquet(f"{place}/in")
     if end is not None:
         spark.createDataFrame([end], plain.schema).repartition(1).write.mode("append").parquet(f"{place}/in")
     source = spark.readStream.schema(plain.schema).option("maxFilesPerTrigger", files).parquet(f"{place}/in")
@@ -235,6 +239,12 @@ def _delivered(rows, key, most):
     return rows.withColumn("arrival", arrival).withColumn("ingest_ts", F.timestamp_seconds(key + DAY)), f"{size // 4 + 1} seconds"
 
 
+def _keys_of(delivery, most):
+    """Least and greatest key that a delivery of :func:`_delivered` may hold; the last has no greatest."""
+    size = max(4, -(-(most + 1) // DELIVERIES))
+    return delivery * size - size // 4, (delivery + 1) * size if delivery < DELIVERIES - 1 else None
+
+
 def _event_feed(spark, sf, *columns):
     """Events of the table, a second apart, in shuffled deliveries; their delay; the greatest id."""
     events = t(spark, sf, "events")
@@ -311,6 +321,30 @@ def streamed_framing(spark, sf):
     return found.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum(W.get_uint(F.col("body"), 0, 4)).alias("total"))
 
 
+def _containers_of(orders):
+    """The containers of every order: its command, late replies, one of a later transaction, data and answer."""
+    key, place = F.col("key"), F.col("place")
+    some = lambda when, *places: F.when(when, F.array(*(F.lit(p) for p in places)))
+    none = F.array().cast("array<int>")
+    places = F.concat(F.array(F.lit(0)), some(key % 4 == 0, 1, 2).when(key % 4 == 1, F.array(*(F.lit(p) for p in range(1, 10)))).otherwise(none),
+                      some(key % 11 == 0, 10).otherwise(none), some(F.col("o_orderstatus") == "O", 11).otherwise(none), some(key % 9 != 0, 12).otherwise(none))
+    rows = orders.withColumn("key", F.col("o_orderkey").cast("long")).select("o_custkey", "o_orderpriority", "key", F.explode(places).alias("place"))
+    command, late, data = place == 0, place.between(1, 9), place == 11
+    return rows.select(
+        (key * 16 + place).alias("seq"), (F.col("o_custkey") % 50).cast("string").alias("stream_id"), F.when(command, 1).when(data, 2).otherwise(3).alias("typ"),
+        F.when(command, 4096 + F.col("o_custkey") % 7).when(data, 0).otherwise(0x2001).cast("int").alias("code"), F.when(late, key - place).when(place == 10, key + 1).otherwise(key).alias("tx_id"),
+        F.when(command, F.encode(key.cast("string"), "UTF-8")).when(data, F.encode("o_orderpriority", "UTF-8")).alias("body"), F.lit(None).cast("string").alias("error"))
+
+
+def _transaction_delivery(orders, most, k):
+    """The containers of one delivery, from the orders whose keys may be in it."""
+    least, greatest = _keys_of(k, most)
+    near = F.col("o_orderkey") >= least // 16 - 1
+    if greatest is not None:
+        near &= F.col("o_orderkey") <= greatest // 16 + 1
+    return _delivered(_containers_of(orders.where(near)), F.col("seq"), most)[0].where(F.col("arrival") == k).drop("arrival")
+
+
 @query("""
 SELECT CAST(o_custkey % 50 AS VARCHAR) AS stream_id, o_orderkey AS tx_id, CAST(4096 + o_custkey % 7 AS INTEGER) AS op, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS data,
   CASE WHEN o_orderkey % 9 <> 0 THEN 8193 ELSE -1 END AS response, CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 9 ELSE 0 END AS stale,
@@ -319,20 +353,12 @@ SELECT CAST(o_custkey % 50 AS VARCHAR) AS stream_id, o_orderkey AS tx_id, CAST(4
 FROM orders""")
 def streamed_transactions(spark, sf):
     """Every order is a transaction of its customer group's stream, with late replies and some without an answer."""
-    key, orders = F.col("o_orderkey").cast("long"), t(spark, sf, "orders")
-    phase = lambda place, typ, code, tx, body: F.struct(F.lit(place).cast("long").alias("place"), F.lit(typ).alias("typ"), code.cast("int").alias("code"), tx.cast("long").alias("tx_id"), body.cast("binary").alias("body"))
-    none = F.lit(None).cast("binary")
-    late = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: phase(1, 3, F.lit(0x2001), key - i, none).withField("place", i.cast("long")))
-    late = F.slice(late, F.lit(1), F.when(key % 4 == 0, 2).when(key % 4 == 1, 9).otherwise(0))
-    one = lambda when, p: F.when(when, F.array(p)).otherwise(F.slice(F.array(p), 1, 0))
-    phases = F.concat(
-        F.array(phase(0, 1, 4096 + F.col("o_custkey") % 7, key, F.encode(F.col("o_orderkey").cast("string"), "UTF-8"))), late, one(key % 11 == 0, phase(10, 3, F.lit(0x2001), key + 1, none)),
-        one(F.col("o_orderstatus") == "O", phase(11, 2, F.lit(0), key, F.encode("o_orderpriority", "UTF-8"))), one(key % 9 != 0, phase(12, 3, F.lit(0x2001), key, none)))
-    rows = orders.select((F.col("o_custkey") % 50).cast("string").alias("stream_id"), key.alias("key"), F.explode(phases).alias("p")).select("stream_id", (F.col("key") * 16 + F.col("p.place")).alias("seq"), "p.typ", "p.code", "p.tx_id", "p.body", F.lit(None).cast("string").alias("error"))
-    most = (orders.agg(F.max("o_orderkey")).first()[0] or 0) * 16 + 16
-    rows, delay = _delivered(rows, F.col("seq"), most)
-    columns = ["seq", "stream_id", "typ", "code", "tx_id", "body", "error", "arrival", "ingest_ts"]
-    found = _fed(spark, rows.select(*columns), lambda d: feeds.transactions(d, "ingest_ts", delay, linger_ms=20_000), end=_end(most, "end", 1, 1, 1, None, None))
+    orders = t(spark, sf, "orders")
+    n, last = orders.agg(F.count("*"), F.max("o_orderkey")).first()
+    most = (last or 0) * 16 + 16
+    delay = _delivered(_containers_of(orders), F.col("seq"), most)[1]
+    end = _end(most, "end", 1, 1, 1, None, None)
+    found = _fed(spark, lambda k: _transaction_delivery(orders, most, k), lambda d: feeds.transactions(d, "ingest_ts", delay, linger_ms=20_000), end=end, count=5 * n)
     text = F.decode(F.col("data"), "UTF-8")
     return found.where("stream_id <> 'end'").select("stream_id", "tx_id", "op", text.alias("data"), F.coalesce("response", F.lit(-1)).alias("response"), F.col("stale").cast("int").alias("stale"), F.col("future").cast("int").alias("future"), "error")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,10 +100,19 @@ def containers(chunks: DataFrame) -> DataFrame:
     return dealt.select("stream_id", "data").mapInArrow(run, f"stream_id {kind}, {CONTAINER}")
 
 
+#: What may be wrong with a transaction, the first of several.
+WRONG = ("a container of a later transaction", "too many late replies", "two data phases", "no response")
+
+
 def outcome(stale: int, future: int, data_phases: int, response: int | None) -> str | None:
     """What is wrong with a transaction, by its counts and its answer; the first of several."""
-    found = {"a container of a later transaction": future > 0, "too many late replies": stale > MOST_STALE, "two data phases": data_phases > 1, "no response": response is None}
-    return next((text for text, is_so in found.items() if is_so), None)
+    return next((text for text, is_so in zip(WRONG, (future > 0, stale > MOST_STALE, data_phases > 1, response is None)) if is_so), None)
+
+
+def outcomes(stale: np.ndarray, future: np.ndarray, data_phases: np.ndarray, answered: np.ndarray) -> pa.Array:
+    """:func:`outcome` of many transactions."""
+    kind = np.select([future > 0, stale > MOST_STALE, data_phases > 1, ~answered], [0, 1, 2, 3], -1)
+    return pa.array(WRONG, pa.string()).take(pa.array(kind, mask=kind < 0))
 
 
 def transactions(found: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Two kinds of order:
 
-* With ``ts`` (a timestamp column that does not fall while ``seq`` rises), a list state per key is
-  a reorder buffer: rows wait until the watermark (``delay`` behind the greatest timestamp) has
+* With ``ts`` (a timestamp column that does not fall while ``seq`` rises), a map state per bucket is
+  a reorder buffer of packed batches with their bounds in time: rows wait until the watermark (``delay`` behind the greatest timestamp) has
   passed them and are then taken in the order of (timestamp, seq).  Arrival may be shuffled by up
   to ``delay``; what comes later still may be dropped, as with any watermark.  Results do
   not depend on how rows are cut into batches.
@@ -17,7 +17,7 @@ task when an executor is lost.  A key keeps its unreleased rows and one small va
 ``forget_ms`` ends that value so long after the key's last row, in event time.  What a task
 holds in memory are the rows of one bucket that are released together, as Arrow columns: those of one
 batch, or those that the watermark passes at once; the source's rate limit bounds both.  ``SLICE`` of
-them at a time are Python rows.  A row that comes when its bucket has released later ones is dropped.
+them at a time are Python rows, or ``COLUMNS`` of them columns of a step that works by columns.  A row that comes when its bucket has released later ones is dropped.
 
 Rows without a ``seq`` (or without ``ts``, where that orders) take no part.
 """
@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from ..sources.framing import COMMAND, CONTAINER, DATA, EVENT, HELD, RESPONSE, Framer, outcome
+from ..sources.framing import COMMAND, CONTAINER, DATA, EVENT, HELD, RESPONSE, Framer, outcome, outcomes
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Chunks of a stream that may wait for a missing one.
@@ -48,6 +48,8 @@ BUCKETS = 256
 DEALT, DEALT_BYTES, PACKED_BYTES = 1 << 18, 32 << 20, 2 << 20
 #: Rows of one bucket that are Python objects at once.
 SLICE = 1 << 15
+#: Rows of one bucket that a step by columns takes at once.
+COLUMNS = 1 << 18
 #: Bytes of early chunks of one bucket in memory; more wait in the state store one by one.
 EARLY_BYTES = 16 << 20
 #: Behind all times.
@@ -56,6 +58,8 @@ NEVER = (1 << 63) - 1
 State = tuple | None
 #: (key, rows in order, state) to the new state and output rows; rows begin with (microseconds, seq).
 Step = Callable[[tuple, list[tuple], State], tuple[State, list[tuple]]]
+#: The same by columns: (rows of several keys by key and in order, states by key, schema of the output) to output rows; the states are brought up to date.
+Whole = Callable[[pa.RecordBatch, dict[tuple, tuple], pa.Schema], pa.Table]
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -134,16 +138,16 @@ class Ordered(StatefulProcessor):
     ``expire(key, state)`` what happens then; both in event time only.
     """
 
-    def __init__(self, width: int, rows: pa.Schema, state: pa.Schema, out: pa.Schema, step: Step, timed: bool, due: Callable[[tuple], int | None], expire: Callable[[tuple, tuple], tuple[State, list[tuple]]]):
+    def __init__(self, width: int, rows: pa.Schema, state: pa.Schema, out: pa.Schema, step: Step, timed: bool, due: Callable[[tuple], int | None], expire: Callable[[tuple, tuple], tuple[State, list[tuple]]], whole: Whole | None = None):
         self.width, self.rows, self.state, self.out = width, rows, state, out
-        self.step, self.timed, self.due, self.expire = step, timed, due, expire
+        self.step, self.timed, self.due, self.expire, self.whole = step, timed, due, expire, whole
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.now = handle.getListState("now", "rows binary")
         if self.timed:
-            self.held = handle.getListState("held", "rows binary")
-            self.times = handle.getValueState("times", "passed long, due long")
+            self.held = handle.getMapState("held", "number long", "rows binary")
+            self.times = handle.getValueState("times", "passed long, due long, packs binary")
 
     def _kept(self) -> dict[tuple, tuple]:
         kept = {}
@@ -166,6 +170,11 @@ class Ordered(StatefulProcessor):
         width, found = self.width, []
         names = [*range(width), table.column_names.index("at"), table.column_names.index("seq")]
         table = table.take(pc.sort_indices(table, [(table.column_names[k], "ascending") for k in names]))
+        if self.whole is not None:
+            for at in range(0, table.num_rows, COLUMNS):
+                some = table.slice(at, COLUMNS).combine_chunks().to_batches()[0]
+                yield from (Row(rows=data) for batch in self.whole(some, kept, self.out).to_batches() for data in _packs(batch))
+            return
         for at in range(0, table.num_rows, SLICE):
             rows = zip(*(c.to_pylist() for c in table.slice(at, SLICE).columns))
             for key, mine in groupby(rows, key=lambda r: r[:width]):
@@ -181,15 +190,24 @@ class Ordered(StatefulProcessor):
         if found:
             yield from self._packed(found)
 
+    def _times(self) -> tuple[int, int, list[list[int]]]:
+        """What has been released, when something is due, and the number, least and greatest time of each waiting batch."""
+        passed, due, packs = self.times.get() if self.times.exists() else (-NEVER, NEVER, b"")
+        return passed, due, np.frombuffer(bytes(packs), np.int64).reshape(-1, 3).tolist()
+
+    def _hold(self, packs: list[list[int]], least: int, most: int, data: bytes) -> None:
+        number = packs[-1][0] + 1 if packs else 0
+        self.held.updateValue((number,), (data,))
+        packs.append([number, least, most])
+
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if self.timed:
-            passed, due = self.times.get() if self.times.exists() else (-NEVER, NEVER)
-            least = due
+            passed, due, packs = self._times()
             for r in rows:
-                self.held.appendList([(bytes(r["rows"]),)])
-                least = min(least, r["least"])
+                self._hold(packs, r["least"], r["most"], bytes(r["rows"]))
+            least = min(due, *(pack[1] for pack in packs), NEVER)
+            self.times.update((passed, least, np.array(packs, np.int64).tobytes()))
             if least < due:
-                self.times.update((passed, least))
                 self.handle.registerTimer(-(-least // 1000))
             return
         kept = self._kept()
@@ -198,14 +216,26 @@ class Ordered(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        passed, due = self.times.get()
+        passed, due, packs = self._times()
         if due > now:  # an earlier timer has done it
             return
-        table = pa.Table.from_batches([_unpack(bytes(data), self.rows) for (data,) in self.held.get()], self.rows)
-        times = table.column("at")
-        wait = table.filter(pc.greater(times, now)).combine_chunks()
-        ready = table.filter(pc.and_(pc.less_equal(times, now), pc.greater(times, passed)))
-        del table, times
+        ready, wait = [], []
+        for number, least, most in packs:  # batches that are wholly ahead stay where they are
+            if least > now:
+                continue
+            batch = _unpack(bytes(self.held.getValue((number,))[0]), self.rows)
+            self.held.removeKey((number,))
+            times = batch.column("at")
+            if most > now:
+                wait.append(batch.filter(pc.greater(times, now)))
+            ready.append(batch if most <= now and least > passed else batch.filter(pc.and_(pc.less_equal(times, now), pc.greater(times, passed))))
+        packs = [pack for pack in packs if pack[1] > now]
+        for batch in pa.Table.from_batches(wait, self.rows).combine_chunks().to_batches():
+            for data in _packs(batch):
+                bounds = pc.min_max(_unpack(data, self.rows).column("at")).as_py()
+                self._hold(packs, bounds["min"], bounds["max"], data)
+        ready = pa.Table.from_batches(ready, self.rows)
+        del wait
         kept = self._kept()
         yield from self._steps(ready, kept)
         del ready
@@ -223,12 +253,8 @@ class Ordered(StatefulProcessor):
         if found:
             yield from self._packed(found)
         self._keep(kept)
-        if wait.num_rows:
-            self.held.put([(data,) for data in _packs(wait.to_batches()[0])])
-            next_due = min(next_due, pc.min(wait.column("at")).as_py())
-        else:
-            self.held.clear()
-        self.times.update((now, next_due))
+        next_due = min(next_due, *(pack[1] for pack in packs), NEVER)
+        self.times.update((now, next_due, np.array(packs, np.int64).tobytes()))
         if next_due < NEVER:
             self.handle.registerTimer(-(-next_due // 1000))
 
@@ -236,10 +262,10 @@ class Ordered(StatefulProcessor):
         pass
 
 
-def ordered(df: DataFrame, keys: list[str], values: list[Column], out: str, state: str, step: Step, ts: str | None, delay: str, due=None, expire=None) -> DataFrame:
+def ordered(df: DataFrame, keys: list[str], values: list[Column], out: str, state: str, step: Step | None, ts: str | None, delay: str, due=None, expire=None, whole: Whole | None = None) -> DataFrame:
     """``keys`` + columns of ``out`` from a step over the rows ``(microseconds, seq, *values)`` of each key.
 
-    A step may get the rows of a key in several pieces, in order.
+    A step may get the rows of a key in several pieces, in order; ``whole`` does its work by columns ``*keys, at, seq, v0, v1, ..``.
     """
     use_rocksdb(df.sparkSession)
     at = F.unix_micros(F.col(ts).cast("timestamp")) if ts else F.lit(0).cast("long")
@@ -251,7 +277,7 @@ def ordered(df: DataFrame, keys: list[str], values: list[Column], out: str, stat
     if ts:  # the greatest time of a packed batch moves the watermark as its rows would
         packed = packed.withColumn("event_time", F.timestamp_micros("most")).withWatermark("event_time", delay)
     kept = to_arrow_schema(StructType([*head, *StructType.fromDDL(state).fields]))
-    processor = Ordered(len(keys), inner, kept, to_arrow_schema(schema), step, ts is not None, due or (lambda state: None), expire or (lambda key, state: (None, [])))
+    processor = Ordered(len(keys), inner, kept, to_arrow_schema(schema), step, ts is not None, due or (lambda state: None), expire or (lambda key, state: (None, [])), whole)
     found = packed.groupBy("bucket").transformWithState(processor, StructType.fromDDL("rows binary"), "append", "EventTime" if ts else "None")
     return _opened(found, schema)
 
@@ -389,6 +415,90 @@ def settled(polls: DataFrame, ready: Column, deadline_ms: int, ts: str | None =
 TRANSACTION = "tx_id long, op int, params binary, data binary, response int, response_params binary, stale long, future long, data_phases long, error string"
 
 
+def _closed(key: tuple, state: tuple) -> tuple:
+    *row, _ = state
+    return *key, *row, outcome(row[6], row[7], row[8], row[4])
+
+
+def _joined(state: tuple, more: tuple) -> tuple:
+    """A transaction and what a later piece of its stream adds to it."""
+    tx, op, params, data, answer, answer_params, stale, future, phases, _ = state
+    if answer is None and more[9]:
+        answer, answer_params = more[4], more[5]
+    return tx, op, params, data if phases else more[3], answer, answer_params, stale + more[6], future + more[7], phases + more[8], more[10]
+
+
+def transaction_runs(rows: pa.RecordBatch, kept: dict[tuple, tuple], schema: pa.Schema) -> pa.Table:
+    """The transactions that rows ``(stream, at, seq, typ, code, tx_id, body)`` close; ``kept`` holds the open one of each stream.
+
+    A run of rows from one opening command to the next is a transaction; all runs are counted at once.  Only the first and
+    the last of a stream are Python rows, as they go on from and to other pieces.
+    """
+    rows = rows.filter(pc.and_(rows.column("v2").is_valid(), pc.fill_null(pc.not_equal(rows.column("v0"), EVENT), True)))
+    n = rows.num_rows
+    if not n:
+        return schema.empty_table()
+    stream, code, body = rows.column(0), rows.column("v1"), rows.column("v3")
+    at, tx = rows.column("at").to_numpy(), rows.column("v2").to_numpy()
+    typ = rows.column("v0").fill_null(0).to_numpy()
+    named = stream.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    head = np.r_[True, named[1:] != named[:-1]]  # first row of a stream
+    keys = [(k,) for k in stream.take(pa.array(np.flatnonzero(head))).to_pylist()]
+    of = np.cumsum(head) - 1
+    # a command opens a transaction unless the command before it had the same id
+    commands = np.flatnonzero(typ == COMMAND)
+    mine = of[commands]
+    opens = np.ones(len(commands), bool)
+    opens[1:] = (tx[commands][1:] != tx[commands][:-1]) | (mine[1:] != mine[:-1])
+    for k in np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]][: len(mine)]).tolist():
+        before = kept.get(keys[mine[k]])
+        opens[k] = before is None or before[0] != tx[commands[k]]
+    opened = np.zeros(n, bool)
+    opened[commands[opens]] = True
+    # runs of rows of one transaction; the first of a stream may go on with a kept one
+    starts = np.flatnonzero(head | opened)
+    ends = np.r_[starts[1:], n] - 1
+    run = np.cumsum(head | opened) - 1
+    goes_on, last, whose = ~opened[starts], np.r_[head[starts[1:]], True], of[starts]
+    now = tx[starts].copy()
+    alive = np.ones(len(starts), bool)
+    for k in np.flatnonzero(goes_on).tolist():
+        before = kept.get(keys[whose[k]])
+        alive[k] = before is not None
+        now[k] = before[0] if before is not None else 0
+    this = now[run]
+    stale, future = (np.add.reduceat((x < y).astype(np.int64), starts) for x, y in ((tx, this), (this, tx)))
+    data = np.flatnonzero((tx == this) & (typ == DATA))
+    phases = np.bincount(run[data], minlength=len(starts))
+    first_data, answer = np.full(len(starts), -1), np.full(len(starts), -1)
+    first_data[run[data[::-1]]] = data[::-1]  # the last one set is the first in order
+    replies = np.flatnonzero((tx == this) & (typ == RESPONSE))
+    coded = replies[code.is_valid().to_numpy(zero_copy_only=False)[replies]][::-1]
+    answer[run[replies]] = replies  # without any code the last body stays
+    answer[run[coded]] = coded
+
+    def columns(runs):
+        took = lambda column, rows: column.take(pa.array(rows[runs], mask=rows[runs] < 0))
+        numbers = (pa.array(x[runs], pa.int64()) for x in (stale, future, phases))
+        return [pa.array(now[runs]), took(code, starts), took(body, starts), took(body, first_data), took(code, answer), took(body, answer), *numbers]
+
+    closed = np.flatnonzero(~goes_on & ~last)
+    some = columns(closed)
+    wrong = outcomes(stale[closed], future[closed], phases[closed], some[4].is_valid().to_numpy(zero_copy_only=False))
+    # an open transaction that nothing adds to ends with the command at the head of the piece
+    done = [_closed(keys[k], kept[keys[k]]) for k in whose[head[starts] & opened[starts]].tolist() if keys[k] in kept]
+    edges = np.flatnonzero((goes_on & alive) | (last & ~goes_on))
+    for k, *row, answered, when in zip(edges.tolist(), *(c.to_pylist() for c in columns(edges)), (answer[edges] >= 0).tolist(), at[ends[edges]].tolist()):
+        key = keys[whose[k]]
+        state = _joined(kept[key], (*row, answered, when)) if goes_on[k] else (*row, when)
+        if last[k]:
+            kept[key] = state
+        else:
+            done.append(_closed(key, state))
+    found = [c.cast(t) for c, t in zip([stream.take(pa.array(starts[closed])), *some, wrong], schema.types)]
+    return pa.Table.from_batches([pa.RecordBatch.from_arrays(found, schema=schema), *([_batch(done, schema)] if done else [])])
+
+
 def transactions(found: DataFrame, ts: str, delay: str = "10 minutes", linger_ms: int = 60_000) -> DataFrame:
     """Transactions of live streams: the rows of the batch operator of ``sources.framing``, as they close.
 
@@ -398,35 +508,10 @@ def transactions(found: DataFrame, ts: str, delay: str = "10 minutes", linger_ms
     container.  A stream does not use an id twice.
     """
 
-    def close(key, state):
-        *row, _ = state
-        return *key, *row, outcome(row[6], row[7], row[8], row[4])
-
-    def step(key, rows, state):
-        done = []
-        for at, _, typ, code, tx, body, *_ in rows:
-            if tx is None or typ == EVENT:
-                continue
-            if typ == COMMAND and (state is None or state[0] != tx):
-                if state is not None:
-                    done.append(close(key, state))
-                state = (tx, code, body, None, None, None, 0, 0, 0, at)
-            if state is None:
-                continue
-            now, op, params, data, answer, answer_params, stale, future, phases, _ = state
-            if tx != now:
-                stale, future = stale + (tx < now), future + (tx > now)
-            elif typ == DATA:
-                data, phases = (body if not phases else data), phases + 1
-            elif typ == RESPONSE and answer is None:
-                answer, answer_params = code, body
-            state = (now, op, params, data, answer, answer_params, stale, future, phases, at)
-        return state, done
-
     state = TRANSACTION.replace("error string", "last long")
     values = [F.col(c) for c in ("typ", "code", "tx_id", "body")]
-    due, expire = (lambda state: state[9] + linger_ms * 1000), (lambda key, state: (None, [close(key, state)]))
-    return ordered(found.where("error IS NULL"), ["stream_id"], values, TRANSACTION, state, step, ts, delay, due, expire)
+    due, expire = (lambda state: state[9] + linger_ms * 1000), (lambda key, state: (None, [_closed(key, state)]))
+    return ordered(found.where("error IS NULL"), ["stream_id"], values, TRANSACTION, state, None, ts, delay, due, expire, transaction_runs)
 
 
 class Framing(StatefulProcessor):
